@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["conversation"]
+MODULES = ["conversation", "edits"]
 
 
 def load():

@@ -2,7 +2,7 @@
 
 from parley.functions.constants import ALIASES, FILLER_PHRASES
 
-BLANKS = r"E' \t\n\r\f\v'"
+BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 LETTER = r"\p{L}\p{N}_"
 
 

@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley.functions.constants import ALIASES, FILLER_PHRASES
-from parley.functions.text import split_words, strip
+from parley.functions.text import split_words, strip, tokens
+from parley.operators.summaries import SECTIONS
 
 WORD_MS = 400
 TURN_MS = 90_000
@@ -109,3 +110,83 @@ def echo_mic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("meeting_id", "track", "seg_id", "start_ms",
                        (F.col("start_ms") + F.size("said") * WORD_MS).alias("end_ms"),
                        F.array_join("said", " ").alias("text"), timed.alias("words"))
+
+
+def tidy_ops(turns: DataFrame) -> DataFrame:
+    """Edit operations proposed for a transcript, some of them not valid."""
+    conv, t = F.col("meeting_id").cast("bigint"), F.col("turn_id")
+    words = tokens(F.col("text"))
+    k = (conv * 3 + t) % 7
+    d = ((t - t % 5) / 5).cast("bigint") % 4
+    none, no_turn = F.lit(None).cast("string"), F.lit(None).cast("bigint")
+
+    def op(when, kind, label=none, target=none, turn=no_turn, keep=none):
+        return F.when(when, F.struct(F.lit(kind).alias("op"), label.alias("label"), target.alias("target"),
+                                     turn.alias("turn_id"), keep.alias("keep")))
+    fifth, lit = t % 5 == 0, F.lit
+    ops = F.array(
+        op(k == 0, "drop", turn=t),
+        op(k == 1, "trim", turn=t, keep=F.array_join(F.filter(words, lambda w, i: i % 2 == 0), " ")),
+        op(k == 2, "trim", turn=t, keep=F.array_join(F.reverse(words), " ")),
+        op(fifth & (d == 0) & (conv % 2 == 0), "merge", lit("s9"), lit("s1")),
+        op(fifth & (d == 1) & (conv % 2 == 1), "merge", lit("s1"), lit("s9")),
+        op(fifth & (d == 2), "merge", lit("you"), lit("s1")),
+        op(fifth & (d == 3), "merge", lit("s2"), lit("s1")),
+        op(t % 11 == 0, "rename", lit("s1"), F.concat(lit(" Name "), t.cast("string"))),
+        op(t % 13 == 0, "rename", lit("you"), lit("  ")))
+    rows = turns.select("meeting_id", t.alias("_turn"), F.posexplode(F.array_compact(ops)).alias("p", "e"))
+    return rows.select("meeting_id", ((F.col("_turn") - F.col("_turn") % 30) / 30).cast("bigint").alias("window_no"),
+                       (F.col("_turn") * 10 + F.col("p")).alias("pos"), "e.*")
+
+
+def voice_merges(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Label folds over the embedding rows: 50 labels per meeting, long chains and
+    cycles; the first is `you` and one label class proposes nothing."""
+    rows = table(spark, sf_dir, "embeddings")
+    node = F.col("vec_id") % 50
+    to = (node * 7 + F.col("label") * 11 + 3) % 50
+    label = lambda n: F.when(n == 0, "you").otherwise(F.concat(F.lit("v"), n.cast("string")))
+    meeting = ((F.col("vec_id") - node) / 50).cast("bigint").cast("string").alias("meeting_id")
+    return (rows.filter("label <> 9").select(meeting, label(node).alias("label"), label(to).alias("target")),
+            rows.select(meeting, label(node).alias("speaker")))
+
+
+def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every document that are not blank, numbered as they stand."""
+    rows = table(spark, sf_dir, "documents").select(
+        "doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    return rows.select("doc_id", F.col("line_no").cast("bigint").alias("line_no"),
+                       strip(F.col("line")).alias("line")).filter("line <> ''")
+
+
+def items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Document lines as summary items, ten documents to a meeting."""
+    n = F.col("line_no")
+    section = F.get(F.array(*[F.lit(s) for s in SECTIONS]), (n % 5).cast("int"))
+    action = section == "action_items"
+    return document_lines(spark, sf_dir).select(
+        ((F.col("doc_id") - F.col("doc_id") % 10) / 10).cast("bigint").cast("string").alias("meeting_id"),
+        section.alias("section"), (F.col("doc_id") * 100_000 + n).alias("pos"),
+        F.when(action, F.concat(F.lit("Owner "), (n % 3).cast("string"))).alias("owner"),
+        F.col("line").alias("item"), F.when(action, "").alias("due"))
+
+
+def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Model replies made of whole documents: JSON bare, fenced, inside prose, cut
+    off, or with sections of the wrong type."""
+    k = F.col("doc_id") % 6
+    lines = F.split("text", "\n")
+    task = F.transform(lines, lambda x, i: F.struct(
+        F.when(i % 3 == 0, "").otherwise(" You ").alias("owner"), x.alias("task"),
+        F.when(i % 2 == 0, "TBD").otherwise("Friday").alias("due")))
+    body = F.to_json(F.struct(
+        F.concat(F.lit("  {"), F.element_at(lines, 1), F.lit("}")).alias("headline"), F.col("text").alias("tldr"),
+        lines.alias("key_points"), F.when(k != 3, lines).alias("decisions"),
+        F.when(k != 4, task).alias("action_items"),
+        F.when(k == 4, F.col("lang")).alias("follow_ups"),
+        F.struct(F.col("source").alias("subject"), F.col("text").alias("body")).alias("follow_up_email")))
+    reply = (F.when(k == 0, body).when(k == 1, F.concat(F.lit("Here:\n```json\n"), body, F.lit("\n```\nDone.")))
+             .when(k == 2, F.concat(F.lit("Sure. "), body, F.lit(" {not json}")))
+             .when(k == 5, body.substr(F.lit(1), F.length(body) - 1)).otherwise(body))
+    return table(spark, sf_dir, "documents").select(
+        F.col("doc_id").cast("string").alias("meeting_id"), reply.alias("reply"))
