@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["conversation", "edits"]
+MODULES = ["conversation", "edits", "catalog", "events"]
 
 
 def load():

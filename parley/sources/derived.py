@@ -6,7 +6,7 @@ Every derivation is a projection of the whole table; none gathers a group.
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.functions.constants import ALIASES, FILLER_PHRASES
+from parley.functions.constants import ALIASES, FILLER_PHRASES, MEETING_APPS
 from parley.functions.text import split_words, strip, tokens
 from parley.operators.summaries import SECTIONS
 
@@ -190,3 +190,191 @@ def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
              .when(k == 5, body.substr(F.lit(1), F.length(body) - 1)).otherwise(body))
     return table(spark, sf_dir, "documents").select(
         F.col("doc_id").cast("string").alias("meeting_id"), reply.alias("reply"))
+
+
+def meetings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as meetings: the first line is the title, lines count as turns."""
+    n = F.col("doc_id")
+    created = F.expr("timestampadd(SECOND, doc_id * 397, TIMESTAMP_NTZ '2024-01-01 00:00:00')")
+    none = F.lit(None).cast("string")
+    speakers = F.array_compact(F.array(
+        F.struct(F.lit("you").alias("speaker"), F.lit("You").alias("name")),
+        F.struct(F.lit("s1").alias("speaker"), F.concat(F.lit("Guest "), F.col("source")).alias("name")),
+        F.when(n % 3 == 0, F.struct(F.lit("s2").alias("speaker"), F.col("lang").alias("name")))))
+    warnings = F.array_compact(F.array(
+        F.when(n % 2 == 0, "Diarization failed on mic track"), F.when(n % 3 == 0, "Removed 2 segments"),
+        F.when(n % 5 == 0, F.concat(F.lit("mic track stopped early: "), F.col("lang")))))
+    status = F.when(n % 10 == 0, "recording").when(n % 10 == 1, "processing").when(
+        n % 10 == 2, "error").otherwise("done")
+    return table(spark, sf_dir, "documents").select(
+        F.date_format(created, "yyyyMMdd-HHmmss").alias("meeting_id"),
+        F.concat(F.lit("u"), (n % 50).cast("string")).alias("user_id"),
+        F.element_at(F.split("text", "\n"), 1).alias("title"), created.alias("created"),
+        F.when(n % 3 == 0, "inperson").otherwise("online").alias("mode"), status.alias("status"),
+        (F.col("n_chars") * 60).cast("bigint").alias("duration_ms"), speakers.alias("speakers"),
+        warnings.alias("warnings"), (n % 4 < 3).alias("sync_enabled"),
+        F.when(n % 7 == 0, none).when(n % 7 == 1, "auto").when(n % 7 == 2, F.concat("lang", F.lit("-gb")))
+        .when(n % 7 == 3, "english_us!").otherwise(F.col("lang")).alias("language"),
+        F.size(F.filter(F.split("text", "\n"), lambda x: strip(x) != "")).cast("bigint").alias("n_turns"),
+        F.lit(1).cast("bigint").alias("version"), n.alias("doc_id"), "text")
+
+
+def meeting_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One edit per label row: a new title, sometimes blank, and a version."""
+    ids = meetings(spark, sf_dir).select("doc_id", "meeting_id", "user_id", "text")
+    title = F.when(F.col("quality") == 1, F.concat(F.lit("  "), F.col("text"))).otherwise("   ")
+    return table(spark, sf_dir, "labels").join(ids, "doc_id").select(
+        "doc_id", "meeting_id", "user_id", title.alias("title"),
+        (F.col("toxic") * 3 + F.col("doc_id") % 3).cast("bigint").alias("version"))
+
+
+def synced_meetings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Meetings with their transcript nested: every line of the document is a turn."""
+    lines = F.filter(F.split("text", "\n"), lambda x: strip(x) != "")
+    turns = F.transform(lines, lambda x, i: F.struct(
+        F.when(i % 2 == 0, "you").otherwise("s1").alias("speaker"),
+        F.when(i % 2 == 0, "mic").otherwise("system").alias("track"), (i * 5).alias("start"),
+        (i * 5 + 4).alias("end"), strip(x).alias("text")))
+    return meetings(spark, sf_dir).withColumn("turns", turns).withColumn(
+        "duration", F.col("duration_ms") / 1000).withColumn(
+        "created", F.date_format("created", "yyyy-MM-dd'T'HH:mm:ss")).withColumn(
+        "summary", F.lit(None).cast("string")).withColumn("stats", F.lit(None).cast("string"))
+
+
+def attendees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as calendar events with attendees; in every third the user is marked."""
+    marked = F.col("o_orderkey") % 3 == 0
+    person = lambda name, me=F.lit(False): F.struct(name.alias("name"), me.alias("is_self"))
+    clerk = F.concat(F.lit("Clerk "), (F.col("o_custkey") % 97).cast("string"))
+    people = F.array_compact(F.array(
+        person(F.concat(F.lit(" "), clerk)), person(F.concat(F.lit("Customer "), F.col("o_custkey").cast("string")), marked),
+        person(F.lit("  ")), person(F.concat(F.col("o_custkey").cast("string"), F.lit("@example.com"))),
+        F.when(F.col("o_orderkey") % 2 == 0, person(clerk)), person(F.col("o_orderstatus"))))
+    return table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("order_id"),
+        F.when(F.col("o_orderkey") % 5 == 0, F.slice(people, 1, 0)).otherwise(people).alias("attendees"))
+
+
+def terms(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Meetings, user terms (words of the user's turns) and names (other words that
+    begin a sentence)."""
+    rows = pieces(spark, sf_dir).select(
+        F.col("conv_id").cast("string").alias("meeting_id"), "role",
+        (F.col("turn") * 1_000_000 + F.col("pos") * 1000).alias("base"), F.posexplode("tokens").alias("i", "term"))
+    placed = rows.select("meeting_id", "role", "i", (F.col("base") + F.col("i")).alias("pos"), "term")
+    user = placed.filter("role = 'user'")
+    names = placed.filter("role <> 'user' AND i = 0")
+    return modes(spark, sf_dir).select("meeting_id"), user, names
+
+
+def timed(rows: DataFrame) -> DataFrame:
+    """Events with milliseconds since 1970 and a zoned time, whatever the session's
+    time zone; works on batch and streaming frames."""
+    ms = F.expr("timestampdiff(MILLISECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts)")
+    return rows.withColumn("ts_ms", ms).withColumn("ts", F.timestamp_millis(F.col("ts_ms")))
+
+
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return timed(table(spark, sf_dir, "events"))
+
+
+def mic_samples(rows: DataFrame) -> DataFrame:
+    """Microphone samples per user: recording, free, or busy with some app."""
+    kind = F.col("event_type")
+    apps = F.array(*[F.lit(a) for a in list(MEETING_APPS) + ["firefox", "Music"]])
+    return rows.select(
+        F.col("user_id").cast("string").alias("user_id"), "event_id", "ts", "ts_ms",
+        kind.isin("click", "view", "purchase").alias("busy"), (kind == "signup").alias("recording"),
+        F.get(apps, (F.col("event_id") % 8).cast("int")).alias("app"))
+
+
+def captions(rows: DataFrame) -> DataFrame:
+    """Caption events: the user is the meeting."""
+    t = F.when(F.col("event_id") % 3 == 0, "final").when(F.col("event_id") % 3 == 1, "partial").otherwise("done")
+    track = F.when(F.col("event_id") % 2 == 0, "mic").otherwise("system")
+    return rows.select(
+        F.col("user_id").cast("string").alias("meeting_id"), track.alias("track"), t.alias("t"),
+        F.col("value").alias("start"), (F.col("value") + 1).alias("end"), F.col("props").alias("text"),
+        F.col("ts").alias("arrival"), F.col("ts_ms").alias("arrival_ms"), "event_id")
+
+
+def jobs(rows: DataFrame) -> DataFrame:
+    state = (F.when(F.col("event_type") == "view", "processing").when(F.col("event_type") == "purchase", "done")
+             .when(F.col("event_type") == "error", "error"))
+    return rows.select(
+        F.col("user_id").cast("string").alias("meeting_id"),
+        F.when(F.col("event_id") % 2 == 0, "transcript").otherwise("summary").alias("kind"),
+        state.alias("state"), "ts", "ts_ms", "event_id").filter(state.isNotNull())
+
+
+def _seconds(rows: DataFrame):
+    return F.floor(F.col("ts_ms") / 1000).cast("bigint")
+
+
+def calendar(rows: DataFrame) -> DataFrame:
+    """Sign-ups as calendar entries of fifteen teams."""
+    start = _seconds(rows)
+    return rows.filter("event_type = 'signup'").select(
+        (F.col("user_id") % 15).cast("string").alias("team"), F.col("event_id").alias("event_pos"),
+        F.concat(F.lit("Event "), F.col("props")).alias("title"), start.alias("start_s"),
+        (start + (1 + F.col("event_id") % 8) * 3600).alias("end_s"), (F.col("event_id") % 6 == 0).alias("all_day"),
+        (F.col("event_id") % 11).alias("attendees"))
+
+
+def moments(rows: DataFrame) -> DataFrame:
+    """Clicks as the moments somebody starts a recording."""
+    n = F.col("event_id")
+    given = F.when(n % 4 == 0, (n % 13).cast("string")).when(n % 4 == 1, "many").when(n % 4 == 2, "")
+    return rows.filter("event_type = 'click'").select(
+        (F.col("user_id") % 15).cast("string").alias("team"), n.alias("probe_id"), _seconds(rows).alias("now_s"),
+        given.alias("given"), (n % 3 == 0).alias("in_person"),
+        F.when(n % 5 == 0, F.concat(F.lit(" "), "props")).otherwise(" ").alias("title"))
+
+
+# frames count seconds since this day
+ORIGIN_S = 1_704_067_200
+FRAMES = 8
+
+
+def audio_chunks(rows: DataFrame) -> DataFrame:
+    """Every event as a chunk of eight frames at one frame a second, two channels for
+    one track and one for the other; small values are silence."""
+    loud = F.floor(F.col("value") * 20).cast("bigint")
+    channels = (F.col("event_id") % 2 + 1).cast("int")
+    sample = lambda j: (loud * (j + 1) % 32768 * (1 - 2 * (j % 2))).cast("smallint")
+    return rows.select(
+        F.col("user_id").cast("string").alias("meeting_id"),
+        F.when(F.col("event_id") % 2 == 0, "mic").otherwise("system").alias("track"),
+        F.col("event_id").alias("chunk_id"), F.lit(1).alias("rate"), channels.alias("channels"),
+        (_seconds(rows) - ORIGIN_S).alias("start_frame"),
+        F.transform(F.sequence(F.lit(0), channels * FRAMES - 1), sample).alias("samples"))
+
+
+def audio_tracks(rows: DataFrame) -> DataFrame:
+    """Both tracks of each user on a timeline of 40 days; the system starts late."""
+    chunks = audio_chunks(rows).select("meeting_id", "track").distinct()
+    return chunks.select("meeting_id", "track",
+                         F.when(F.col("track") == "mic", 0).otherwise(3600).cast("bigint").alias("offset_frames"),
+                         F.lit(40 * 86_400).cast("bigint").alias("total_frames"))
+
+
+def audio_segments(rows: DataFrame) -> DataFrame:
+    """Views and clicks as recognized segments over the chunks' time."""
+    start = _seconds(rows) - ORIGIN_S - F.col("event_id") % 5
+    return rows.filter("event_type IN ('view', 'click')").select(
+        F.col("user_id").cast("string").alias("meeting_id"),
+        F.when(F.col("event_id") % 2 == 0, "mic").otherwise("system").alias("track"), F.col("event_id").alias("seg_id"),
+        start.alias("start_frame"), (start + F.col("event_id") % 9).alias("end_frame"),
+        (F.col("event_id") % 100 / 100).alias("no_speech_prob"))
+
+
+def stopped_tracks(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What a recorder reports per track on stop, and the tracks known before."""
+    keys = [F.col("user_id").cast("string").alias("meeting_id"),
+            F.when(F.col("event_id") % 2 == 0, "mic").otherwise("system").alias("track")]
+    stopped = rows.groupBy(*keys).agg(
+        F.min("ts_ms").alias("started_ms"), F.max((F.col("value") * 40).cast("bigint")).alias("recorded_ms"),
+        F.min("event_type").alias("language"),
+        F.max(F.when(F.col("event_type") == "error", F.col("props"))).alias("device"))
+    old = rows.groupBy(*keys).agg(F.min("props").alias("old_device"))
+    return stopped, old
