@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from parley.functions.constants import ALIASES, FILLER_PHRASES, MEETING_APPS
 from parley.functions.text import split_words, strip, tokens
+from parley.functions.vectors import normalize
 from parley.operators.summaries import SECTIONS
 
 WORD_MS = 400
@@ -378,3 +379,43 @@ def stopped_tracks(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.max(F.when(F.col("event_type") == "error", F.col("props"))).alias("device"))
     old = rows.groupBy(*keys).agg(F.min("props").alias("old_device"))
     return stopped, old
+
+
+def voice_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embedding rows as windows of four voices per meeting: the first four rows of
+    the table are the voices, each window is its voice with some of its own vector."""
+    rows = table(spark, sf_dir, "embeddings").filter("embedding IS NOT NULL")
+    meeting = (F.col("vec_id") - F.col("vec_id") % 50) / 50
+    turn = (F.col("vec_id") - F.col("vec_id") % 5) / 5
+    base = rows.filter("vec_id < 4").select(F.col("vec_id").alias("voice"), F.col("embedding").alias("_base"))
+    mixed = rows.withColumn("voice", ((turn + meeting) % 4).cast("bigint")).join(F.broadcast(base), "voice")
+    vector = F.zip_with("_base", "embedding", lambda a, b: a + b * F.lit(0.2).cast("float"))
+    start = F.col("vec_id") % 50 * 1000
+    return mixed.select(
+        meeting.cast("bigint").cast("string").alias("meeting_id"), F.lit("system").alias("track"),
+        (F.col("vec_id") % 50).alias("win_id"), start.alias("start_ms"), (start + 2000).alias("end_ms"),
+        F.transform(normalize(vector), lambda x: x.cast("float")).alias("embedding"))
+
+
+def labelled_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embedding rows with the table's own label as cluster, fifty to a meeting."""
+    meeting = ((F.col("vec_id") - F.col("vec_id") % 50) / 50).cast("bigint").cast("string")
+    start = F.col("vec_id") % 50 * 1000
+    return table(spark, sf_dir, "embeddings").select(
+        meeting.alias("meeting_id"), F.lit("system").alias("track"), F.col("vec_id").alias("win_id"),
+        start.alias("start_ms"), (start + 2000).alias("end_ms"), F.col("label").cast("bigint").alias("label"),
+        "embedding")
+
+
+def speech_voices(spark: SparkSession, sf_dir: str, windows: DataFrame) -> DataFrame:
+    """Embeddings for speech windows: one of three voices that change every few
+    seconds, with some of another vector of the table."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    count = vectors.agg(F.count(F.lit(1)).alias("_n"))
+    marked = voice_labels(windows).join(F.broadcast(count)).withColumn(
+        "vec_id", F.pmod(F.xxhash64("meeting_id", "win_id"), F.col("_n")))
+    base = vectors.filter("vec_id < 3").select(F.col("vec_id").alias("label"), F.col("embedding").alias("_base"))
+    mixed = marked.join(vectors, "vec_id").join(F.broadcast(base), "label")
+    vector = F.zip_with("_base", "embedding", lambda a, b: a + b * F.lit(0.2).cast("float"))
+    return mixed.select("meeting_id", "track", "win_id", "start_ms", "end_ms",
+                        F.transform(normalize(vector), lambda x: x.cast("float")).alias("embedding"))
