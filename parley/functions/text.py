@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from parley.functions.constants import ALIASES, FILLER_PHRASES, NO_DUE, NO_DUE_PATTERN
+from parley.functions.vectors import let
 
 LETTER = r"\p{L}\p{N}_"
 BLANKS = " \t\n\r\f\u000b"
@@ -142,11 +143,14 @@ def language_choice(language: Column) -> Column:
 
 def ordered_subset(small: Column, big: Column) -> Column:
     """Whether `small` occurs in `big` in order, gaps allowed."""
-    matched = F.aggregate(
-        big, F.lit(0), lambda at, token: at + F.when(
-            (at < F.size(small)) & F.coalesce(F.try_element_at(small, at + 1) == token, F.lit(False)),
-            1).otherwise(0))
-    return matched >= F.size(small)
+    def walk(pair):
+        want = pair["small"]
+        matched = F.aggregate(
+            pair["big"], F.lit(0), lambda at, token: at + F.when(
+                (at < F.size(want)) & F.coalesce(F.try_element_at(want, at + 1) == token, F.lit(False)),
+                1).otherwise(0))
+        return matched >= F.size(want)
+    return let(F.struct(small.alias("small"), big.alias("big")), walk)
 
 
 def nudge_key(title: Column, start_s: Column) -> Column:

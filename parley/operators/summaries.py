@@ -11,6 +11,7 @@ from pyspark.sql.types import StringType
 from parley.functions import constants as c
 from parley.functions.matching import SequenceMatcher, match_ratio
 from parley.functions.text import clean_due, clip, norm_text, strip
+from parley.session import spread
 
 # Claim order of the sections, and their caps.
 SECTIONS = ["action_items", "decisions", "key_points", "open_questions", "follow_ups"]
@@ -157,7 +158,7 @@ def dedup_items(items: DataFrame, strict: bool = False) -> DataFrame:
     key = norm_text(F.col("item"))
     whole = norm_text(F.concat_ws(" ", "owner", "item"))
     rows = cap_items(items).select("*", key.alias("key"), whole.alias("whole"), rank.alias("_rank"))
-    return rows.groupBy("meeting_id").applyInPandas(_keep_first(strict), items.schema)
+    return spread(rows, "meeting_id").groupBy("meeting_id").applyInPandas(_keep_first(strict), items.schema)
 
 
 def dedup_exact(rows: DataFrame, key: str, text: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from parley.functions import constants as c
 from parley.functions.text import minutes_seconds
 from parley.operators.scans import numbered, running
+from parley.session import spread
 
 BLOCK_TURNS = 1024
 END = -1
@@ -72,6 +73,7 @@ def edit_windows(turns: DataFrame, max_turns: int = c.TIDY_TURNS, max_chars: int
     rows = reach.join(count, "meeting_id").withColumn(
         "last", F.col("turn_id") + F.col("turns") >= F.col("n")).drop("n")
     max_jump = max(1, max_turns - overlap)
+    rows = spread(rows, "meeting_id", "_blk")
     ways = rows.groupBy("meeting_id", "_blk").applyInPandas(
         _exits(max_jump), "meeting_id string, _blk bigint, exits array<int>")
     steps = F.array_sort(F.collect_list(F.struct("_blk", "exits")))

@@ -31,3 +31,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(shared_dir(spark))
     return df.checkpoint()
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Partitioning for Python-heavy steps on `keys`. It takes the place of the shuffle
+    the step needs anyway, with a number of partitions that adaptive execution keeps:
+    rows that are few may still be hours of work."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
