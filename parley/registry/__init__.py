@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["conversation", "edits", "catalog", "events", "voices"]
+MODULES = ["conversation", "edits", "catalog", "events", "voices", "files", "streams"]
 
 
 def load():
