@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from parley.functions import constants as c
-from parley.functions.matching import SequenceMatcher, match_ratio
+from parley.functions.matching import SequenceMatcher, char_places, common_length, match_ratio
 from parley.functions.text import clean_due, clip, norm_text, strip
 from parley.session import spread
 
@@ -116,7 +116,7 @@ class _Kept:
     """A kept text; its side of the matcher is prepared once."""
 
     def __init__(self, text):
-        self.text, self._matcher = text, None
+        self.text, self._matcher, self._places = text, None, None
 
     def resembles(self, new):
         """Whether `new` repeats it; only the new text must be long to count as a part."""
@@ -125,9 +125,12 @@ class _Kept:
             return True
         if 2 * min(len(new), len(old)) < limit * (len(new) + len(old)):
             return False
-        self._matcher = self._matcher or SequenceMatcher(None, "", old)
+        if self._matcher is None:
+            self._matcher, self._places = SequenceMatcher(None, "", old), char_places(old)
+        if 2 * common_length(new, self._places, len(old)) < limit * (len(new) + len(old)):
+            return False
         self._matcher.set_seq1(new)
-        return self._matcher.quick_ratio() >= limit and self._matcher.ratio() >= limit
+        return self._matcher.ratio() >= limit
 
 
 def _keep_first(strict: bool):
@@ -163,9 +166,11 @@ def dedup_items(items: DataFrame, strict: bool = False) -> DataFrame:
 
 def dedup_exact(rows: DataFrame, key: str, text: str) -> DataFrame:
     """Lowest key per normal form; empty forms are dropped. Only digests shuffle."""
-    normal = norm_text(F.col(text))
-    return rows.filter(normal != "").groupBy(F.sha2(normal, 256).alias("digest")).agg(
-        F.min(key).alias(key), F.count(F.lit(1)).alias("copies")).drop("digest")
+    # a filter before the grouping would make the scan work out each form twice
+    normal = rows.select(key, norm_text(F.col(text)).alias("_n"))
+    return normal.groupBy(F.sha2("_n", 256).alias("digest")).agg(
+        F.min(key).alias(key), F.count(F.lit(1)).alias("copies"), F.max(F.length("_n")).alias("_chars")).filter(
+        "_chars > 0").drop("digest", "_chars")
 
 
 def similar(a: Column, b: Column) -> tuple[Column, Column]:
@@ -174,7 +179,7 @@ def similar(a: Column, b: Column) -> tuple[Column, Column]:
     la, lb = F.length(a), F.length(b)
     cheap = (a == b) | ((la > c.SIMILAR_CONTAINS_CHARS) & (F.contains(a, b) | F.contains(b, a)))
     near = ~cheap & (2 * F.least(la, lb) >= c.SIMILAR_RATIO * (la + lb))
-    return cheap, match_ratio(F.when(near, a), F.when(near, b))
+    return cheap, match_ratio(F.when(near, a), F.when(near, b), F.lit(c.SIMILAR_RATIO))
 
 
 def similar_pairs(pairs: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from parley.functions import constants as c
 from parley.functions.text import minutes_seconds
 from parley.operators.scans import numbered, running
-from parley.session import spread
+from parley.session import cut_lineage, spread
 
 BLOCK_TURNS = 1024
 END = -1
@@ -20,19 +20,22 @@ def _reach(turns: DataFrame, max_turns: int, max_chars: int, cost: int, overlap:
     at = F.col("turn_id") % BLOCK_TURNS
     sizes = turns.select("meeting_id", "turn_id", (F.length("text") + cost).alias("cost"),
                          block.alias("_own"), F.explode(F.when(
-                             (at < max_turns - 1) & (block > 0), F.array(block, block - 1))
+                             (at < max_turns) & (block > 0), F.array(block, block - 1))
                              .otherwise(F.array(block))).alias("_blk"))
-    ahead = Window.partitionBy("meeting_id", "_blk").orderBy("turn_id").rowsBetween(0, max_turns - 1)
+    ahead = Window.partitionBy("meeting_id", "_blk").orderBy("turn_id").rowsBetween(0, max_turns)
     rows = sizes.withColumn("_costs", F.collect_list("cost").over(ahead)).filter("_own = _blk")
+    fits = lambda s, x: (s["n"] == 0) | ((s["n"] < max_turns) & (s["sum"] + x <= max_chars))
     fold = F.aggregate(
         "_costs", F.struct(F.lit(0).alias("n"), F.lit(0).cast("bigint").alias("sum")),
         lambda s, x: F.struct(
-            F.when((s["n"] == 0) | (s["sum"] + x <= max_chars), s["n"] + 1).otherwise(s["n"]).alias("n"),
+            F.when(fits(s, x), s["n"] + 1).otherwise(s["n"]).alias("n"),
             # once a turn does not fit, nothing after it does
-            F.when((s["n"] == 0) | (s["sum"] + x <= max_chars), s["sum"] + x)
-            .otherwise(F.lit(2**62)).alias("sum")))
-    return rows.select("meeting_id", "_blk", "turn_id", fold["n"].cast("bigint").alias("turns")).withColumn(
-        "jump", F.greatest(F.col("turns") - overlap, F.lit(1)))
+            F.when(fits(s, x), s["sum"] + x).otherwise(F.lit(2**62)).alias("sum")))
+    # one turn more than a window may hold is in sight: none left means the last window
+    return rows.select("meeting_id", "_blk", "turn_id", fold["n"].cast("bigint").alias("turns"),
+                       F.size("_costs").alias("_seen")).select(
+        "meeting_id", "_blk", "turn_id", "turns", F.greatest(F.col("turns") - overlap, F.lit(1)).alias("jump"),
+        (F.col("turns") >= F.col("_seen")).alias("last"))
 
 
 def _exits(max_jump: int):
@@ -68,10 +71,8 @@ def edit_windows(turns: DataFrame, max_turns: int = c.TIDY_TURNS, max_chars: int
     budgets. Where a window begins depends on the one before, so every block of
     1024 turns first says where a walk leaves it for each way of entering; one small
     row per block then gives the real entry, and the blocks walk independently."""
-    reach = _reach(turns, max_turns, max_chars, cost, overlap)
-    count = turns.groupBy("meeting_id").agg((F.max("turn_id") + 1).alias("n"))
-    rows = reach.join(count, "meeting_id").withColumn(
-        "last", F.col("turn_id") + F.col("turns") >= F.col("n")).drop("n")
+    # a few numbers per turn, read by both passes
+    rows = cut_lineage(_reach(turns, max_turns, max_chars, cost, overlap))
     max_jump = max(1, max_turns - overlap)
     rows = spread(rows, "meeting_id", "_blk")
     ways = rows.groupBy("meeting_id", "_blk").applyInPandas(
