@@ -29,7 +29,7 @@ def expected_speakers(spark, sf):
     found = _current(spark, sf).select("probe_id", "event_pos", F.col("title").alias("event_title")).join(
         D.calendar(rows).select("event_pos", "attendees"), "event_pos")
     asked = D.moments(rows).join(found, "probe_id", "left")
-    started = F.timestamp_seconds(F.col("now_s")).cast("timestamp")
+    started = F.expr("timestampadd(SECOND, now_s, TIMESTAMP_NTZ '1970-01-01 00:00:00')")
     return asked.select(
         "probe_id", calendar.expected_speakers(F.col("given"), F.col("attendees"), F.col("in_person")).alias("expected"),
         calendar.default_title(F.col("title"), F.col("event_title"), started).alias("title"))
@@ -96,7 +96,7 @@ def sliding_activity(spark, sf):
 
 def session_activity(spark, sf):
     rows = D.events(spark, sf).withColumn("user_id", F.col("user_id").cast("string"))
-    return activity.sessions(rows, ["user_id"], "4 hours")
+    return activity.sessions(rows, ["user_id"], 4 * HOUR_MS)
 
 
 def _peaks(spark, sf):
@@ -240,7 +240,7 @@ w AS (SELECT *, unnest([0, 1, 2]) AS k FROM ev)
 SELECT (sec // 7200 - k) * 7200 AS start_s, (sec // 7200 - k) * 7200 + 21600 AS end_s, event_type, count(*) AS n,
 sum(round(value * 100)::BIGINT)::BIGINT AS cents FROM w GROUP BY 1, 2, 3""",
     "session_activity": f"""WITH {EVENTS},
-f AS (SELECT *, CASE WHEN ts_ms - lag(ts_ms) OVER (PARTITION BY user_id ORDER BY ts_ms) < 14400000 THEN 0 ELSE 1 END AS f FROM ev),
+f AS (SELECT *, CASE WHEN ts_ms - lag(ts_ms) OVER (PARTITION BY user_id ORDER BY ts_ms) <= 14400000 THEN 0 ELSE 1 END AS f FROM ev),
 g AS (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY ts_ms) AS g FROM f)
 SELECT min(ts_ms) // 1000 AS start_s, (max(ts_ms) + 14400000) // 1000 AS end_s, user_id::VARCHAR AS user_id, count(*) AS n
 FROM g GROUP BY g.user_id, g""",

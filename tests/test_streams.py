@@ -134,3 +134,20 @@ def test_late_rows_are_dropped(spark, tmp_path):
     frame = stream_of(spark, str(tmp_path), rows, SAMPLE, 3).withColumn("ts", F.timestamp_millis("ts_ms"))
     out = run.to_table(nudges.nudges(frame), "nudges").collect()
     assert [r["nudge_id"] for r in out] == [f"call-{(BASE + 3_600_000) // 1000}"]
+
+
+def test_sessions_of_table_and_stream(spark, tmp_path):
+    """The blocked sessions of a table are those Spark's session windows close."""
+    from parley.operators import activity
+    rng = random.Random(9)
+    at, rows = BASE, []
+    for i in range(300):
+        at += rng.choice([500, 1000, 59_000, 60_000, 61_000])
+        rows.append((rng.choice(["hot", "hot", "u"]), at, i))
+    rows.append(("end", at + 10_000_000, 300))
+    frame = spark.createDataFrame(rows, "user_id string, ts_ms long, event_id long")
+    table = activity.sessions(frame, ["user_id"], 60_000, block_ms=20_000).filter("user_id <> 'end'")
+    stream = stream_of(spark, str(tmp_path), rows, frame.schema, 3).withColumn("ts", F.timestamp_millis("ts_ms"))
+    closed = run.to_table(activity.session_stream(stream.withWatermark("ts", "1 second"), ["user_id"], "1 minute"), "sessions")
+    columns = ["user_id", "start_s", "end_s", "n"]
+    assert sorted(map(tuple, table.select(*columns).collect())) == sorted(map(tuple, closed.select(*columns).collect()))
