@@ -10,6 +10,8 @@ of all rows is spread over as many tasks as it has blocks.
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from parley.session import spread
+
 BLOCK = "_block"
 MEETING_BLOCK_MS = 600_000
 DAY_MS = 86_400_000
@@ -43,7 +45,7 @@ def running(df: DataFrame, keys: list[str], order: list[str], block: Column,
     blocks = Window.partitionBy(*keys).orderBy(turn(BLOCK)).rowsBetween(Window.unboundedPreceding, -1)
     extreme = F.min_by if descending else F.max_by
 
-    rows = df.withColumn(BLOCK, block)
+    rows = spread(df.withColumn(BLOCK, block), *keys, BLOCK)
     per_row, per_block, over_blocks = [], [], []
     for name, (kind, value) in aggregates.items():
         fold = {"sum": F.sum, "max": F.max}.get(kind)
@@ -86,7 +88,7 @@ def islands(df: DataFrame, keys: list[str], same: list[str], order: list[str], e
     to_here = in_block.rowsBetween(Window.unboundedPreceding, 0)
     to_last = in_block.rowsBetween(Window.unboundedPreceding, -1)
 
-    rows = (df.withColumn(BLOCK, time_block(start, block_ms))
+    rows = (spread(df.withColumn(BLOCK, time_block(start, block_ms)), *keys, BLOCK)
             .withColumn("_last", F.lag(group).over(in_block))
             .withColumn("_run", F.sum(F.when(F.col("_last").isNotNull() & ~F.col("_last").eqNullSafe(group), 1)
                                       .otherwise(0)).over(to_here))
@@ -154,7 +156,7 @@ def around(df: DataFrame, keys: list[str], order: list[str], block: Column, valu
         return (Window.partitionBy(*keys, BLOCK).orderBy(*[turn(c) for c in order]).rowsBetween(*rows),
                 Window.partitionBy(*keys).orderBy(turn(BLOCK)).rowsBetween(*rows))
     (up, blocks_up), (down, blocks_down) = spans(True), spans(False)
-    rows = df.withColumn(BLOCK, block).withColumn("_value", value)
+    rows = spread(df.withColumn(BLOCK, block).withColumn("_value", value), *keys, BLOCK)
     at = F.when(F.col("_value").isNotNull(), F.struct(*order))
     carried = rows.groupBy(*keys, BLOCK).agg(
         F.max_by("_value", at).alias("_top"), F.min_by("_value", at).alias("_bottom")).select(
