@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.common import Codes, encode, map_arrow, ngram_codes, text_bytes, words
+from parley.llm.common import Codes, encode, map_arrow, mix, ngram_codes, text_bytes, words
 from parley.llm.components import components
 from parley.session import cut_lineage
 
@@ -67,7 +67,6 @@ def signature(own, factors, rows):
 
 def ngram_codes_rows(values):
     """One code per row; the row's number is part of it, so bands never mix."""
-    from parley.llm.common import mix
     out = np.arange(len(values), dtype=np.uint64)
     for i in range(values.shape[1]):
         out = mix(out * np.uint64(0x9E3779B97F4A7C15) + values[:, i])
