@@ -22,13 +22,13 @@ def _lines(spark, sf):
 
 
 def captions_live(spark, sf):
-    return _lines(spark, sf).filter("kind = 'final'").drop("kind")
+    return _lines(spark, sf).filter("kind = 'final'").drop("kind", "arrival_ms", "event_id")
 
 
 def captions_live_partial(spark, sf):
-    """The last state of each track's partial."""
+    """The last state of each track's partial; the events come in several batches."""
     last = _lines(spark, sf).filter("kind = 'partial'").groupBy("meeting_id", "track").agg(
-        F.max_by(F.struct("start", "end", "text", "who"), "seq").alias("e"))
+        F.max_by(F.struct("start", "end", "text", "who"), F.struct("arrival_ms", "event_id")).alias("e"))
     return last.filter("e.text IS NOT NULL").select("meeting_id", "track", "e.who", "e.start", "e.end", "e.text")
 
 
@@ -87,9 +87,9 @@ def sync_push_live(spark, sf):
     D.synced_meetings(spark, sf).filter("status = 'done' AND n_turns > 0").write.parquet(f"{path}/changes")
     changes = run.file_stream(spark, f"{path}/changes", "*.parquet", files_per_trigger=2)
 
-    def push(rows):
+    def push(rows, batch_id):
         refused = F.pmod(F.substring("meeting_id", -2, 2).cast("int"), F.lit(9)) == 0
-        rows.filter(~refused).select("meeting_id").write.mode("append").parquet(f"{path}/target")
+        rows.filter(~refused).select("meeting_id").write.mode("overwrite").parquet(f"{path}/target/batch={batch_id}")
         return rows.filter(refused)
     pushing.push_changes(changes, push, f"{path}/queue", f"{path}/checkpoint").awaitTermination()
     queued = spark.read.parquet(f"{path}/queue").select("meeting_id").distinct()

@@ -3,18 +3,17 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parley.sources.tables import BUCKETS, bucket_of, replace_meetings
+
 TABLES = ("segments", "words", "voice_windows")
-BUCKETS = 64
 
 
 def save_analysis(path: str, tables: dict[str, DataFrame], buckets: int = BUCKETS) -> None:
-    """Writes the tables by meeting bucket and track time, replacing only the buckets
-    that are written. Rows of one meeting spread over several files by time."""
+    """Writes the tables by meeting bucket. The analysis of the given meetings is
+    replaced, that of all others stays."""
     for name in TABLES:
         if name in tables:
-            rows = tables[name].withColumn("bucket", F.pmod(F.xxhash64("meeting_id"), F.lit(buckets)).cast("int"))
-            rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
-                "bucket").parquet(f"{path}/{name}")
+            replace_meetings(tables[name], f"{path}/{name}", buckets)
 
 
 def load_analysis(spark: SparkSession, path: str, meeting_id: str | None = None,
@@ -24,7 +23,7 @@ def load_analysis(spark: SparkSession, path: str, meeting_id: str | None = None,
     for name in TABLES:
         rows = spark.read.parquet(f"{path}/{name}")
         if meeting_id is not None:
-            wanted = F.pmod(F.xxhash64(F.lit(meeting_id)), F.lit(buckets)).cast("int")
+            wanted = bucket_of(F.lit(meeting_id), buckets)
             rows = rows.filter((F.col("bucket") == wanted) & (F.col("meeting_id") == meeting_id))
         out[name] = rows.drop("bucket")
     return out

@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley.schemas import CALENDAR_EVENT, MEETING
+from parley.sources.tables import replace_meetings
 
 # Meeting id, and a folder that ends in one.
 ID = r"^\d{8}-\d{6}$"
@@ -20,13 +21,23 @@ def _read(spark: SparkSession, root: str, safe: bool, document: str) -> DataFram
     reader = spark.read.schema(MEETING).option("multiLine", True).option(
         "mode", "DROPMALFORMED" if safe else "FAILFAST")
     rows = reader.json(f"{root}/*/{document}")
-    # the path comes escaped; folders that Spark wrote begin with their column's name
-    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
-    folder = F.regexp_replace(F.element_at(F.split(path, "/"), -2), "^folder=", "")
-    return rows.select("*", folder.alias("folder"),
+    return rows.select("*", _folder(F.col("_metadata.file_path")).alias("folder"),
                        F.col("_metadata.file_modification_time").alias("modified"))
 
 
+def _folder(path):
+    """The path comes escaped; folders that Spark wrote begin with their column's name."""
+    plain = F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+    return F.regexp_replace(F.element_at(F.split(plain, "/"), -2), "^folder=", "")
+
+
+def _folders(spark: SparkSession, root: str, document: str) -> DataFrame:
+    """Meeting folders that hold a document, by their names alone: one that cannot be read is not gone."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", document)
+    names = files.load(root).select(_folder(F.col("path")).alias("folder")).distinct()
+    return names.filter(folder_id(F.col("folder")).isNotNull())
+
+
 def scan_meetings(spark: SparkSession, root: str, safe: bool = True, document: str = DOCUMENT) -> DataFrame:
     """Meeting documents below `root`, one folder each. Malformed ones are left out
     when `safe`, else they end the read."""
@@ -41,21 +52,21 @@ def scan_changed(spark: SparkSession, root: str, known: DataFrame,
     now = scan_meetings(spark, root, document=document)
     same = known.select("folder", "modified")
     return (now.join(same, ["folder", "modified"], "left_anti"),
-            known.join(now.select("folder"), "folder", "left_anti"))
+            known.join(_folders(spark, root, document), "folder", "left_anti"))
 
 
 def write_meetings(meetings: DataFrame, path: str, buckets: int = 64) -> None:
-    """Replaces the written buckets of a meeting table; the commit swaps them whole."""
-    bucket = F.pmod(F.xxhash64("meeting_id"), F.lit(buckets)).cast("int")
-    meetings.withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite").option(
-        "partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    """Replaces the given meetings in a meeting table; all others stay."""
+    replace_meetings(meetings, path, buckets)
 
 
 def write_exports(lines: DataFrame, path: str, order: list[str]) -> None:
-    """Text exports, one folder per meeting. Range partitioning keeps lines in order
-    and splits a very long meeting over several files whose names sort."""
+    """Text exports, one folder per meeting; folders of other meetings stay. Range
+    partitioning keeps lines in order and splits a very long meeting over several files
+    whose names sort."""
     lines.repartitionByRange("meeting_id", *order).sortWithinPartitions("meeting_id", *order).select(
-        "meeting_id", F.col("line").alias("value")).write.mode("overwrite").partitionBy("meeting_id").text(path)
+        "meeting_id", F.col("line").alias("value")).write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic").partitionBy("meeting_id").text(path)
 
 
 def calendar_events(spark: SparkSession, path: str) -> DataFrame:

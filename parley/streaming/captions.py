@@ -13,7 +13,8 @@ from parley.schemas import CAPTION
 
 WATERMARK = "1 minute"
 LINE = (StructType().add("meeting_id", StringType()).add("kind", StringType()).add("seq", LongType())
-        .add("track", StringType()).add("start", DoubleType()).add("end", DoubleType()).add("text", StringType()))
+        .add("track", StringType()).add("start", DoubleType()).add("end", DoubleType()).add("text", StringType())
+        .add("arrival_ms", LongType()).add("event_id", LongType()))
 
 
 def parse_lines(lines: DataFrame, column: str = "value") -> DataFrame:
@@ -26,40 +27,49 @@ class CaptionState(StatefulProcessor):
     """Numbers final lines across tracks and keeps the open partial of each track.
 
     Emits every final, and after each batch the partial of each track the batch
-    touched; a cleared one has no text.
+    touched; a cleared one has no text. Rows carry the arrival and number of their
+    event, so partials of several batches can be ordered.
     """
 
+    def __init__(self, keep_ms: int | None = None):
+        self.keep_ms = keep_ms
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._seq = handle.getValueState("seq", "seq bigint")
-        self._open = handle.getMapState("open", "track string", "start double, end double, text string")
+        self._seq = handle.getValueState("seq", "seq bigint", self.keep_ms)
+        self._open = handle.getMapState("open", "track string", "start double, end double, text string", self.keep_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         # one key's share of one batch; the source's rate bounds it
         batch = pd.concat(list(rows)).sort_values(["arrival_ms", "event_id"])
         seq = self._seq.get()[0] if self._seq.exists() else 0
         finals, touched = [], {}
-        for t, track, start, end, text in zip(batch["t"], batch["track"], batch["start"], batch["end"], batch["text"]):
+        columns = ("t", "track", "start", "end", "text", "arrival_ms", "event_id")
+        for t, track, start, end, text, *event in zip(*(batch[c] for c in columns)):
             if t == "final":
                 seq += 1
-                finals.append((key[0], "final", seq, track, start, end, text))
-            touched[track] = (start, end, text) if t == "partial" else None
+                finals.append((key[0], "final", seq, track, start, end, text, *event))
+            touched[track] = ((start, end, text) if t == "partial" else None, event)
         self._seq.update((seq,))
-        for track, value in touched.items():
+        for track, (value, _) in touched.items():
             if value is not None:
                 self._open.updateValue((track,), value)
             elif self._open.containsKey((track,)):
                 self._open.removeKey((track,))
-        partials = [(key[0], "partial", seq, track, *(v or (None, None, None))) for track, v in touched.items()]
+        partials = [(key[0], "partial", seq, track, *(v or (None, None, None)), *event)
+                    for track, (v, event) in touched.items()]
         yield pd.DataFrame(finals + partials, columns=LINE.names)
 
     def close(self) -> None:
         pass
 
 
-def caption_lines(events: DataFrame) -> DataFrame:
+def caption_lines(events: DataFrame, keep_ms: int | None = None) -> DataFrame:
     """Stream of lines and partials from events (meeting_id, track, t, start, end, text,
-    arrival, arrival_ms, event_id)."""
+    arrival, arrival_ms, event_id). A live stream names `keep_ms`, after which a silent
+    meeting's state goes; Spark then looks for state to clear for ever, so a run over
+    what is there now (available-now trigger) leaves it out."""
     rows = events.withWatermark("arrival", WATERMARK)
     out = rows.groupBy("meeting_id").transformWithStateInPandas(
-        statefulProcessor=CaptionState(), outputStructType=LINE, outputMode="Append", timeMode="None")
+        statefulProcessor=CaptionState(keep_ms), outputStructType=LINE, outputMode="Append",
+        timeMode="None" if keep_ms is None else "ProcessingTime")
     return out.withColumn("who", who(F.col("track")))

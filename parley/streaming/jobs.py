@@ -15,8 +15,11 @@ DONE = (StructType().add("meeting_id", StringType()).add("kind", StringType()).a
 class LeftProcessing(StatefulProcessor):
     """Remembers the last state of a job; the first one only sets the baseline."""
 
+    def __init__(self, keep_ms: int | None = None):
+        self.keep_ms = keep_ms
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._last = handle.getValueState("last", "state string")
+        self._last = handle.getValueState("last", "state string", self.keep_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows)).sort_values(["ts_ms", "event_id"])
@@ -32,6 +35,9 @@ class LeftProcessing(StatefulProcessor):
         pass
 
 
-def finished_jobs(jobs: DataFrame) -> DataFrame:
+def finished_jobs(jobs: DataFrame, keep_ms: int | None = None) -> DataFrame:
+    """A live stream names `keep_ms`, after which a silent job's state goes; a run over what
+    is there now leaves it out."""
     return jobs.withWatermark("ts", WATERMARK).groupBy("meeting_id", "kind").transformWithStateInPandas(
-        statefulProcessor=LeftProcessing(), outputStructType=DONE, outputMode="Append", timeMode="None")
+        statefulProcessor=LeftProcessing(keep_ms), outputStructType=DONE, outputMode="Append",
+        timeMode="None" if keep_ms is None else "ProcessingTime")

@@ -8,14 +8,18 @@ from parley.operators import sync
 
 def push_changes(changes: DataFrame, push, queue_path: str, checkpoint: str, trigger: dict | None = None):
     """Starts a query over a change feed of synced meetings (rows as `payload` wants
-    them). `push(rows)` gets the accepted rows of a batch and returns the meeting ids
-    that failed; these and oversized ones are kept per batch below `queue_path`. The
-    folder is named by batch, so a repeated batch writes the same queue again."""
+    them). `push(rows, batch_id)` gets the accepted rows of a batch and returns the
+    meeting ids that failed; these and oversized ones are kept per batch below
+    `queue_path`. What a batch writes is named by its number, so a repeated batch
+    replaces it; `push` should do the same. The batch is worked out once."""
     def batch(rows: DataFrame, batch_id: int) -> None:
-        sized = sync.sized(sync.payload(rows.filter("sync_enabled")))
-        failed = push(sized.filter("accepted").drop("body")).select("meeting_id")
-        large = sized.filter("NOT accepted").select("meeting_id")
-        sync.enqueue(failed, large).withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(
-            f"{queue_path}/batch={batch_id}")
+        sized = sync.sized(sync.payload(rows.filter("sync_enabled"))).drop("body").persist()
+        try:
+            failed = push(sized.filter("accepted"), batch_id).select("meeting_id")
+            large = sized.filter("NOT accepted").select("meeting_id")
+            sync.enqueue(failed, large).withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(
+                f"{queue_path}/batch={batch_id}")
+        finally:
+            sized.unpersist()
     return changes.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(
         **(trigger or {"availableNow": True})).start()
