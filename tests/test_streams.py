@@ -22,75 +22,62 @@ def stream_of(spark, folder, rows, schema, batches):
     return run.file_stream(spark, f"{folder}/part", "*.parquet", files_per_trigger=1)
 
 
-class Engine:
-    """The nudge rules for one user."""
-
-    def __init__(self):
-        self.pending, self.since, self.first, self.done, self.last = None, 0, None, set(), None
-
-    def sample(self, now, r):
-        if r["recording"]:
-            self.first = self.pending = None
-            return None
-        if self.pending:
-            if now - self.since <= 600_000:
-                return None
-            self.pending = None
-        nudge = None
-        if r["cal_title"]:
-            key = "cal-" + hashlib.sha1(f"{r['cal_title']}|{r['cal_start_s']}".encode()).hexdigest()[:12]
-            nudge = None if key in self.done else (key, "calendar")
-        if nudge is None:
-            if not r["busy"]:
-                self.first = None
-            else:
-                self.first = now if self.first is None else self.first
-                rested = self.last is None or now - self.last >= 3_600_000
-                if now - self.first >= 10_000 and rested:
-                    nudge = (f"call-{self.first // 1000}", "call")
-        if nudge:
-            self.pending, self.since = nudge, now
-            return ("offered", *nudge)
-        return None
-
-    def answer(self, now, r):
-        if not self.pending or self.pending[0] != r["nudge_id"]:
-            return None
-        nudge, self.pending, self.first = self.pending, None, None
-        self.done.add(nudge[0])
-        if nudge[1] == "call":
-            self.last = now
-        return (r["action"], *nudge)
+MIN = 60_000
+#: (minutes since the start, what happens, expected event): a user's decisions one after the other.
+TABLE = [
+    (0, "free", None), (1, "busy", None), (1.1, "busy", None), (1.2, "busy", "offered call"), (2, "busy", None),
+    (3, "dismiss", "dismiss call"), (4, "busy", None), (30, "busy", None), (62, "busy", None), (63, "busy", "offered call"),
+    (73.5, "accept", None), (74, "busy", "offered call"), (75, "record", None), (75.1, "busy", None),
+    (75.3, "busy", "offered call"), (76, "accept", "accept call"), (77, "weekly", "offered calendar"),
+    (78, "dismiss", "dismiss calendar"), (79, "weekly", None), (80, "standup", "offered calendar"), (85, "free", None),
+    (95, "standup", "offered calendar"), (96, "other", None), (97, "accept", "accept calendar"), (98, "standup", None),
+    (140, "busy", None), (140.2, "busy", "offered call"), (141, "record", None), (142, "free", None), (143, "busy", None),
+    (143.1, "free", None), (143.3, "busy", None), (143.5, "busy", "offered call")]
+
+
+START = {"a": 0, "b": 7_001, "c": 3_600_500}
+#: Minute of an answer to a call offer, and the minute since which its microphone was busy.
+BUSY_SINCE = {3: 1, 73.5: 4, 76: 75.1}
+CALLS = {(u, at): f"call-{(BASE + s + int(since * MIN)) // 1000}" for u, s in START.items() for at, since in BUSY_SINCE.items()}
+
+
+def table_rows(user, start):
+    """Input rows of the table, with the ids of the offers that are answered, and the events wanted."""
+    rows, want, since, standing = [], [], None, None
+    for minutes, what, event in TABLE:
+        at = BASE + start + int(minutes * MIN)
+        title = {"weekly": "Weekly", "standup": "Standup"}.get(what)
+        answer = what in ("accept", "dismiss", "other")
+        rows.append(dict(
+            user_id=user, ts_ms=at, event_id=0, kind="action" if answer else "sample", busy=what == "busy",
+            recording=what == "record", app="zoom.us", cal_title=title, cal_start_s=7 if title else None,
+            nudge_id=("no such" if what == "other" else standing) if answer else None, action=what if answer else None))
+        if event and event.startswith("offered"):
+            key = hashlib.sha1(f"{title}|7".encode()).hexdigest()[:12]
+            standing = f"cal-{key}" if title else "call"
+        if event:
+            want.append((user, at, event.split()[0], event.split()[1]))
+    return rows, want
 
 
 def test_nudges(spark, tmp_path):
-    rng = random.Random(5)
-    rows, engines, want = [], {}, []
-    now = BASE
-    for i in range(900):
-        now += rng.choice([2_000, 4_000, 4_000, 60_000, 700_000])
-        user = rng.choice(["hot", "hot", "u1"])
-        engine = engines.setdefault(user, Engine())
-        if engine.pending and rng.random() < 0.3:
-            row = dict(nudge_id=rng.choice([engine.pending[0], "other"]), action=rng.choice(["accept", "dismiss"]),
-                       kind="action", busy=None, recording=None, app=None, cal_title=None, cal_start_s=None)
-            event = engine.answer(now, row)
-        else:
-            title = rng.choice([None] * 12 + ["Weekly", "Standup"])
-            row = dict(nudge_id=None, action=None, kind="sample", busy=rng.random() < 0.85, recording=rng.random() < 0.03,
-                       app=rng.choice(["zoom.us", "Music"]), cal_title=title,
-                       cal_start_s=now // 40_000_000 if title else None)
-            event = engine.sample(now, row)
-        rows.append(dict(user_id=user, ts_ms=now, event_id=i, **row))
-        if event:
-            want.append((user, now, *event))
-    assert {w[2] for w in want} == {"offered", "accept", "dismiss"} and {w[4] for w in want} == {"call", "calendar"}
-    frame = stream_of(spark, str(tmp_path), [tuple(r[c.split()[0]] for c in SAMPLE.split(", ")) for r in rows], SAMPLE, 4)
-    frame = frame.withColumn("ts", F.timestamp_millis("ts_ms"))
-    out = run.to_table(nudges.nudges(frame), "nudges").collect()
-    assert sorted((r["user_id"], r["ts_ms"], r["event"], r["nudge_id"], r["kind"]) for r in out) == sorted(want)
-    titles = {r["title"] for r in out if r["kind"] == "call"}
-    assert titles == {"In a Zoom call?", "In a call?"}
+    """The decision table for three users over several batches."""
+    rows, want = [], []
+    for user, start in START.items():
+        more, events = table_rows(user, start)
+        rows += more
+        want += events
+    rows.sort(key=lambda r: r["ts_ms"])
+    for r in rows:  # a call's id names the second its microphone became busy
+        if r["nudge_id"] == "call":
+            r["nudge_id"] = CALLS[r["user_id"], round((r["ts_ms"] - BASE - START[r["user_id"]]) / MIN, 1)]
+    for i, r in enumerate(rows):
+        r["event_id"] = i
+    names = [c.split()[0] for c in SAMPLE.split(", ")]
+    frame = stream_of(spark, str(tmp_path), [tuple(r[n] for n in names) for r in rows], SAMPLE, 5)
+    out = run.to_table(nudges.nudges(frame.withColumn("ts", F.timestamp_millis("ts_ms"))), "nudges").collect()
+    assert sorted((r["user_id"], r["ts_ms"], r["event"], r["kind"]) for r in out) == sorted(want)
+    assert {r["title"] for r in out if r["kind"] == "call"} == {"In a Zoom call?"}
 
 
 def test_captions(spark, tmp_path):
