@@ -149,18 +149,19 @@ def _keep_first(strict: bool):
     return keep
 
 
-def dedup_items(items: DataFrame, strict: bool = False) -> DataFrame:
+def dedup_items(items: DataFrame, strict: bool = False, cap: int | None = None) -> DataFrame:
     """Greedy removal of repeated thoughts within and across a meeting's sections.
 
     An item goes when it resembles one kept before; actions are compared by owner
-    and task among themselves, and their task joins the common pool. Sections are
-    capped first, so a group has at most 125 rows. With `strict` a task without
+    and task among themselves, and their task joins the common pool. Every item is looked
+    at; `cap` takes the first ones of each section only. With `strict` a task without
     letters stays in the pool as an empty key and swallows long items after it.
     """
     rank = F.array_position(F.array(*[F.lit(s) for s in SECTIONS]), F.col("section"))
     key = norm_text(F.col("item"))
     whole = norm_text(F.concat_ws(" ", "owner", "item"))
-    rows = cap_items(items).select("*", key.alias("key"), whole.alias("whole"), rank.alias("_rank"))
+    first = items if cap is None else cap_items(items, cap)
+    rows = first.select("*", key.alias("key"), whole.alias("whole"), rank.alias("_rank"))
     return spread(rows, "meeting_id").groupBy("meeting_id").applyInPandas(_keep_first(strict), items.schema)
 
 

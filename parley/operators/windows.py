@@ -96,15 +96,18 @@ def numbered_windows(windows: DataFrame) -> DataFrame:
     return numbered(windows, ["meeting_id"], ["first_turn"], block, "window_no")
 
 
-def transcript_lines(named: DataFrame, max_chars: int = c.TRANSCRIPT_CHARS) -> DataFrame:
-    """'[m:ss] name: text' per turn, up to and with the line that crosses the cap."""
+def transcript_lines(named: DataFrame, max_chars: int | None = None) -> DataFrame:
+    """'[m:ss] name: text' per turn. With `max_chars` the column `cut` marks the lines
+    after the one that crosses the limit; none is dropped."""
     line = F.concat(F.lit("["), minutes_seconds(F.col("start_ms")), F.lit("] "), F.col("name"),
                     F.lit(": "), F.col("text"))
     rows = named.select("meeting_id", "turn_id", line.alias("line"))
+    if max_chars is None:
+        return rows
     block = F.floor(F.col("turn_id") / BLOCK_TURNS).cast("bigint")
     return running(rows, ["meeting_id"], ["turn_id"], block,
-                   {"_used": ("sum", F.length("line").cast("bigint"))}).filter(
-        F.col("_used") <= max_chars).drop("_used")
+                   {"_used": ("sum", F.length("line").cast("bigint"))}).withColumn(
+        "cut", F.col("_used") > max_chars).drop("_used")
 
 
 def budget_groups(rows: DataFrame, order: str, text: str, limit: int = c.CHUNK_CHARS,
@@ -112,8 +115,8 @@ def budget_groups(rows: DataFrame, order: str, text: str, limit: int = c.CHUNK_C
     """Adds `chunk`: a new one begins when the next text would pass the limit; each
     text costs its length plus `extra`.
 
-    Only (position, length) pairs of a meeting meet in one row, and the transcript
-    cap bounds them; the texts stay where they are.
+    Only (position, length) pairs of a meeting meet in one row; the texts stay where
+    they are.
     """
     sizes = F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), F.length(text).alias("n"))))
     fold = F.aggregate(
@@ -136,8 +139,7 @@ def join_groups(rows: DataFrame, order: str, text: str, separator: str = "\n") -
 
 
 def chunk_lines(lines: DataFrame, limit: int = c.CHUNK_CHARS) -> DataFrame:
-    """Chunks of transcript lines, one model call each. Lines come from
-    `transcript_lines`, whose cap bounds what a meeting can hold."""
+    """Chunks of transcript lines, one model call each."""
     return join_groups(budget_groups(lines, "turn_id", "line", limit), "turn_id", "line")
 
 

@@ -1,15 +1,17 @@
 """Map-reduce over transcript chunks with a model given by the caller."""
 
-import pandas as pd
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructType
 
 from parley.functions import constants as c
+from parley.functions.text import excerpt
 from parley.operators.windows import budget_groups, chunk_lines, join_groups
 from parley.session import cut_lineage
 
 MAX_SPLITS = 2
-EXCERPT_CHARS = 500
 SLACK_CHARS = 200
 
 
@@ -26,73 +28,83 @@ def no_model(text: str, title: str) -> str:
     raise Refused
 
 
-def _notes(note, text, title, depth=0):
-    try:
-        return note(text, title)
-    except Overflow:
-        lines = text.split("\n")
-        half = len(lines) // 2
-        if depth < MAX_SPLITS and half:
-            parts = ("\n".join(lines[:half]), "\n".join(lines[half:]))
-            return "\n".join(_notes(note, p, title, depth + 1) for p in parts if p.strip())
-    except Refused:
-        pass
-    return ("- (portion kept verbatim — could not be auto-summarized): "
-            + " ".join(text.split())[:EXCERPT_CHARS] + "…")
-
-
-def map_chunks(chunks: DataFrame, note=no_model) -> DataFrame:
-    """Notes (meeting_id, chunk, block) per chunk. `note(text, title)` may raise
-    Overflow, then halves of the lines are tried, or Refused, then an excerpt stays."""
-    def run(batches):
+def _asked(rows: DataFrame, text: str, note) -> DataFrame:
+    """Adds `note`, the model's answer, and `why` where there is none: long or refused."""
+    def ask(batches):
         for pdf in batches:
-            notes = [_notes(note, text, title) for text, title in zip(pdf["line"], pdf["title"])]
-            yield pd.DataFrame({"meeting_id": pdf["meeting_id"], "chunk": pdf["chunk"], "block": notes})
-    return chunks.select("meeting_id", "title", "chunk", "line").mapInPandas(
-        run, "meeting_id string, chunk bigint, block string").filter(F.trim("block") != "")
+            notes, whys = [], []
+            for body, title in zip(pdf[text], pdf["title"]):
+                try:
+                    notes.append(note(body, title))
+                    whys.append(None)
+                except (Overflow, Refused) as error:
+                    notes.append(None)
+                    whys.append("long" if isinstance(error, Overflow) else "refused")
+            yield pdf.assign(note=notes, why=whys)
+    kind = StructType(list(rows.schema.fields)).add("note", StringType()).add("why", StringType())
+    return cut_lineage(rows.mapInPandas(ask, kind))
 
 
-def _condense_groups(note, limit):
-    def run(batches):
-        for pdf in batches:
-            out = []
-            for text, title, n in zip(pdf["block"], pdf["title"], pdf["lines"]):
-                if n == 1:
-                    out.append(text)
-                    continue
-                try:
-                    out.append(note(text, title))
-                except (Overflow, Refused):
-                    out.append(text.replace("\n\n", "\n")[:limit // 2])
-            yield pd.DataFrame({"meeting_id": pdf["meeting_id"], "chunk": pdf["chunk"], "block": out})
-    return run
+def map_chunks(chunks: DataFrame, note=no_model) -> DataFrame:
+    """Notes (meeting_id, chunk, block, excerpts) per chunk. `note(text, title)` may raise
+    Overflow or Refused. Chunks go to the model in rounds: one that is too long comes
+    back as two rows, the halves of its lines, at most MAX_SPLITS times, so halves are
+    worked on by different tasks. What the model never took is kept as an excerpt, and
+    `excerpts` counts these."""
+    todo = chunks.select("meeting_id", "title", "chunk", F.lit("").alias("part"), F.col("line").alias("body"))
+    found = []
+    for left in range(MAX_SPLITS, -1, -1):
+        asked = _asked(todo, "body", note)
+        lines = F.split("body", "\n")
+        half = F.floor(F.size(lines) / 2).cast("int")
+        again = (F.col("why") == "long") & (half > 0) if left else F.lit(False)
+        found.append(asked.filter(F.col("why").isNull() | ~again).select(
+            "meeting_id", "chunk", "part", F.coalesce("note", excerpt(F.col("body"))).alias("block"),
+            F.col("why").isNotNull().cast("bigint").alias("excerpts")))
+        halves = F.array(F.struct(F.lit("0").alias("p"), F.slice(lines, 1, half).alias("t")),
+                         F.struct(F.lit("1").alias("p"), F.slice(lines, half + 1, F.size(lines)).alias("t")))
+        todo = asked.filter(again).withColumn("h", F.explode(halves)).select(
+            "meeting_id", "title", "chunk", F.concat("part", "h.p").alias("part"),
+            F.array_join("h.t", "\n").alias("body")).filter(F.trim("body") != "")
+    parts = F.array_sort(F.collect_list(F.struct("part", "block")))
+    return reduce(DataFrame.unionByName, found).groupBy("meeting_id", "chunk").agg(
+        F.array_join(F.transform(parts, lambda p: p["block"]), "\n").alias("block"),
+        F.sum("excerpts").alias("excerpts")).filter(F.trim("block") != "")
 
 
 def condense(blocks: DataFrame, titles: DataFrame, note=no_model, limit: int = c.CHUNK_CHARS) -> DataFrame:
-    """Notes of each meeting in one text. Meetings whose notes do not fit are grouped
-    and condensed again, each round on those only; where no two notes fit together
-    they are cut to the limit."""
-    done, state = None, blocks
+    """Notes of each meeting in one text (meeting_id, notes, cut). Meetings whose notes do
+    not fit are grouped and condensed again, each round on those only; where no two notes
+    fit together, or the model does not take a group, they are cut to the limit, and
+    `cut` counts the characters that went."""
+    done, lost, state = [], [], blocks.select("meeting_id", "chunk", "block")
     while True:
-        # few notes per meeting: the transcript cap bounds the chunks
         state = cut_lineage(state)
         size = state.groupBy("meeting_id").agg(
             F.count(F.lit(1)).alias("n"), F.sum(F.length("block")).alias("chars"))
         fits = size.filter((F.col("n") <= 1) | (F.col("chars") + SLACK_CHARS <= limit)).select("meeting_id")
-        ready = _joined(state.join(fits, "meeting_id", "left_semi"))
+        done.append(_joined(state.join(fits, "meeting_id", "left_semi")))
         grouped = budget_groups(
             state.join(fits, "meeting_id", "left_anti").withColumnRenamed("chunk", "at"), "at", "block", limit, extra=2)
         shape = grouped.groupBy("meeting_id").agg(
             F.count(F.lit(1)).alias("n"), F.count_distinct("chunk").alias("groups"))
         stuck = shape.filter("n = groups").select("meeting_id")
-        cut = _joined(grouped.join(stuck, "meeting_id", "left_semi").drop("chunk").withColumnRenamed("at", "chunk"))
-        ready = ready.unionByName(cut.withColumn("notes", F.substring("notes", 1, limit)))
-        done = cut_lineage(ready if done is None else done.unionByName(ready))
+        whole = _joined(grouped.join(stuck, "meeting_id", "left_semi").drop("chunk").withColumnRenamed("at", "chunk"))
+        done.append(whole.withColumn("notes", F.substring("notes", 1, limit)))
+        lost.append(whole.select("meeting_id", F.greatest(F.length("notes") - limit, F.lit(0)).alias("cut")))
         rest = join_groups(grouped.join(stuck, "meeting_id", "left_anti"), "at", "block", "\n\n")
-        rest = cut_lineage(rest.join(titles, "meeting_id"))
+        rest = cut_lineage(rest.join(titles.select("meeting_id", "title"), "meeting_id"))
         if rest.isEmpty():
-            return done
-        state = rest.mapInPandas(_condense_groups(note, limit), "meeting_id string, chunk bigint, block string")
+            break
+        alone = rest.filter("lines = 1").select("meeting_id", "chunk", "block")
+        asked = _asked(rest.filter("lines > 1"), "block", note)
+        flat = F.replace("block", F.lit("\n\n"), F.lit("\n"))
+        state = alone.unionByName(asked.select(
+            "meeting_id", "chunk", F.coalesce("note", F.substring(flat, 1, limit // 2)).alias("block")))
+        lost.append(asked.filter("why IS NOT NULL").select(
+            "meeting_id", F.greatest(F.length(flat) - limit // 2, F.lit(0)).alias("cut")))
+    cut = reduce(DataFrame.unionByName, lost).groupBy("meeting_id").agg(F.sum("cut").cast("bigint").alias("cut"))
+    return reduce(DataFrame.unionByName, done).join(cut, "meeting_id", "left").fillna(0, ["cut"])
 
 
 def _joined(blocks: DataFrame) -> DataFrame:
@@ -103,12 +115,12 @@ def _joined(blocks: DataFrame) -> DataFrame:
 
 def sources(lines: DataFrame, titles: DataFrame, note=no_model, limit: int = c.CHUNK_CHARS) -> DataFrame:
     """The text a final model call gets per meeting: the transcript where it is one
-    chunk, the condensed notes of all chunks else. `titles` has meeting_id, title and
-    participants; lines come capped."""
+    chunk, the condensed notes of all chunks else; `cut` counts characters of notes that
+    did not fit. `titles` has meeting_id, title and participants."""
     chunks = cut_lineage(chunk_lines(lines, limit).join(titles, "meeting_id"))
     many = chunks.groupBy("meeting_id").agg(F.count(F.lit(1)).alias("n"))
     whole = chunks.join(many.filter("n = 1").select("meeting_id"), "meeting_id", "left_semi").select(
-        "meeting_id", F.lit(1).cast("bigint").alias("chunks"), F.col("line").alias("notes"))
+        "meeting_id", F.lit(1).cast("bigint").alias("chunks"), F.col("line").alias("notes"), F.lit(0).cast("bigint").alias("cut"))
     parts = chunks.join(many.filter("n > 1"), "meeting_id")
     blocks = map_chunks(parts, note)
     mapped = condense(blocks, titles.select("meeting_id", "title"), note, limit).join(
@@ -118,4 +130,4 @@ def sources(lines: DataFrame, titles: DataFrame, note=no_model, limit: int = c.C
         F.concat(F.lit('Notes covering the whole meeting "'), "title", F.lit('", in order. ')))
     people = F.when(F.col("participants") != "", F.concat(
         F.lit("Participants: "), "participants", F.lit("."))).otherwise("")
-    return rows.select("meeting_id", "chunks", F.concat(head, people, F.lit("\n\n"), "notes").alias("source"))
+    return rows.select("meeting_id", "chunks", F.concat(head, people, F.lit("\n\n"), "notes").alias("source"), "cut")
