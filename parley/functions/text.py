@@ -1,5 +1,6 @@
 """Scalar text functions, all inside the JVM."""
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -43,21 +44,22 @@ def has_word(text: Column) -> Column:
     return text.rlike(f"[{LETTER}]")
 
 
-def whole_phrase(phrase: str, group: bool = False) -> str:
-    body = f"({phrase})" if group else phrase
-    return f"(?<![{LETTER}]){body}(?![{LETTER}])"
+def whole_phrase(*phrases: str) -> str:
+    """Pattern of any of the phrases (texts, not patterns) as whole words, in group 1."""
+    return f"(?<![{LETTER}])({'|'.join(map(re.escape, phrases))})(?![{LETTER}])"
 
 
 def filler_hits(text: Column, phrases: list[str] = FILLER_PHRASES) -> Column:
-    """Every filler in the text as an array. No two phrases share a word, so one
-    pass over an alternation counts what one pass per phrase would."""
-    return F.regexp_extract_all(
-        F.lower(text), F.lit(whole_phrase("|".join(phrases), group=True)), F.lit(1))
+    """Every filler in the text as an array. Where no two phrases share a word, one pass
+    over an alternation counts what one pass per phrase would; else each has its own."""
+    words = [w for p in phrases for w in set(p.split())]
+    groups = [phrases] if len(words) == len(set(words)) else [[p] for p in phrases]
+    return F.concat(*[F.regexp_extract_all(F.lower(text), F.lit(whole_phrase(*g)), F.lit(1)) for g in groups])
 
 
 def fix_mishearings(text: Column, aliases: dict[str, str] = ALIASES) -> Column:
     return reduce(
-        lambda t, pair: F.regexp_replace(t, "(?i)" + whole_phrase(pair[0]), pair[1]),
+        lambda t, pair: F.regexp_replace(t, "(?i)" + whole_phrase(pair[0]), re.sub(r"([\\$])", r"\\\1", pair[1])),
         aliases.items(), text)
 
 

@@ -19,14 +19,16 @@ def events_of_days(events: DataFrame) -> DataFrame:
 def current_event(probes: DataFrame, events: DataFrame, keys: list[str], probe: str = "probe_id",
                   lead_min: int = LEAD_MIN) -> DataFrame:
     """The event running at `now_s`, or about to: the latest start among those with
-    start - lead <= now < end, the first listed where starts are equal.
+    start - lead <= now < end, the first listed where starts are equal. All-day entries
+    (`all_day`, where the table has it) are never current.
 
     Events are repeated for the hours they cover, and a probe asks in its own hour,
     so a busy owner spreads over as many keys as there are hours.
     """
     opens = F.col("start_s") - lead_min * 60
     hours = F.sequence(F.floor(opens / BIN_S), F.floor((F.col("end_s") - 1) / BIN_S))
-    spans = events.filter("end_s > start_s").select(
+    timed = events.filter(~F.coalesce("all_day", F.lit(False))) if "all_day" in events.columns else events
+    spans = timed.filter("end_s > start_s").select(
         *keys, "event_pos", "title", "start_s", "end_s", opens.alias("_opens"),
         F.explode(hours).alias("_hour"))
     asked = probes.select(*keys, probe, "now_s", F.floor(F.col("now_s") / BIN_S).alias("_hour"))

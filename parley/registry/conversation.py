@@ -47,9 +47,16 @@ def speaker_stats(spark, sf):
 
 
 def meeting_totals(spark, sf):
-    meetings = D.modes(spark, sf).withColumn(
+    """Some meetings have no turns; every second of these lists a speaker."""
+    modes = D.modes(spark, sf).select("meeting_id", "mode")
+    silent = modes.filter(F.col("meeting_id").cast("bigint") % 10 == 0).withColumn(
+        "meeting_id", F.concat(F.lit("empty-"), "meeting_id"))
+    listed = silent.filter(F.substring("meeting_id", 7, 20).cast("bigint") % 20 == 0).select(
+        "meeting_id", F.lit("s9").alias("speaker"))
+    meetings = modes.unionByName(silent).withColumn(
         "duration_ms", F.when(F.col("mode") == "online", 600_000).cast("bigint"))
-    return stats.meeting_totals(_counted(spark, sf), D.speakers(spark, sf), meetings)
+    people = D.speakers(spark, sf).select("meeting_id", "speaker").unionByName(listed)
+    return stats.meeting_totals(_counted(spark, sf), people, meetings)
 
 
 def filler_counts(spark, sf):
@@ -230,17 +237,25 @@ SELECT meeting_id, speaker, ord::BIGINT AS ord, t / 10 AS seconds, turns, words,
        CASE WHEN total > 0 THEN {S.div_round('t * 100000', 'total')} / 1000 ELSE 0 END AS share,
        CASE WHEN t > 30 THEN {S.div_round('words * 600', 't')} ELSE 0 END::BIGINT AS wpm FROM tot""",
     "meeting_totals": f"""WITH {S.MEASURED},{S.MODES},
+every AS (SELECT meeting_id, mode FROM modes
+          UNION ALL SELECT 'empty-' || meeting_id, mode FROM modes WHERE meeting_id::BIGINT % 10 = 0),
+people AS (SELECT meeting_id, speaker FROM speakers
+           UNION ALL SELECT 'empty-' || meeting_id, 's9' FROM modes WHERE meeting_id::BIGINT % 20 = 0),
 listed AS (
-  SELECT m.meeting_id, m.speaker, m.end_ms, CASE WHEN s.speaker IS NOT NULL THEN m.ms END AS ms,
-         CASE WHEN s.speaker IS NOT NULL THEN m.words END AS words, s.speaker IS NOT NULL AS known
-  FROM measured m LEFT JOIN speakers s USING (meeting_id, speaker)),
+  SELECT coalesce(m.meeting_id, p.meeting_id) AS meeting_id, coalesce(m.speaker, p.speaker) AS speaker, m.end_ms,
+         CASE WHEN p.speaker IS NOT NULL THEN m.ms END AS ms, CASE WHEN p.speaker IS NOT NULL THEN m.words END AS words,
+         p.speaker IS NOT NULL AND m.speaker IS NOT NULL AS known
+  FROM measured m FULL JOIN people p ON m.meeting_id = p.meeting_id AND m.speaker = p.speaker
+  UNION ALL SELECT meeting_id, NULL, NULL, NULL, NULL, false FROM every
+  WHERE meeting_id NOT IN (SELECT meeting_id FROM measured UNION ALL SELECT meeting_id FROM people)),
 sets AS (
   SELECT meeting_id, speaker, grouping(speaker) AS is_total, coalesce(sum(ms), 0)::BIGINT AS ms,
          coalesce(sum(words), 0)::BIGINT AS words, count(*) FILTER (WHERE known) AS turns, max(end_ms) AS last_ms
-  FROM listed GROUP BY GROUPING SETS ((meeting_id, speaker), (meeting_id)))
+  FROM listed GROUP BY GROUPING SETS ((meeting_id, speaker), (meeting_id))
+  HAVING grouping(speaker) = 1 OR speaker IS NOT NULL)
 SELECT meeting_id, speaker, is_total::BIGINT AS is_total, {S.tenths('ms')} / 10 AS spoken_seconds, words, turns,
-       {S.tenths("CASE WHEN mode = 'online' THEN 600000 ELSE last_ms END")} / 10 AS duration
-FROM sets JOIN modes USING (meeting_id)""",
+       {S.tenths("CASE WHEN mode = 'online' THEN 600000 ELSE coalesce(last_ms, 0) END")} / 10 AS duration
+FROM sets JOIN every USING (meeting_id)""",
     "filler_counts": f"""WITH {S.TURNS},
 hit AS ({' UNION ALL '.join(f"SELECT meeting_id, speaker, turn_id, '{p}' AS phrase, {S.phrase_hits('text', p)} AS n FROM turns" for p in FILLER_PHRASES)})
 SELECT meeting_id, speaker, phrase, sum(n)::BIGINT AS hits, min(turn_id) AS first_turn

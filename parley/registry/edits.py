@@ -212,11 +212,7 @@ after AS (
 _LINED = f"""{S.TURNS},{S.SPEAKERS},
 lines AS (
   SELECT meeting_id, turn_id, '[' || {S.mmss('start_ms')} || '] ' || coalesce(name, t.speaker) || ': ' || text AS line
-  FROM turns t LEFT JOIN speakers s USING (meeting_id, speaker)),
-capped AS (SELECT meeting_id, turn_id, line FROM (
-  SELECT *, sum(length(line)) OVER (PARTITION BY meeting_id ORDER BY turn_id
-            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS used FROM lines)
-  WHERE coalesce(used, 0) <= 240000)"""
+  FROM turns t LEFT JOIN speakers s USING (meeting_id, speaker))"""
 
 _DOC_LINES = f"""
 doc_lines AS (
@@ -227,7 +223,33 @@ doc_lines AS (
 
 _DUES = S.quoted(NO_DUE + ["by Friday", "Omit if none", "tbd soon"])
 
+_REPLIES = f"""r AS (
+  SELECT doc_id::VARCHAR AS meeting_id, doc_id % 6 AS k, text, lang, source, string_split(text, chr(10)) AS lines FROM documents),
+items AS (
+  SELECT *, list_transform(lines, lambda x, i: {{'owner': CASE WHEN (i - 1) % 3 = 0 THEN '' ELSE ' You ' END, 'task': x,
+                                                 'due': CASE WHEN (i - 1) % 2 = 0 THEN 'TBD' ELSE 'Friday' END}}) AS tasks FROM r)"""
+#: The first texts of a list that are not empty, each cut.
+_FIRST_LINES = f"array_to_string(list_filter(list_transform(lines, lambda x: substring({S.strip('x')}, 1, 600)), lambda x: x <> '')[1:25], '|')"
+
 ORACLE = {
+    "extract_json": f"""WITH {_REPLIES}
+SELECT meeting_id, k <> 5 AS found, CASE WHEN k <> 5 THEN length(
+  '{{"headline":' || to_json('  {{' || lines[1] || '}}') || ',"tldr":' || to_json(text) || ',"key_points":' || to_json(lines)
+  || CASE WHEN k <> 3 THEN ',"decisions":' || to_json(lines) ELSE '' END
+  || CASE WHEN k <> 4 THEN ',"action_items":' || to_json(tasks) ELSE '' END
+  || CASE WHEN k = 4 THEN ',"follow_ups":' || to_json(lang) ELSE '' END
+  || ',"follow_up_email":' || to_json({{'subject': source, 'body': text}}) || '}}') END AS chars FROM items""",
+    "coerce_summary": f"""WITH {_REPLIES}
+SELECT meeting_id, CASE WHEN k = 5 THEN '' ELSE substring({S.strip("('  {' || lines[1] || '}')")}, 1, 90) END AS headline,
+  CASE WHEN k = 5 THEN '' ELSE substring({S.strip('text')}, 1, 1500) END AS tldr,
+  CASE WHEN k = 5 THEN '' ELSE {_FIRST_LINES} END AS key_points,
+  CASE WHEN k IN (3, 5) THEN '' ELSE {_FIRST_LINES} END AS decisions,
+  CASE WHEN k IN (4, 5) THEN '' ELSE array_to_string(list_transform(list_filter(tasks, lambda t: {S.strip('t.task')} <> '')[1:25],
+    lambda t: CASE WHEN t.owner = '' THEN '—' ELSE 'You' END || '/' || substring({S.strip('t.task')}, 1, 400) || '/'
+    || CASE WHEN t.due = 'TBD' THEN '' ELSE t.due END), '|') END AS action_items,
+  '' AS follow_ups, '' AS open_questions,
+  CASE WHEN k = 5 THEN '' ELSE substring({S.strip('source')}, 1, 200) END AS email_subject,
+  CASE WHEN k = 5 THEN '' ELSE substring({S.strip('text')}, 1, 4000) END AS email_body FROM items""",
     "tidy_merge_ops": f"WITH {_OPS} SELECT * FROM ops",
     "merge_labels": f"""WITH RECURSIVE node AS (SELECT (vec_id // 50)::VARCHAR AS meeting_id, vec_id % 50 AS n, label AS l FROM embeddings),
 speakers AS (SELECT meeting_id, CASE WHEN n = 0 THEN 'you' ELSE 'v' || n END AS speaker FROM node),
@@ -267,14 +289,14 @@ steps AS (
   UNION ALL SELECT r.* FROM steps s JOIN sized r ON r.meeting_id = s.meeting_id AND r.turn_id = s.turn_id + greatest(1, s.size - 6)
   WHERE s.turn_id + s.size < s.n)
 SELECT meeting_id, turn_id AS first_turn, size AS turns FROM steps""",
-    "transcript_lines": f"WITH {_LINED} SELECT * FROM capped",
+    "transcript_lines": f"WITH {_LINED} SELECT * FROM lines",
     "chunk_lines": f"""WITH RECURSIVE {_LINED},
 step AS (
-  SELECT meeting_id, turn_id, length(line) + 1 AS size, 0 AS chunk, line FROM capped WHERE turn_id = 0
+  SELECT meeting_id, turn_id, length(line) + 1 AS size, 0 AS chunk, line FROM lines WHERE turn_id = 0
   UNION ALL
   SELECT l.meeting_id, l.turn_id, CASE WHEN s.size + length(l.line) > 2000 THEN 0 ELSE s.size END + length(l.line) + 1,
          CASE WHEN s.size + length(l.line) > 2000 THEN 1 ELSE 0 END + s.chunk, l.line
-  FROM step s JOIN capped l ON l.meeting_id = s.meeting_id AND l.turn_id = s.turn_id + 1)
+  FROM step s JOIN lines l ON l.meeting_id = s.meeting_id AND l.turn_id = s.turn_id + 1)
 SELECT meeting_id, chunk::BIGINT AS chunk, string_agg(line, chr(10) ORDER BY turn_id) AS line, count(*) AS lines
 FROM step GROUP BY 1, 2""",
     "clean_due": f"""WITH {_DOC_LINES},

@@ -132,7 +132,11 @@ def shift_segments(spark, sf):
     stopped, old = D.stopped_tracks(rows)
     segs = D.audio_segments(rows).select("meeting_id", "track", "seg_id", (F.col("start_frame") * 1000).alias("start_ms"),
                                          (F.col("end_frame") * 1000).alias("end_ms"))
-    return audio.shift_segments(segs, audio.align_tracks(old, stopped))
+    word = lambda w, s, e: F.struct(F.lit(w).alias("w"), s.alias("s_ms"), e.alias("e_ms"))
+    words = F.array(word("a", F.col("start_ms"), F.col("start_ms") + 400), word("b", F.col("end_ms") - 400, F.col("end_ms")))
+    moved = audio.shift_segments(segs.withColumn("words", words), audio.align_tracks(old, stopped))
+    times = F.flatten(F.transform("words", lambda w: F.array(w["s_ms"], w["e_ms"])))
+    return moved.withColumn("word_times", F.array_join(times.cast("array<string>"), ",")).drop("words")
 
 
 QUERIES = {f.__name__: f for f in (
@@ -157,7 +161,7 @@ def _running(lead):
     return f"""{CALENDAR},
 hit AS (SELECT p.team, probe_id, now_s, event_pos, c.title, start_s, end_s, attendees,
         row_number() OVER (PARTITION BY probe_id ORDER BY start_s DESC, event_pos) AS rn
-        FROM probe p JOIN cal c ON c.team = p.team AND start_s - {lead * 60} <= now_s AND now_s < end_s),
+        FROM probe p JOIN cal c ON c.team = p.team AND NOT all_day AND start_s - {lead * 60} <= now_s AND now_s < end_s),
 cur AS (SELECT * FROM hit WHERE rn = 1)"""
 
 
@@ -260,5 +264,6 @@ ON m.meeting_id = s.meeting_id AND m.track = s.track AND f >= a AND f < b GROUP
 seg AS (SELECT user_id::VARCHAR AS meeting_id, CASE WHEN event_id % 2 = 0 THEN 'mic' ELSE 'system' END AS track, event_id AS seg_id,
         (sec - {D.ORIGIN_S} - event_id % 5) * 1000 AS a, (sec - {D.ORIGIN_S} - event_id % 5 + event_id % 9) * 1000 AS b FROM ev
         WHERE event_type IN ('view', 'click'))
-SELECT meeting_id, track, seg_id, a + offset_ms AS start_ms, b + offset_ms AS end_ms FROM seg JOIN aligned USING (meeting_id, track) WHERE usable""",
+SELECT meeting_id, track, seg_id, a + offset_ms AS start_ms, b + offset_ms AS end_ms,
+  concat_ws(',', a + offset_ms, a + 400 + offset_ms, b - 400 + offset_ms, b + offset_ms) AS word_times FROM seg JOIN aligned USING (meeting_id, track) WHERE usable""",
 }

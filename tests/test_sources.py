@@ -8,9 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from parley.functions import text as X
-from parley.operators import catalog
+from parley.operators import audio, catalog
 from parley.operators.stats import speaker_stats
-from parley.sources import meetings, wav
+from parley.sources import analysis, meetings, wav
 
 
 def write(root, folder, body):
@@ -30,18 +30,60 @@ def test_scan(spark, tmp_path):
         meetings.scan_meetings(spark, str(tmp_path), safe=False).collect()
 
 
-def test_meeting_table_overwrites_its_buckets(spark, tmp_path):
+def test_saving_one_meeting_keeps_the_others(spark, tmp_path):
     path = str(tmp_path / "table")
     rows = spark.createDataFrame([(str(i), "old") for i in range(50)], "meeting_id string, title string")
     meetings.write_meetings(rows, path, buckets=8)
     one = rows.filter("meeting_id = '7'").withColumn("title", F.lit("new"))
-    bucket = F.pmod(F.xxhash64("meeting_id"), F.lit(8))
-    home = rows.join(one.select(bucket.alias("b")), bucket == F.col("b"), "left_semi").filter("meeting_id <> '7'")
-    meetings.write_meetings(home.unionByName(one), path, buckets=8)
+    meetings.write_meetings(one, path, buckets=8)
     again = spark.read.parquet(path)
     assert again.count() == 50 and [r["meeting_id"] for r in again.filter("title = 'new'").collect()] == ["7"]
 
 
+def test_saved_analysis_is_replaced_per_meeting(spark, tmp_path):
+    rows = spark.createDataFrame([(f"m{i}", "mic", w, [float(i), float(w)]) for i in range(20) for w in range(3)],
+                                 "meeting_id string, track string, win_id int, embedding array<double>")
+    analysis.save_analysis(str(tmp_path), {"voice_windows": rows}, buckets=4)
+    fewer = rows.filter("meeting_id = 'm7' AND win_id = 1").withColumn("embedding", F.array(F.lit(9.0)))
+    analysis.save_analysis(str(tmp_path), {"voice_windows": fewer}, buckets=4)
+    saved = spark.read.parquet(f"{tmp_path}/voice_windows").drop("bucket")
+    want = rows.filter("meeting_id <> 'm7'").unionByName(fewer)
+    assert sorted(map(repr, saved.select(*want.columns).collect())) == sorted(map(repr, want.collect()))
+
+
+def test_a_document_that_breaks_is_not_gone(spark, tmp_path):
+    for i in (6, 7, 8):
+        write(tmp_path, f"20240102-03040{i}", {"id": f"20240102-03040{i}", "title": "T"})
+    known = spark.createDataFrame(meetings.scan_meetings(spark, str(tmp_path)).select("folder", "modified").collect())
+    (tmp_path / "20240102-030406" / "meeting.json").write_text("{broken")
+    (tmp_path / "20240102-030407" / "meeting.json").unlink()
+    _, gone = meetings.scan_changed(spark, str(tmp_path), known)
+    assert [r["folder"] for r in gone.collect()] == ["20240102-030407"]
+
+
+def test_exports_of_other_meetings_stay(spark, tmp_path):
+    lines = spark.createDataFrame([(m, 0, m) for m in "abc"], "meeting_id string, line_no int, line string")
+    meetings.write_exports(lines, str(tmp_path / "out"), ["line_no"])
+    meetings.write_exports(lines.filter("meeting_id = 'b'").withColumn("line", F.lit("new")), str(tmp_path / "out"), ["line_no"])
+    assert {r["meeting_id"]: r["value"] for r in spark.read.text(str(tmp_path / "out")).collect()} == {"a": "a", "b": "new", "c": "c"}
+
+
+def test_words_move_with_their_track(spark):
+    segs = spark.createDataFrame([("m", "mic", 1, 1000, 2000, [("hi", 1100, 1200)])],
+                                 "meeting_id string, track string, seg_id int, start_ms long, end_ms long, "
+                                 "words array<struct<w:string,s_ms:long,e_ms:long>>")
+    tracks = spark.createDataFrame([("m", "mic", 500, True)], "meeting_id string, track string, offset_ms long, usable boolean")
+    row = audio.shift_segments(segs, tracks).first()
+    assert (row["start_ms"], row["end_ms"], row["words"][0].asDict()) == (1500, 2500, {"w": "hi", "s_ms": 1600, "e_ms": 1700})
+
+
+def test_phrases_are_texts(spark):
+    table = spark.createDataFrame([("a.b and a b, sort of sort out",)], "t string")
+    row = table.select(X.filler_hits(F.col("t"), ["a.b", "sort of", "of sort"]).alias("hits"),
+                       X.fix_mishearings(F.col("t"), {"a.b": "$1\\x"}).alias("fixed")).first()
+    assert sorted(row["hits"]) == ["a.b", "of sort", "sort of"] and row["fixed"] == "$1\\x and a b, sort of sort out"
+
+
 def test_exports_keep_line_order(spark, tmp_path):
     talks = spark.createDataFrame([("m", "Talk")], "meeting_id string, title string")
     named = spark.createDataFrame([("m", i, f"N{i}", i * 61_000, f"t{i}") for i in range(40)],
