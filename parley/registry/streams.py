@@ -101,7 +101,59 @@ QUERIES = {f.__name__: f for f in (
     captions_live, captions_live_partial, job_transitions_live, nudge_call, nudge_actions, announce_once_live,
     tumbling_activity_live, sync_push_live)}
 
+_SAMPLES = f"""{E.CALENDAR},
+entry AS (SELECT e.event_id, c.title, c.start_s,
+          row_number() OVER (PARTITION BY e.event_id ORDER BY c.start_s DESC, c.event_pos) AS rn
+          FROM ev e JOIN cal c ON c.team = (e.user_id % 15)::VARCHAR AND NOT all_day AND start_s - 60 <= e.sec AND e.sec < end_s),
+samples AS (SELECT user_id::VARCHAR AS user_id, ts_ms, e.event_id, 'sample' AS what, NULL AS nudge_id, NULL AS action,
+            event_type IN ('click', 'view', 'purchase') AS busy, event_type = 'signup' AS recording,
+            (['Zoom', 'Teams', 'Teams', 'Slack', 'FaceTime', 'Webex'])[e.event_id % 8 + 1] AS app, n.title AS cal_title,
+            'cal-' || substring(sha1(n.title || '|' || n.start_s), 1, 12) AS cal_id
+            FROM ev e LEFT JOIN entry n ON n.event_id = e.event_id AND n.rn = 1)"""
+
+
+def _walked(name, rows):
+    """A user's rows one after the other: the state after each, and its event. 6 h of a busy
+    microphone are a call, an answered call rests for 48 h, an offer stands for 3 h."""
+    return f"""{name}_rows AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts_ms, event_id) AS rn FROM ({rows})),
+{name} AS (
+  SELECT DISTINCT user_id, 0::BIGINT AS rn, 0::BIGINT AS ts_ms, NULL::BIGINT AS since, NULL::BIGINT AS rests, NULL::VARCHAR AS oid,
+         NULL::VARCHAR AS okind, NULL::BIGINT AS lapses, []::VARCHAR[] AS done, NULL::VARCHAR AS event, NULL::VARCHAR AS nudge_id,
+         NULL::VARCHAR AS kind, NULL::VARCHAR AS title, NULL::VARCHAR AS meeting_title FROM {name}_rows
+  UNION ALL
+  SELECT user_id, rn, ts_ms,
+    CASE WHEN hit OR recording THEN NULL WHEN what = 'action' OR standing OR cal THEN since WHEN busy THEN coalesce(since, ts_ms) END,
+    CASE WHEN hit AND okind = 'call' THEN ts_ms + 172800000 ELSE rests END,
+    CASE WHEN hit OR recording THEN NULL WHEN what = 'action' OR standing THEN oid WHEN cal THEN cal_id WHEN call THEN call_id END,
+    CASE WHEN hit OR recording THEN NULL WHEN what = 'action' OR standing THEN okind WHEN cal THEN 'calendar' WHEN call THEN 'call' END,
+    CASE WHEN hit OR recording THEN NULL WHEN what = 'action' OR standing THEN lapses WHEN cal OR call THEN ts_ms + 10800000 END,
+    CASE WHEN hit THEN list_append(done, oid) ELSE done END,
+    CASE WHEN hit THEN action WHEN cal OR call THEN 'offered' END, CASE WHEN hit THEN oid WHEN cal THEN cal_id WHEN call THEN call_id END,
+    CASE WHEN hit THEN okind WHEN cal THEN 'calendar' WHEN call THEN 'call' END,
+    CASE WHEN cal THEN '“' || cal_title || '” is starting' WHEN call THEN coalesce('In a ' || app || ' call?', 'In a call?') END,
+    CASE WHEN cal THEN cal_title ELSE '' END
+  FROM (SELECT *, open AND NOT cal AND busy AND ts_ms - coalesce(since, ts_ms) >= 21600000 AND coalesce(ts_ms >= rests, true) AS call,
+               'call-' || coalesce(since, ts_ms) // 1000 AS call_id
+        FROM (SELECT *, open AND cal_id IS NOT NULL AND NOT list_contains(done, cal_id) AS cal
+              FROM (SELECT q.user_id, q.rn, q.ts_ms, q.what, q.action, q.cal_title, q.cal_id, q.app, coalesce(q.busy, false) AS busy,
+                           coalesce(q.recording, false) AS recording, s.since, s.rests, s.oid, s.okind, s.lapses, s.done,
+                           q.what = 'action' AND coalesce(s.oid = q.nudge_id AND q.ts_ms <= s.lapses, false) AS hit,
+                           q.what = 'sample' AND NOT coalesce(q.recording, false) AND coalesce(q.ts_ms <= s.lapses, false) AS standing,
+                           q.what = 'sample' AND NOT coalesce(q.recording, false) AND NOT coalesce(q.ts_ms <= s.lapses, false) AS open
+                    FROM {name} s JOIN {name}_rows q ON q.user_id = s.user_id AND q.rn = s.rn + 1))))"""
+
+
+_OFFERS = f"WITH RECURSIVE {_SAMPLES},{_walked('first', 'SELECT * FROM samples')}"
+
 ORACLE = {
+    "nudge_call": f"""{_OFFERS}
+SELECT user_id, ts_ms, nudge_id, kind, title, meeting_title FROM first WHERE event = 'offered'""",
+    "nudge_actions": f"""{_OFFERS},
+answers AS (SELECT user_id, ts_ms + 60000 AS ts_ms, -1 AS event_id, 'action' AS what, nudge_id,
+            CASE WHEN ts_ms % 4 = 0 THEN 'accept' ELSE 'dismiss' END AS action, NULL::BOOLEAN AS busy, NULL::BOOLEAN AS recording,
+            NULL AS app, NULL AS cal_title, NULL AS cal_id FROM first WHERE event = 'offered' AND ts_ms % 2 = 0),
+{_walked('second', 'SELECT * FROM samples UNION ALL SELECT * FROM answers')}
+SELECT user_id, ts_ms, event, nudge_id, kind FROM second WHERE event IS NOT NULL""",
     "captions_live": E.ORACLE["captions_final"],
     "captions_live_partial": E.ORACLE["captions_partial"],
     "job_transitions_live": E.ORACLE["job_transitions"],

@@ -409,9 +409,11 @@ def labelled_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def speech_voices(spark: SparkSession, sf_dir: str, windows: DataFrame) -> DataFrame:
     """Embeddings for speech windows: one of three voices that change every few
-    seconds, with some of another vector of the table where the drawn number has one."""
+    seconds, with some of a vector drawn from the whole table."""
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    marked = voice_labels(windows).withColumn("vec_id", F.pmod(F.xxhash64("meeting_id", "win_id"), F.lit(2000)))
+    size = vectors.agg(F.count(F.lit(1)).alias("_n"))  # one row
+    marked = voice_labels(windows).join(F.broadcast(size)).withColumn(
+        "vec_id", F.pmod(F.xxhash64("meeting_id", "win_id"), F.col("_n"))).drop("_n")
     base = vectors.filter("vec_id < 3").select(F.col("vec_id").alias("label"), F.col("embedding").alias("_base"))
     mixed = marked.join(vectors, "vec_id", "left").join(F.broadcast(base), "label")
     vector = F.zip_with("_base", F.coalesce("embedding", "_base"), lambda a, b: a + b * F.lit(0.2).cast("float"))
