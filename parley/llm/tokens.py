@@ -25,8 +25,9 @@ from pyspark.sql import functions as F
 from parley.llm.common import map_arrow
 from parley.session import run_dir
 
-#: Tokens per block.
+#: Tokens per block, and documents that a task holds as Python objects at once.
 BLOCK = 1 << 20
+ROWS = 256
 #: The separator's id and the pattern that cuts a text before the merges.
 SEPARATOR = 50_256
 PATTERN = (r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -60,7 +61,7 @@ def write_flat(docs: DataFrame, path: str, ranks: str = RANKS) -> None:
 
     def run(batches):
         encode = tokenizer(shared.value).encode_ordinary
-        for batch in batches:
+        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
             parts, values = [], []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 ids = np.array(encode(text), ">u2").tobytes() if text else b""
