@@ -133,7 +133,7 @@ def train(filler):
             for g in sorted(grams(tokens)):
                 known.setdefault(g, len(known))
     rows = [sorted(known[g] for g in grams(t) if g in known) for t, _ in data]
-    x = Sparse(rows, len(known))
+    x = Sparse.of_rows(rows, len(known))
     learn, check = np.flatnonzero(~held), np.flatnonzero(held)
     weights, biases, odds, truth = [], [], [], []
     for family in FAMILIES:
@@ -144,7 +144,7 @@ def train(filler):
         weights.append(w)
         biases.append(b)
     z = np.concatenate(odds)
-    line = Sparse([[0]] * len(z), 1, [[v] for v in z])
+    line = Sparse(np.arange(len(z)), np.zeros(len(z), np.int64), z, (len(z), 1))
     scale, shift = fit_logistic(line, np.concatenate(truth), 0.01)
     return known, np.array(weights), np.array(biases), (float(scale[0]), shift)
 

@@ -8,25 +8,31 @@ def sigmoid(x):
 
 
 class Sparse:
-    """Rows of feature numbers, with values or all 1."""
+    """A matrix as entries (row, column, value); the sums over equal places count."""
 
-    def __init__(self, rows, n_features, values=None):
-        lengths = np.array([len(r) for r in rows], np.int64)
-        self.row = np.repeat(np.arange(len(rows)), lengths)
-        flat = [np.asarray(r, np.int64) for r in rows]
-        self.column = np.concatenate(flat) if flat else np.zeros(0, np.int64)
-        self.value = np.ones(len(self.column)) if values is None else np.concatenate(
-            [np.asarray(v, float) for v in values]) if len(values) else np.zeros(0)
-        self.shape = (len(rows), n_features)
+    def __init__(self, row, column, value, shape):
+        self.row, self.column, self.value, self.shape = row, column, value, shape
+
+    @classmethod
+    def of_rows(cls, rows, n_features, values=None):
+        """From lists of feature numbers per row, with values or all 1."""
+        lengths = [len(r) for r in rows]
+        flat = lambda parts, kind: np.concatenate([np.asarray(p, kind) for p in parts]) if len(parts) else np.zeros(0, kind)
+        column = flat(rows, np.int64)
+        value = np.ones(len(column)) if values is None else flat(values, float)
+        return cls(np.repeat(np.arange(len(rows)), lengths), column, value, (len(rows), n_features))
+
+    def plus(self, values):
+        """With one more column."""
+        n, d = self.shape
+        return Sparse(np.r_[self.row, np.arange(n)], np.r_[self.column, np.full(n, d)], np.r_[self.value, values], (n, d + 1))
 
     def take(self, rows):
         """The given rows, in their order."""
-        out, place = Sparse([], self.shape[1]), np.full(self.shape[0], -1)
+        place = np.full(self.shape[0], -1)
         place[rows] = np.arange(len(rows))
         keep = place[self.row] >= 0
-        out.row, out.column, out.value = place[self.row[keep]], self.column[keep], self.value[keep]
-        out.shape = (len(rows), self.shape[1])
-        return out
+        return Sparse(place[self.row[keep]], self.column[keep], self.value[keep], (len(rows), self.shape[1]))
 
     def dot(self, weights):
         return np.bincount(self.row, self.value * weights[self.column], self.shape[0])

@@ -16,6 +16,7 @@ repeated labels for an id the first in order counts; an empty table gives an emp
 import re
 
 import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -125,27 +126,24 @@ def train(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, sample: int
         ids, texts, *marks = (c.to_pylist() for c in batch.columns)
         return [ids, [numbers(t or "", cache) for t in texts], [list(rates(t or "")) for t in texts], *marks]
     schema = "doc_id long, f array<int>, r array<double>, " + ", ".join(f"{y} int" for y in ys)
-    found = map_arrow(rows.select("doc_id", "text", *ys), vector, schema).collect()  # at most `sample` rows
-    found.sort(key=lambda r: (r[0], r[1]))
-    fold = folds([r[0] for r in found], FOLDS)
-    d = len(known) + N_RATES
-    index = [r[1] + list(range(len(known), d)) for r in found]
-    value = [[1.0] * len(r[1]) + r[2] for r in found]
-    models = []
+    found = map_arrow(rows.select("doc_id", "text", *ys), vector, schema).toArrow()  # at most `sample` rows
+    found = found.take(np.argsort(found["doc_id"].to_numpy(), kind="stable"))
+    ids, n, k = found["doc_id"].to_pylist(), found.num_rows, len(known)
+    lengths = pc.list_value_length(found["f"]).to_numpy()
+    column, dense = pc.list_flatten(found["f"]).to_numpy(), pc.list_flatten(found["r"]).to_numpy()
+    x = Sparse(np.r_[np.repeat(np.arange(n), lengths), np.repeat(np.arange(n), N_RATES)].astype(np.int64),
+               np.r_[column, np.tile(np.arange(k, k + N_RATES), n)].astype(np.int64),
+               np.r_[np.ones(len(column)), dense], (n, k + N_RATES))
+    fold, models = folds(ids, FOLDS), []
     for i in range(len(ys)):
-        x = Sparse(index, d + i, value)
-        y = np.array([r[3 + i] for r in found], float)
+        y = found[ys[i]].to_numpy().astype(float)
         models.append(fit_logistic(x, y, PENALTY))
-        if i + 1 == len(ys):
-            break
-        odds = np.zeros(len(found))
-        for k in range(FOLDS):
-            out = np.flatnonzero(fold == k)
-            w, b = fit_logistic(x.take(np.flatnonzero(fold != k)), y[fold != k], PENALTY)
+        odds = np.zeros(n)
+        for part in range(FOLDS if i + 1 < len(ys) else 0):
+            out = np.flatnonzero(fold == part)
+            w, b = fit_logistic(x.take(np.flatnonzero(fold != part)), y[fold != part], PENALTY)
             odds[out] = x.take(out).dot(w) + b
-        for j, o in enumerate(np.clip(odds, -10, 10)):
-            index[j] = index[j] + [d + i]
-            value[j] = value[j] + [float(o)]
+        x = x.plus(np.clip(odds, -10, 10))
     return known, [(w.tolist(), b) for w, b in models]
 
 

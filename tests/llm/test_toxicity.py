@@ -49,7 +49,7 @@ def test_logistic_regression_is_at_its_minimum():
     r = np.random.default_rng(0)
     dense = (r.random((300, 12)) < 0.3) * r.random((300, 12))
     y = (dense[:, 0] + dense[:, 1] + 0.3 * r.random(300) > 0.6).astype(float)
-    x = linear.Sparse([np.flatnonzero(d) for d in dense], 12, [d[d != 0] for d in dense])
+    x = linear.Sparse.of_rows([np.flatnonzero(d) for d in dense], 12, [d[d != 0] for d in dense])
     w, b = linear.fit_logistic(x, y, 0.5, rounds=5000, tolerance=1e-9)
     error = linear.sigmoid(dense @ w + b) - y
     assert np.abs(dense.T @ error + 0.5 * w).max() < 1e-3 and abs(error.sum()) < 1e-3
