@@ -59,17 +59,21 @@ def term_filter(items: DataFrame):
 
 
 class _Terms(Codes):
-    """Term to its number in the block, or -1 for a term outside the filter."""
+    """Term to its number in the block, or -1 for a term outside the filter. Forgetting words
+    when it is full costs a lookup only: a term keeps its number until the block ends."""
 
     def __init__(self, bits):
-        self.bits, self.names = bits, []
+        self.bits, self.numbers = bits, {}
 
     def code(self, word):
         bit = zlib.crc32(word) % FILTER_BITS
         if self.bits is not None and not self.bits[bit >> 3] >> (bit & 7) & 1:
             return -1
-        self.names.append(word)
-        return len(self.names) - 1
+        return self.numbers.setdefault(word, len(self.numbers))
+
+    def end_block(self):
+        self.clear()
+        self.numbers = {}
 
 
 def _block(ids, keys, texts, terms):
@@ -93,7 +97,8 @@ def _block(ids, keys, texts, terms):
     step = np.diff(where, prepend=0)
     if len(first):
         step[first] = where[first]
-    names = [terms.names[c] for c in codes[first]]
+    known = list(terms.numbers)
+    names = [known[c] for c in codes[first]]
     return ids, keys, starts, sizes, names, counts.tolist(), step.astype("<i8").tobytes()
 
 
@@ -130,8 +135,8 @@ def build_index(docs: DataFrame, bits=None) -> DataFrame:
                 size += len(text or b"") // 6 + 1
                 if size >= BLOCK_WORDS:
                     yield row(part)
-                    terms.clear()
-                    terms.names, ids, keys, texts, size, number = [], [], [], [], 0, number + 1
+                    terms.end_block()
+                    ids, keys, texts, size, number = [], [], [], 0, number + 1
         if ids:
             yield row(part)
     return cut_lineage(rows.mapInArrow(run, kind))

@@ -74,6 +74,18 @@ def test_chunks_and_blocks(spark, monkeypatch):
     check(spark, [(i, prose(i, 40) + " " + ITEMS[i % 4][1]) for i in range(12)], ITEMS)
 
 
+def test_more_distinct_words_than_the_cache_holds(spark, monkeypatch):
+    """One block and one long document; matches stand before, between and after the clearings."""
+    noise = [" ".join(f"w{k}x{i}" for i in range(30)) for k in range(8)]
+    rows = [(k, f"{noise[k]} {ITEMS[k % 4][1]} {noise[7 - k]} {ITEMS[0][1]}") for k in range(8)]
+    rows.append((99, " ".join(text for _, text in rows)))
+    monkeypatch.setattr(decontaminate._Terms, "LIMIT", 16)
+    terms = decontaminate._Terms(None)
+    names = decontaminate._block([1], [1], [rows[-1][1].encode()], terms)[4]
+    assert len(names) == len(set(names)) > 16
+    check(spark, rows, ITEMS)
+
+
 def test_whole_index(spark):
     """An index of every term finds the same as one of the items' terms."""
     rows = docs(spark, [(1, ITEMS[0][1]), (2, prose(9, 50)), (3, ITEMS[1][1] + " x")])
