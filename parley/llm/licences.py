@@ -1,20 +1,24 @@
 """Licence scan: a trained paragraph classifier, confirmed by templates.
 
-A paragraph is a line of a document. One logistic regression per licence family, over the
+A paragraph is a run of lines with words. One logistic regression per licence family, over the
 words and word pairs of a paragraph, is fitted on paragraphs made from the family's
 templates (whole, cut at either end, with words left out, inside running text), on those of
 the other families, and on a bounded sample of the corpus's own paragraphs that name no
-licence. Scores are calibrated on held-out paragraphs (scale and shift of the log odds), and a
-paragraph whose best family stays below `THRESHOLD` is unknown. A prediction is confirmed if
-the paragraph holds enough of the word pairs of one template of the family.
+licence. Scores are calibrated on held-out paragraphs (scale and shift of the log odds).
+Candidates are the stretches of words, over the ends of lines and paragraphs, that hold enough
+of the word pairs of a template; each place goes to the likeliest of the families whose
+template is there, if it reaches `THRESHOLD`. A paragraph with a word pair of a template and
+without a notice is unknown.
 
-Defined results: null and empty texts have no paragraph; a paragraph with two families gets
-the likelier, on a tie the first by name; repeated rows give one row each; an empty table
-gives an empty one (and the models then know the templates only).
+Defined results: null and empty texts have no paragraph; notices that stand one after the
+other all count, also in one line; one place with two families gets the likelier, on a tie the
+first by name; a title alone ("MIT License") is no notice; repeated rows give one row each; an
+empty table gives an empty one (and the models then know the templates only).
 """
 
 import re
 import zlib
+from bisect import bisect_left, bisect_right, insort
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -75,28 +79,78 @@ def grams(tokens):
     return set(tokens) | {a + " " + b for a, b in zip(tokens, tokens[1:])}
 
 
-#: Word pairs of the templates; only a paragraph with one of them can be a licence notice.
-_PAIRS = {f: [{a + " " + b for a, b in zip(w, w[1:])} for w in map(words, ts)] for f, ts in TEMPLATES.items()}
-_CUES = frozenset(p for ts in _PAIRS.values() for t in ts for p in t)
+#: Templates as (family, number of words, word pairs), and the templates that hold a pair.
+_TEMPLATES = [(f, len(w), frozenset(a + " " + b for a, b in zip(w, w[1:])))
+              for f in FAMILIES for w in map(words, TEMPLATES[f])]
+_CUES = {}
+for _i, (_, _, _own) in enumerate(_TEMPLATES):
+    for _p in _own:
+        _CUES.setdefault(_p, []).append(_i)
 _FIRST = frozenset(p.split()[0] for p in _CUES)
 
 
-def spans(tokens):
-    """The parts of a paragraph around its cues: (tokens) with at most SPAN words to either side."""
-    at = [i for i in range(len(tokens) - 1) if tokens[i] in _FIRST and tokens[i] + " " + tokens[i + 1] in _CUES]
+def cues(tokens):
+    """(place, word pair) where two tokens are a word pair of a template."""
+    return [(i, pair) for i in range(len(tokens) - 1)
+            if tokens[i] in _FIRST and (pair := tokens[i] + " " + tokens[i + 1]) in _CUES]
+
+
+def windows(found):
+    """(begin, end, family, share, places of the pairs): shortest stretches of tokens, at most twice as long
+    as a template, that hold at least CONFIRM of its word pairs. Those of one family do not overlap: the
+    larger share comes first, then the shorter, then the earlier. `found`: the cues."""
+    places = {}
+    for i, pair in found:
+        for t in _CUES[pair]:
+            places.setdefault(t, []).append((i, pair))
+    every = {}
+    for t, own in places.items():
+        family, size, pairs = _TEMPLATES[t]
+        left, held = 0, {}
+        for i, pair in own:
+            held[pair] = held.get(pair, 0) + 1
+            while i + 2 - own[left][0] > 2 * size or held[own[left][1]] > 1:
+                gone = own[left][1]
+                held[gone] -= 1
+                if not held[gone]:
+                    del held[gone]
+                left += 1
+            if len(held) >= CONFIRM * len(pairs):
+                every.setdefault(family, []).append((-len(held) / len(pairs), i + 2 - own[left][0], own[left][0], t))
     out = []
-    for i in at:
-        if out and i - SPAN <= out[-1][1]:
-            out[-1][1] = i + SPAN
-        else:
-            out.append([max(0, i - SPAN), i + SPAN])
-    return [tokens[a:b] for a, b in out]
+    for family, options in every.items():
+        taken = []  # begin and end in order
+        for share, size, begin, t in sorted(options):
+            end = begin + size
+            at = bisect_left(taken, (end, 0))
+            if not at or taken[at - 1][1] <= begin:
+                insort(taken, (begin, end))
+                own = places[t][bisect_left(places[t], (begin, "")):bisect_left(places[t], (end - 1, ""))]
+                out.append((begin, end, family, -share, frozenset(i for i, _ in own)))
+    return sorted(out, key=lambda w: w[:3])
 
 
-def confirmed(tokens, family):
-    """Greatest share of a template's word pairs that the tokens hold."""
-    own = {a + " " + b for a, b in zip(tokens, tokens[1:])}
-    return max(len(own & t) / len(t) for t in _PAIRS[family])
+def notices(tokens, found, model):
+    """(begin, end, family, probability, share) of the notices among the tokens. Windows that have more than
+    half of the pairs of either in common are one place, which goes to the likeliest of their families."""
+    places, near = [], []
+    for window in windows(found):
+        near = [place for place in near if max(w[1] for w in place) > window[0]]
+        for place in near:
+            if any(2 * len(w[4] & window[4]) > min(len(w[4]), len(window[4])) for w in place):
+                place.append(window)
+                break
+        else:
+            places.append([window])
+            near.append(places[-1])
+    out = []
+    for place in places:
+        begin, end = min(w[0] for w in place), max(w[1] for w in place)
+        p = probabilities(tokens[begin:end], model)
+        odds, family, share = min((-p[FAMILIES.index(w[2])], w[2], -w[3]) for w in place)
+        if -odds >= THRESHOLD:
+            out.append((begin, end, family, float(-odds), -share))
+    return out
 
 
 def examples(filler):
@@ -149,20 +203,59 @@ def train(filler):
     return known, np.array(weights), np.array(biases), (float(scale[0]), shift)
 
 
-def classify(tokens, model):
-    """(family or 'unknown', probability, template share) of one part of a paragraph."""
+def probabilities(tokens, model):
+    """Calibrated probability of every family."""
     known, weights, biases, (scale, shift) = model
     at = [known[g] for g in grams(tokens) if g in known]
-    p = sigmoid(scale * (weights[:, at].sum(axis=1) + biases) + shift)
+    return sigmoid(scale * (weights[:, at].sum(axis=1) + biases) + shift)
+
+
+def paragraphs(text):
+    """(first line, last line, first token, end) of the runs of lines that have words, and the line of each
+    of their tokens."""
+    out, lines, open_ = [], [], False
+    for i, line in enumerate(text.split("\n")):
+        n = len(words(line))
+        if n and open_:
+            out[-1][1], out[-1][3] = i, len(lines) + n
+        elif n:
+            out.append([i, i, len(lines), len(lines) + n])
+        open_ = bool(n)
+        lines.extend([i] * n)
+    return out, lines
+
+
+def likeliest(tokens, found, model):
+    """(family or 'unknown', probability) of a paragraph's tokens around its cues."""
+    p = probabilities(tokens[max(0, found[0][0] - SPAN):found[-1][0] + SPAN], model)
     best = int(np.argmax(p))
-    if p[best] < THRESHOLD:
-        return "unknown", float(p[best]), 0.0
-    return FAMILIES[best], float(p[best]), confirmed(tokens, FAMILIES[best])
+    return (FAMILIES[best] if p[best] >= THRESHOLD else "unknown"), float(p[best])
+
+
+def scan_text(text, model):
+    """The structs of `scan` for one text."""
+    tokens = words(text or "")
+    found = cues(tokens)
+    if not found:
+        return []
+    blocks, lines = paragraphs(text)
+    starts, at = [b[2] for b in blocks], [i for i, _ in found]
+    out, explained = [], set()
+    for begin, end, family, p, share in notices(tokens, found, model):
+        out.append({"line": lines[begin], "last_line": lines[end - 1], "family": family, "p": p, "share": share,
+                    "confirmed": True})
+        explained.update(range(bisect_right(starts, begin) - 1, bisect_right(starts, end - 1)))
+    for k, (first, last, begin, end) in enumerate(blocks):
+        own = found[bisect_left(at, begin):bisect_left(at, end)]
+        if own and k not in explained:
+            family, p = likeliest(tokens[begin:end], [(i - begin, pair) for i, pair in own], model)
+            out.append({"line": first, "last_line": last, "family": family, "p": p, "share": 0.0, "confirmed": False})
+    return out
 
 
 def scan(docs: DataFrame, sample: int = SAMPLE_LINES) -> DataFrame:
-    """doc_id and found: struct(line, family, p, share, confirmed) of every part of a paragraph that has a
-    word pair of a template, for every row of `docs` (doc_id, text)."""
+    """doc_id and found: struct(line, last_line, family, p, share, confirmed) of every notice and of every
+    paragraph without one that has a word pair of a template, for every row of `docs` (doc_id, text)."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     some = rows.select("doc_id").filter("doc_id IS NOT NULL").distinct().orderBy(F.xxhash64("doc_id"), "doc_id")
@@ -170,24 +263,14 @@ def scan(docs: DataFrame, sample: int = SAMPLE_LINES) -> DataFrame:
     plain = plain.filter(~F.col("t").rlike("(?i)licen[sc]e|rights reserved|copyright|creative commons|spdx|cc by"))
     lines = [r[0] for r in plain.select(F.substring("t", 1, 2_000).alias("t")).distinct()
              .orderBy(F.xxhash64("t"), "t").limit(sample).collect()]
+    # A line of a wrapped notice need not name a licence; it is no example without one.
+    lines = [t for t in lines if not (own := cues(words(t))) or 2 * len(own) < len(words(t)) - 1]
     shared = spark.sparkContext.broadcast(train(lines))
 
     def run(batch):
-        out = []
-        for text in batch.column(1).to_pylist():
-            own = []
-            for i, line in enumerate((text or "").split("\n")):
-                tokens = words(line)
-                if _FIRST.isdisjoint(tokens):
-                    continue
-                for part in spans(tokens):
-                    family, p, share = classify(part, shared.value)
-                    own.append({"line": i, "family": family, "p": p, "share": share,
-                                "confirmed": family != "unknown" and share >= CONFIRM})
-            out.append(own)
-        return batch.column(0), out
-    return map_arrow(rows, run, "doc_id long, found array<struct<line:int,family:string,p:double,share:double,"
-                                "confirmed:boolean>>")
+        return batch.column(0), [scan_text(text, shared.value) for text in batch.column(1).to_pylist()]
+    return map_arrow(rows, run, "doc_id long, found array<struct<line:int,last_line:int,family:string,p:double,"
+                                "share:double,confirmed:boolean>>")
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -29,6 +29,41 @@ def test_families(spark):
     assert all(got[1000 + i] == "" for i in range(len(clean)))
 
 
+WRAPPED = {
+    "mit": ["MIT License", "", "Copyright (c) 2020 A. Author", "",
+            "Permission is hereby granted, free of charge, to any person obtaining a copy",
+            'of this software and associated documentation files (the "Software"), to deal',
+            "in the Software without restriction, including without limitation the rights"],
+    "gpl": ["This program is free software: you can redistribute it and/or modify",
+            "it under the terms of the GNU General Public License as published by",
+            "the Free Software Foundation, either version 3 of the License, or"],
+    "bsd": ["Redistribution and use in source and binary forms, with or without",
+            "modification, are permitted provided that the following conditions are met:"],
+    "apache": ['Licensed under the Apache License, Version 2.0 (the "License");',
+               "you may not use this file except in compliance with the License.",
+               "You may obtain a copy of the License at"],
+    "cc-by-sa": ["This work is licensed under a Creative Commons", "Attribution-ShareAlike 4.0", "International License."],
+}
+
+
+def test_wrapped_notices(spark):
+    """Lines as files have them: plain, with \\r, behind comment signs, with empty lines between, in other text."""
+    rows, want = [], {}
+    for family, lines in WRAPPED.items():
+        for text in ("\n".join(lines), "\r\n".join(lines), "/*\n" + "\n".join(" * " + x for x in lines) + "\n */",
+                     "\n\n".join("# " + x for x in lines), prose(6, 40) + "\n" + "\n".join(lines) + "\n" + prose(7, 40)):
+            rows.append((len(rows), text))
+            want[rows[-1][0]] = family
+    got = licences.report(docs(spark, rows)).collect()
+    assert {r["doc_id"]: (r["families"], r["n_notices"]) for r in got} == {k: (f, 1) for k, f in want.items()}
+
+
+def test_lines_of_a_notice(spark):
+    text = "\n".join(["first", "", *WRAPPED["gpl"], "last"])
+    found = [x for x in licences.scan(docs(spark, [(1, text)])).collect()[0]["found"] if x["confirmed"]]
+    assert [(x["line"], x["last_line"], x["family"]) for x in found] == [(2, 4, "gpl")]
+
+
 def test_several_in_one_document(spark):
     text = "\n".join([HELD_OUT["mit"][0], prose(4, 30), HELD_OUT["gpl"][0], HELD_OUT["mit"][0]])
     row = licences.report(docs(spark, [(1, text)])).collect()[0]
