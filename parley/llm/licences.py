@@ -32,7 +32,7 @@ SAMPLE_LINES = 4_000
 THRESHOLD = 0.5
 #: Least share of a template's word pairs that confirms a prediction.
 CONFIRM = 0.6
-#: Words of a paragraph before and after which nothing is looked at by one step of a long one.
+#: Words between the windows of a long paragraph without a notice; a window has twice as many.
 SPAN = 60
 
 # Sentences by which licences are named or granted.
@@ -226,10 +226,17 @@ def paragraphs(text):
 
 
 def likeliest(tokens, found, model):
-    """(family or 'unknown', probability) of a paragraph's tokens around its cues."""
-    p = probabilities(tokens[max(0, found[0][0] - SPAN):found[-1][0] + SPAN], model)
-    best = int(np.argmax(p))
-    return (FAMILIES[best] if p[best] >= THRESHOLD else "unknown"), float(p[best])
+    """(family or 'unknown', probability) of a paragraph: the likeliest of its windows of 2 * SPAN words. A
+    window begins SPAN / 2 words before the first cue that is SPAN words behind the cue of the one before."""
+    begin, best = None, ("unknown", 0.0)
+    for i, _ in found:
+        if begin is None or i >= begin + SPAN:
+            begin = i
+            p = probabilities(tokens[max(0, i - SPAN // 2):i + SPAN + SPAN // 2], model)
+            k = int(np.argmax(p))
+            if p[k] > best[1]:
+                best = (FAMILIES[k] if p[k] >= THRESHOLD else "unknown"), float(p[k])
+    return best
 
 
 def scan_text(text, model):

@@ -70,6 +70,23 @@ def test_several_in_one_document(spark):
     assert (row["n_notices"], row["families"]) == (3, "gpl,mit")
 
 
+def test_several_in_one_line(spark):
+    """Dual licences, notices far apart in one line, and one licence named twice."""
+    mit, apache, gpl = "Released under the MIT License.", HELD_OUT["apache"][0], HELD_OUT["gpl"][0]
+    rows = [(1, mit + " " + apache), (2, apache + " " + mit), (3, mit + " " + prose(8, 4_000) + " " + gpl),
+            (4, " ".join([gpl, apache, mit, HELD_OUT["reserved"][0]])), (5, mit + " " + mit), (6, gpl + " of the " * 5_000 + mit)]
+    got = {r["doc_id"]: (r["families"], r["n_notices"]) for r in licences.report(docs(spark, rows)).collect()}
+    assert got == {1: ("apache,mit", 2), 2: ("apache,mit", 2), 3: ("gpl,mit", 2), 4: ("apache,gpl,mit,reserved", 4),
+                   5: ("mit", 2), 6: ("gpl,mit", 2)}
+
+
+def test_near_families_in_one_place(spark):
+    """Templates that have most word pairs in common: one place has one family."""
+    rows = [(f, t) for f, ts in licences.TEMPLATES.items() for t in ts]
+    got = licences.report(docs(spark, [(i, t) for i, (_, t) in enumerate(rows)])).collect()
+    assert {r["doc_id"]: r["families"] for r in got} == {i: f for i, (f, _) in enumerate(rows)}
+
+
 def test_planted_notices(spark, sf_dir):
     """Every document of the table with one of these sentences gets its family, and no other does."""
     table = spark.read.parquet(f"{sf_dir}/documents.parquet")
