@@ -1,17 +1,22 @@
 """URL filter: rules by host and path, and trust spread over the links between hosts.
 
-Hosts of which most pages a rule allows are trusted seeds, hosts of which most pages a rule
-blocks are distrusted seeds. Personalised PageRank runs from the trusted seeds along the
-links; distrust runs from the blocked seeds against them, to the hosts that link there. A
-page that no rule fits has its host's verdict: block where distrust makes up more than
-`limit` of the host's trust and distrust, else allow. The graph has a row per host and
-per pair of linked hosts, so rounds move those rows only.
+Every host with pages that a rule allows is a trusted seed, every host with pages that a rule
+blocks a distrusted one, in proportion to their number; `majority` keeps the hosts of which
+most pages are allowed, or blocked. Personalised PageRank runs from the trusted seeds along
+the links; distrust runs from the blocked seeds against them, to the hosts that link there,
+until a round moves less than `tolerance` or for `rounds`. A page that no rule fits has its
+host's verdict: block where distrust makes up more than `limit` of the host's trust and
+distrust, else allow. What a host has from its own seed speaks for other pages of that host
+only if the seed stands for most of its pages. The graph has a row per host and per pair of
+linked hosts, so rounds move those rows only.
 
 Defined results: a null url, or one without "://", has an empty host and path; such a host
 takes no part in the graph and is allowed, as is every host that no seed reaches. A null
 html has no links. Repeated rows give one row each.
 """
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,53 +59,61 @@ def links(pages: DataFrame) -> DataFrame:
             .groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n")))
 
 
-def spread(seeds: DataFrame, edges: DataFrame, rounds: int, tolerance: float) -> DataFrame:
-    """Personalised PageRank: host, score. `seeds`: host, seed (adding up to 1 unless none);
-    `edges`: src, dst, n. What hosts without links hold goes back to the seeds."""
+def spread(seeds: DataFrame, edges: DataFrame, rounds: int | None, tolerance: float) -> DataFrame:
+    """Personalised PageRank: host, score, own (what of it the seed gives). `seeds`: host, seed (adding up to 1 unless none);
+    `edges`: src, dst, n. What hosts without links hold goes back to the seeds. `rounds`: None goes on
+    until a round moves less than `tolerance`; a round moves at most DAMPING of what the last one did."""
     out = edges.groupBy("src").agg(F.sum("n").alias("total"))
     edges = cut_lineage(edges.join(out, "src").select("src", "dst", (F.col("n") / F.col("total")).alias("part")))
-    hosts = cut_lineage(seeds.select("host", "seed", F.col("seed").alias("score"))
+    hosts = cut_lineage(seeds.select("host", "seed", F.col("seed").alias("score"), F.col("seed").alias("own"))
                         .join(out.select(F.col("src").alias("host"), F.lit(True).alias("linked")), "host", "left"))
     if edges.isEmpty():
-        return hosts.select("host", "score")
-    for _ in range(rounds):
+        return hosts.select("host", "score", "own")
+    for _ in count() if rounds is None else range(rounds):
         stuck = hosts.filter("linked IS NULL").agg(F.coalesce(F.sum("score"), F.lit(0.0))).first()[0]
         into = (edges.join(hosts.select(F.col("host").alias("src"), "score"), "src")
                 .groupBy(F.col("dst").alias("host")).agg(F.sum(F.col("part") * F.col("score")).alias("into")))
         new = (1 - DAMPING) * F.col("seed") + DAMPING * (F.coalesce("into", F.lit(0.0)) + stuck * F.col("seed"))
+        own = (1 - DAMPING + DAMPING * stuck) * F.col("seed")
         hosts = cut_lineage(hosts.join(into, "host", "left").select(
-            "host", "seed", new.alias("score"), F.abs(new - F.col("score")).alias("moved"), "linked"))
+            "host", "seed", new.alias("score"), own.alias("own"), F.abs(new - F.col("score")).alias("moved"), "linked"))
         if (hosts.agg(F.sum("moved")).first()[0] or 0.0) < tolerance:
             break
-    return hosts.select("host", "score")
+    return hosts.select("host", "score", "own")
 
 
-def host_scores(pages: DataFrame, rounds: int = 20, tolerance: float = 1e-6) -> DataFrame:
-    """host, trust, distrust. `pages`: host, html, verdict of the rules or null."""
+def host_scores(pages: DataFrame, rounds: int | None = 20, tolerance: float = 1e-6, majority: bool = True) -> DataFrame:
+    """host, trust, distrust, and heard_trust, heard_distrust: the part that counts for pages without a
+    rule. `pages`: host, html, verdict of the rules or null."""
     edges = cut_lineage(links(pages))
     counts = pages.filter("host <> ''").groupBy("host").agg(
         F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("verdict") == "allow", 1)).alias("good"),
         F.count(F.when(F.col("verdict") == "block", 1)).alias("bad"))
     ends = edges.select(F.explode(F.array("src", "dst")).alias("host")).distinct()
     counts = cut_lineage(counts.join(ends, "host", "full").fillna(0))
-    sums = counts.agg(F.sum(F.when(F.col("good") * 2 > F.col("n"), F.col("good"))),
-                      F.sum(F.when(F.col("bad") * 2 > F.col("n"), F.col("bad")))).first()
-    scores = counts.select("host")
+    most = {c: F.col(c) * 2 > F.col("n") for c in ("good", "bad")}
+    kept = {c: F.col(c) if not majority else F.when(most[c], F.col(c)).otherwise(0) for c in most}
+    sums = counts.agg(F.sum(kept["good"]), F.sum(kept["bad"])).first()
+    scores = counts.select("host", "n", "good", "bad")
     flipped = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n")
     for name, column, total, graph in (("trust", "good", sums[0], edges), ("distrust", "bad", sums[1], flipped)):
-        own = F.when(F.col(column) * 2 > F.col("n"), F.col(column) / F.lit(float(total or 1))).otherwise(F.lit(0.0))
+        own = kept[column] / F.lit(float(total or 1))
         found = spread(counts.select("host", own.alias("seed")), graph, rounds, tolerance)
-        scores = scores.join(found.withColumnRenamed("score", name), "host")
-    return scores
+        scores = scores.join(found, "host").withColumn(
+            "heard_" + name, F.when(most[column], F.col("score")).otherwise(F.greatest(F.col("score") - F.col("own"), F.lit(0.0)))
+        ).withColumnRenamed("score", name).drop("own")
+    return scores.drop("n", "good", "bad")
 
 
-def judge(pages: DataFrame, rules=tuple(RULES), limit: float = 0.5) -> DataFrame:
+def judge(pages: DataFrame, rules=tuple(RULES), limit: float = 0.5, majority: bool = True,
+          rounds: int | None = 20) -> DataFrame:
     """page_id, host, path, rule, verdict, trust and distrust of every row of `pages` (page_id, url, html)."""
     host, path = split_url(F.col("url").cast("string"))
     split = pages.select("page_id", host.alias("host"), path.alias("path"), F.col("html").cast("string").alias("html"))
     found = split.withColumn("found", rule_of(F.col("host"), F.col("path"), rules))
-    scores = host_scores(found.select("host", "html", F.col("found.verdict").alias("verdict")))
-    bad = F.col("distrust") > limit * (F.col("trust") + F.col("distrust"))
+    scores = host_scores(found.select("host", "html", F.col("found.verdict").alias("verdict")),
+                         rounds, majority=majority)
+    bad = F.col("heard_distrust") > limit * (F.col("heard_trust") + F.col("heard_distrust"))
     return (found.drop("html").join(scores, "host", "left")
             .select("page_id", "host", "path", F.col("found.rule").alias("rule"),
                     F.coalesce("found.verdict", F.when(bad, "block").otherwise("allow")).alias("verdict"),

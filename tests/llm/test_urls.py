@@ -84,6 +84,25 @@ def test_graph(spark):
     assert {v[4] for v in got if v[3] is None} == {"allow", "block"}
 
 
+def test_seeds_below_a_majority(spark, tmp_path):
+    """Hosts that link to a host with 45 % blocked pages are distrusted by the query, also 22 links away."""
+    from parley.llm.queries import QUERIES
+    rows = [(i, f"http://part.com/{'de' if i < 9 else 'x'}/{i}", "") for i in range(20)]
+    rows += [(100 + k, f"http://h{k}.net/p", f'<a href="http://{f"h{k - 1}.net" if k else "part.com"}/">l</a>') for k in range(22)]
+    rows += [(200, "http://else.net/p", '<a href="http://h99.net/">l</a>'), (201, "http://few.com/fr/1", ""), (202, "http://few.com/x", "")]
+    spark.createDataFrame(rows, PAGES).coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r["page_id"]: r for r in QUERIES["op7_url_filter"](spark, str(tmp_path)).collect()}
+    assert len(got) == len(rows)
+    assert all(got[100 + k]["verdict"] == "block" and got[100 + k]["distrust"] > 0 for k in range(22))
+    assert {got[i]["verdict"] for i in range(9)} == {"block"}
+    assert {got[i]["verdict"] for i in (*range(9, 20), 200, 201, 202)} == {"allow"}
+    assert got[9]["distrust"] > 0 and got[202]["trust"] > 0 and got[200]["distrust"] == 0
+    seed = {h: float(h == "part.com") for h in ["part.com", "else.net", "h99.net", *(f"h{k}.net" for k in range(22))]}
+    edges = {(f"h{k - 1}.net" if k else "part.com", f"h{k}.net"): 1 for k in range(22)} | {("h99.net", "else.net"): 1}
+    want = rank(seed, edges, 1_000)
+    assert all(abs(got[100 + k]["distrust"] - want[f"h{k}.net"]) < 1e-9 for k in range(22))
+
+
 def test_rules(spark):
     rows = [(1, "https://EXAMPLE.org/es/a", ""), (2, "http://www.example.org/en/12?x", None), (3, "http://a.org", ""),
             (4, "http://a.org/x/es/", ""), (5, "ftp://b.com/fr/", ""), (6, "http://b.com/de/#a", ""),
