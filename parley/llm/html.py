@@ -46,11 +46,27 @@ CHROME_WORDS = set(
     "notices notification pager pagination popup promo promotion recommended related replies reply search share "
     "sharing sidebar signup skip social sponsor sponsored subscribe toolbar topbar widget".split())
 CHROME_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "form", "menu"}
+#: Words that a class or id may have besides; "comments-open" or "no-sidebar" tell a state of the page.
+PART_WORDS = set("area bar bars block body bottom box btn button buttons container form global group icon icons inner item "
+                 "items left link links list module panel post posts primary right secondary section site slot text "
+                 "title top unit wrap wrapper".split())
+HEADER_WORDS = {"header", "main", "page", "entry", "article"}
+#: Elements whose class and id tell nothing about being left out; article counts unless it stands in another one.
+WHOLE = {"html", "body", "main"}
 CONTAINER_WORDS = {"article", "content", "entry", "main", "post", "story"}
 
 
-def _kind(tag, attributes, marked):
-    """'chrome', 'header', 'article' or '' for an element."""
+def _named(names, words, more=frozenset()):
+    """Whether a class or id is one of the words, or made of them and of PART_WORDS and `more` alone."""
+    for name in names:
+        parts = set(filter(None, re.split(r"[^a-z0-9]+", name)))
+        if parts & words and parts <= words | PART_WORDS | more:
+            return True
+    return False
+
+
+def _kind(tag, attributes, marked, named):
+    """'chrome', 'named' (chrome by class or id, if `named`), 'header', 'article' or '' for an element."""
     if tag in CHROME:
         return "chrome"
     found = {}
@@ -61,27 +77,36 @@ def _kind(tag, attributes, marked):
             re.search(r"display\s*:\s*none", found.get("style", "")):
         return "chrome"
     role = found.get("role", "")
-    names = set(re.split(r"[^a-z0-9]+", f"{found.get('class', '')} {found.get('id', '')}"))
-    if role in CHROME_ROLES or names & CHROME_WORDS:
+    whole = f"{found.get('class', '')} {found.get('id', '')}".split()
+    if role in CHROME_ROLES:
         return "chrome"
+    if named and _named(whole, CHROME_WORDS):
+        return "named"
     if tag in ("article", "main") or role in ("article", "main"):
         return "article"
-    if not marked and tag in ("div", "section") and names & CONTAINER_WORDS:
+    if not marked and tag in ("div", "section") and set(re.split(r"[^a-z0-9]+", " ".join(whole))) & CONTAINER_WORDS:
         return "article"
-    return "header" if tag == "header" or "header" in names else ""
+    if tag == "header":
+        return "header"
+    return "named header" if named and _named(whole, {"header"}, HEADER_WORDS | CHROME_WORDS) else ""
 
 
-def pieces(page):
+def pieces(page, opened=None):
     """(kind, name, n_words, text) per piece: 'word' with its context, 'skip' for words left
-    out, 'tag' with its name; a tag that ends a block has the text None, others ''."""
+    out, 'tag' with its name; a tag that ends a block has the text None, others ''.
+
+    `opened`: place of an element within which classes and ids do not count outside articles.
+    One that would leave out more article words than the rest of the page has is opened."""
     out, stack, marked, at = [], [], bool(_MARKED.search(page)), 0
-    chrome = inside = 0
+    chrome = named = inside = kept = 0
+    lost, outer, depth = {}, None, None
 
     def pop(i):
-        nonlocal chrome, inside
+        nonlocal chrome, named, inside
         while len(stack) > i:
             kind = stack.pop()[1]
             chrome -= kind == "chrome"
+            named -= kind == "named"
             inside -= kind == "article"
     while m := _TOKEN.match(page, at):
         at = m.end()
@@ -90,7 +115,12 @@ def pieces(page):
             n = len(text.split())
             blocks = [t for t, _ in stack if t not in INLINE][-2:]
             context = ("in>" if inside else "out>" if marked else "any>") + ">".join(blocks)
-            out.append(("skip" if chrome else "word", context, n, text, inside))
+            out.append(("skip" if chrome or named else "word", context, n, text, inside))
+            if inside and not chrome:
+                if named:
+                    lost[outer] = lost.get(outer, 0) + n
+                else:
+                    kept += n
             continue
         if m[2] is None:
             continue
@@ -113,13 +143,22 @@ def pieces(page):
                              any(t == "p" for t, _ in stack)) or \
                     stack and stack[-1][0] == tag and tag in ("li", "dt", "dd", "option", "tr", "td", "th"):
                 pop(len(stack) - 1)
-        kind = _kind(tag, m[3], marked)
-        if kind == "header":
-            kind = "" if inside else "chrome"
+        whole = tag in WHOLE or tag == "article" and not any(t == "article" for t, _ in stack)
+        if m.start() == opened:
+            depth = len(stack)
+        elif depth is not None and len(stack) <= depth:
+            depth = None
+        kind = _kind(tag, m[3], marked, not whole and bool(depth is None or inside))
+        if kind.endswith("header"):
+            kind = "" if inside else "chrome" if kind == "header" else "named"
+        if kind == "named" and not named:
+            kind, outer = ("chrome", outer) if inside else (kind, m.start())
         stack.append((tag, kind))
         chrome += kind == "chrome"
+        named += kind == "named"
         inside += kind == "article"
-    return out
+    most = max(lost, key=lost.get, default=None)
+    return pieces(page, most) if opened is None and lost.get(most, 0) > kept else out
 
 
 def score(piece, weights):

@@ -36,6 +36,17 @@ CASES = [
 ]
 
 
+STATES = ["<body class='has-sidebar no-search'>{}</body>", "<body class='search modal' id=sidebar><header>Site</header>{}</body>",
+          "<body class='has-header'><div class='sticky-header'>{}</div></body>", "<div id='page' class='share-enabled'>{}</div>",
+          "<div class='modal'>{}</div><div class='related'><article><p>Other</p></article></div>",
+          "<div class='content-sidebar-wrap'><div class='skip-lazy'>{}</div></div>"]
+ARTICLES = ["<article class='post comments-open'><p>Kept</p><p>text</p></article>",
+            "<main class='content no-sidebar'><p>Kept</p><p>text</p></main>", "<main class=search><p>Kept</p><p>text</p></main>",
+            "<main id=main><article class='post notice'><p>Kept</p><p>text</p><div class='share-buttons'>Share this</div>"
+            "<div class='ad-slot'>Buy</div></article><section class='comments-area'><article class='comment'>No</article></section></main>",
+            "<article><p>Kept</p><p>text</p><article class='comment'>Nice</article></article>"]
+
+
 @pytest.fixture(scope="module")
 def weights(spark, sf_dir):
     return html.learn_weights(spark.read.parquet(f"{sf_dir}/pages.parquet"))
@@ -47,6 +58,14 @@ def test_cases(weights, case):
     assert html.extract(source, weights) == text
 
 
+@pytest.mark.parametrize("article", range(len(ARTICLES)))
+@pytest.mark.parametrize("state", range(len(STATES)))
+def test_classes_that_tell_a_state(weights, state, article):
+    """Classes of a page, an article or an element around it do not hide the article; real chrome stays out."""
+    source = f"<html class='no-js modal'>{STATES[state].format(ARTICLES[article])}</html>"
+    assert html.extract(source, weights) == "Kept\ntext"
+
+
 def test_region_is_the_best_of_all():
     import random
     r = random.Random(1)
