@@ -85,3 +85,29 @@ def test_duckdb_runs_the_sql_on_an_empty_table():
     con = duckdb.connect()
     con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
     assert con.execute(lines.ORACLE).fetchall() == []
+
+
+def test_other_white_space_and_scripts(spark):
+    """Words between tabs, no-break and wide spaces, and letters of scripts without spaces count; a passage is
+    the same with other white space."""
+    rows, want = [], {}
+
+    def twice(first, second, gone):
+        rows.extend([(len(rows), f"head {len(rows)}\n{first}\ntail {len(rows)}"), (len(rows) + 1, f"{second}\nend")])
+        want[len(rows) - 2], want[len(rows) - 1] = [], gone
+    for k, space in enumerate(["\t", "\u00a0", "\u3000", "  ", " \t "]):
+        table = ["\t".join(prose(700 + 10 * k + i, 10).split()).replace("\t", space) for i in range(6)]
+        twice("\n".join(table), "\n".join(table), list(range(6)))
+        twice("\n".join(prose(900 + 10 * k + i, 30) for i in range(3)),
+              "\r\n".join(prose(900 + 10 * k + i, 30).replace(" ", space) for i in range(3)) + "\r", [0, 1, 2])
+    for k, letters in enumerate([range(0x4E00, 0x4E00 + 900), range(0x3042, 0x3082), range(0x0E01, 0x0E2E)]):
+        line = "".join(chr(letters[(7 * i + i * i // 5) % len(letters)]) for i in range(60))
+        twice(line + "\u3002", line + "\u3002", [0])
+        twice(line[:40], line[:40], [])  # below 50
+    few = prose(990, 30)
+    twice(few.replace(" ", "   "), few.replace(" ", "   "), [])
+    twice("h\u00e9 " + prose(991, 48), "h\u00e9 " + prose(991, 48), [])
+    twice("h\u00e9 " + prose(992, 49), "h\u00e9 " + prose(992, 49), [0])
+    found = {r["doc_id"]: r for r in lines.dedup_lines(docs(spark, rows)).collect()}
+    assert {k: r["__gone"] for k, r in found.items()} == want
+    assert all(found[k]["text"] == (text if not want[k] else "end") for k, text in rows)
