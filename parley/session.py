@@ -34,6 +34,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes the table that `cut_lineage` wrote, once nothing will read it again."""
+    spark = df.sparkSession
+    folder = next((p.rsplit("/", 1)[0] for p in df.inputFiles() if "/parley/rows-" in p), None)
+    if folder:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Partitioning for Python-heavy steps on `keys`. It takes the place of the shuffle
     the step needs anyway, with a number of partitions that adaptive execution keeps:

@@ -52,7 +52,7 @@ def difference(spark, con, query, sql, sf_dir):
         return f"columns {sorted(df.columns)} and {sorted(names)}"
     kinds = {n: str(t) for n, t, *_ in found.description}
     for name, kind in df.dtypes:
-        want = {"bigint": "BIGINT", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN"}.get(kind)
+        want = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN"}.get(kind)
         if want != kinds[name]:
             return f"type of {name}: {kind} and {kinds[name]}"
     if ours != theirs:
