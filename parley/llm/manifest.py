@@ -3,8 +3,8 @@
 A document is a leaf. The leaves of a source, by ascending id, are reduced by runs of `ARITY`
 nodes to the source's subroot, and the subroots, by source, to the root.
 
-Leaves are computed by Spark's own functions and range-sorted by (source, id, leaf) into a
-table of hashes, the only thing that is shuffled. A leaf's place in its source follows from
+Leaves are computed by Spark's own functions in one pass over the texts and written as a table
+of hashes, which is range-sorted by (source, id, leaf); texts are never shuffled. A leaf's place in its source follows from
 the table's partitions: each says how many rows it has and where its last source begins, one
 small row a partition, so a source that fills many partitions is numbered by many tasks.
 
@@ -206,7 +206,7 @@ def manifest(docs: DataFrame, tampered=even_checksum, levels: int = LEVELS, arit
     `tampered` says of an id's column whether the document's line feeds were taken out after the
     manifest was made.
     """
-    rows = leaves(docs, tampered)
+    rows = cut_lineage(leaves(docs, tampered))  # sampling for the ranges would hash every text once more
     ordered = rows.repartitionByRange("source", "doc_id", "leaf").sortWithinPartitions("source", "doc_id", "leaf")
     placed = numbered(cut_lineage(ordered.withColumn("at", F.monotonically_increasing_id())))
     placed = cut_lineage(placed.withColumnRenamed("leaf", "node"))
