@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley.schemas import CALENDAR_EVENT, MEETING
-from parley.sources.tables import replace_meetings
+from parley.sources import store
 
 # Meeting id, and a folder that ends in one.
 ID = r"^\d{8}-\d{6}$"
@@ -55,9 +55,14 @@ def scan_changed(spark: SparkSession, root: str, known: DataFrame,
             known.join(_folders(spark, root, document), "folder", "left_anti"))
 
 
-def write_meetings(meetings: DataFrame, path: str, buckets: int = 64) -> None:
-    """Replaces the given meetings in a meeting table; all others stay."""
-    replace_meetings(meetings, path, buckets)
+def write_meetings(meetings: DataFrame, path: str) -> int:
+    """Replaces the given meetings in the store's meeting table, all of them or none; all others
+    stay. Returns the version."""
+    return store.replace(meetings, path, "meetings")
+
+
+def read_meetings(spark: SparkSession, path: str) -> DataFrame:
+    return store.read(spark, path, "meetings")
 
 
 def write_exports(lines: DataFrame, path: str, order: list[str]) -> None:

@@ -33,20 +33,20 @@ def test_scan(spark, tmp_path):
 def test_saving_one_meeting_keeps_the_others(spark, tmp_path):
     path = str(tmp_path / "table")
     rows = spark.createDataFrame([(str(i), "old") for i in range(50)], "meeting_id string, title string")
-    meetings.write_meetings(rows, path, buckets=8)
+    meetings.write_meetings(rows, path)
     one = rows.filter("meeting_id = '7'").withColumn("title", F.lit("new"))
-    meetings.write_meetings(one, path, buckets=8)
-    again = spark.read.parquet(path)
+    meetings.write_meetings(one, path)
+    again = meetings.read_meetings(spark, path)
     assert again.count() == 50 and [r["meeting_id"] for r in again.filter("title = 'new'").collect()] == ["7"]
 
 
 def test_saved_analysis_is_replaced_per_meeting(spark, tmp_path):
     rows = spark.createDataFrame([(f"m{i}", "mic", w, [float(i), float(w)]) for i in range(20) for w in range(3)],
                                  "meeting_id string, track string, win_id int, embedding array<double>")
-    analysis.save_analysis(str(tmp_path), {"voice_windows": rows}, buckets=4)
+    analysis.save_analysis(str(tmp_path), {"voice_windows": rows})
     fewer = rows.filter("meeting_id = 'm7' AND win_id = 1").withColumn("embedding", F.array(F.lit(9.0)))
-    analysis.save_analysis(str(tmp_path), {"voice_windows": fewer}, buckets=4)
-    saved = spark.read.parquet(f"{tmp_path}/voice_windows").drop("bucket")
+    analysis.save_analysis(str(tmp_path), {"voice_windows": fewer})
+    saved = analysis.load_analysis(spark, str(tmp_path))["voice_windows"]
     want = rows.filter("meeting_id <> 'm7'").unionByName(fewer)
     assert sorted(map(repr, saved.select(*want.columns).collect())) == sorted(map(repr, want.collect()))
 
