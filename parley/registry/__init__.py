@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["conversation", "edits", "catalog", "events", "voices", "files", "streams"]
+MODULES = ["conversation", "edits", "catalog", "events", "voices", "files", "streams", "process"]
 
 
 def load():

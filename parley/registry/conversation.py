@@ -164,14 +164,15 @@ QUERIES = {f.__name__: f for f in (
     asof_midpoint, split_segments, renumber_speakers, label_tracks, carry_names, echo_window,
     echo_containment, echo_drop, echo_trim, echo_report)}
 
-_LABELLED = f"""{S.WORDS},{S.WINDOWS},
+#: Labels of any `words` by the nearest of `voices`.
+NEAREST = """
 probe AS (
   SELECT meeting_id, track, seg_id, word_id, w, s_ms, e_ms, s_ms + e_ms AS at2 FROM words),
 centre AS (SELECT meeting_id, track, win_id, label, start_ms + end_ms AS c2 FROM voices),
 mixed AS (
   SELECT meeting_id, track, at2, 0 AS kind, 0 AS tie, seg_id, word_id, w, s_ms, e_ms, NULL AS mark FROM probe
   UNION ALL SELECT meeting_id, track, c2, 1, win_id, NULL, NULL, NULL, NULL, NULL,
-                   {{'c2': c2, 'label': label}} FROM centre),
+                   {'c2': c2, 'label': label} FROM centre),
 sided AS (
   SELECT *, last_value(mark IGNORE NULLS) OVER (PARTITION BY meeting_id, track ORDER BY at2, kind, tie
               ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b,
@@ -182,7 +183,10 @@ labelled AS (
          CASE WHEN a IS NULL OR at2 - b.c2 <= a.c2 - at2 THEN b.label ELSE a.label END AS label
   FROM sided WHERE kind = 0)"""
 
-_SPLIT = f"""{_LABELLED},
+_LABELLED = f"{S.WORDS},{S.WINDOWS},{NEAREST}"
+
+#: Runs of one label in any `labelled`.
+RUNS_OF = f"""
 flagged AS (SELECT *, CASE WHEN label <> lag(label) OVER (PARTITION BY meeting_id, track, seg_id ORDER BY word_id)
                       THEN 1 ELSE 0 END AS f FROM labelled),
 runs AS (SELECT *, sum(f) OVER (PARTITION BY meeting_id, track, seg_id ORDER BY word_id) AS run FROM flagged),
@@ -191,6 +195,8 @@ split AS (
          max(e_ms) AS end_ms, {S.strip("string_agg(w, '' ORDER BY word_id)")} AS text
   FROM runs GROUP BY 1, 2, 3, 4)"""
 
+_SPLIT = f"{_LABELLED},{RUNS_OF}"
+
 _TRACKS = f"""{S.SEGMENTS},{S.MODES},
 tracked AS (
   SELECT s.meeting_id, track, seg_id, start_ms, mode,
@@ -202,9 +208,9 @@ tracked AS (
          ELSE 'Remote ' || (seg_id % 3 + 1) END AS name
   FROM segments s JOIN modes m USING (meeting_id))"""
 
-_FIXED = "text"
+FIXED = "text"
 for _wrong, _right in ALIASES.items():
-    _FIXED = (f"regexp_replace({_FIXED}, '(^|[^{S.LETTER}]){_wrong}($|[^{S.LETTER}])', "
+    FIXED = (f"regexp_replace({FIXED}, '(^|[^{S.LETTER}]){_wrong}($|[^{S.LETTER}])', "
               f"'\\1{_right}\\2', 'gi')")
 
 ORACLE = {
@@ -217,7 +223,7 @@ SELECT meeting_id, seg_id, {S.clock('start_ms * 60')} AS clock, {S.mmss('start_m
   CASE WHEN (end_ms * 30 + 30000) // 60000 < 60 THEN ((end_ms * 30 + 30000) // 60000) || ' min'
        ELSE ((end_ms * 30 + 30000) // 60000 // 60) || ' h ' || ((end_ms * 30 + 30000) // 60000 % 60) || ' min' END AS length
 FROM segments""",
-    "fix_mishearings": f"WITH {S.SEGMENTS} SELECT meeting_id, seg_id, {_FIXED} AS text FROM segments",
+    "fix_mishearings": f"WITH {S.SEGMENTS} SELECT meeting_id, seg_id, {FIXED} AS text FROM segments",
     "build_turns": f"WITH {S.TURNS} SELECT * FROM turns",
     "display_groups": f"""WITH {S.TURNS},
 f AS (SELECT *, CASE WHEN speaker IS DISTINCT FROM lag(speaker) OVER (PARTITION BY meeting_id ORDER BY turn_id)
@@ -225,17 +231,7 @@ f AS (SELECT *, CASE WHEN speaker IS DISTINCT FROM lag(speaker) OVER (PARTITION
 g AS (SELECT *, sum(f) OVER (PARTITION BY meeting_id ORDER BY turn_id) AS g FROM f)
 SELECT meeting_id, min(turn_id) AS first_turn, min(speaker) AS speaker, min(start_ms) AS start_ms,
        count(*) AS pieces, string_agg(text, ' ' ORDER BY turn_id) AS text FROM g GROUP BY meeting_id, g""",
-    "speaker_stats": f"""WITH {S.MEASURED},
-agg AS (
-  SELECT s.meeting_id, s.speaker, s.ord, coalesce(sum(ms), 0)::BIGINT AS ms, count(m.turn_id) AS turns,
-         coalesce(sum(words), 0)::BIGINT AS words, coalesce(sum(questions), 0)::BIGINT AS questions,
-         coalesce(sum(fillers), 0)::BIGINT AS fillers, coalesce(max(ms), 0) AS longest
-  FROM speakers s LEFT JOIN measured m USING (meeting_id, speaker) GROUP BY 1, 2, 3),
-tot AS (SELECT *, sum(ms) OVER (PARTITION BY meeting_id)::BIGINT AS total, {S.tenths('ms')} AS t FROM agg)
-SELECT meeting_id, speaker, ord::BIGINT AS ord, t / 10 AS seconds, turns, words, questions, fillers,
-       {S.tenths('longest')} / 10 AS longest_turn_seconds,
-       CASE WHEN total > 0 THEN {S.div_round('t * 100000', 'total')} / 1000 ELSE 0 END AS share,
-       CASE WHEN t > 30 THEN {S.div_round('words * 600', 't')} ELSE 0 END::BIGINT AS wpm FROM tot""",
+    "speaker_stats": f"WITH {S.MEASURED},{S.STATS} SELECT * FROM stats",
     "meeting_totals": f"""WITH {S.MEASURED},{S.MODES},
 every AS (SELECT meeting_id, mode FROM modes
           UNION ALL SELECT 'empty-' || meeting_id, mode FROM modes WHERE meeting_id::BIGINT % 10 = 0),

@@ -78,7 +78,8 @@ words AS (
          start_ms + i * 400 AS s_ms, start_ms + (i + 1) * 400 AS e_ms
   FROM (SELECT *, unnest(range(len(tokens))) AS i FROM segments))"""
 
-TURNS = f"""{SEGMENTS},
+#: Turns of any `segments`.
+TURNS_OF = """
 marked AS (
   SELECT *, CASE WHEN speaker IS DISTINCT FROM lag(speaker) OVER w
                    OR track IS DISTINCT FROM lag(track) OVER w THEN 1 ELSE 0 END AS chg
@@ -97,6 +98,8 @@ turns AS (
          string_agg(text, ' ' ORDER BY start_ms, track <> 'mic', seg_id) AS text
   FROM island GROUP BY 1, 2)"""
 
+TURNS = f"{SEGMENTS},{TURNS_OF}"
+
 SPEAKERS = """
 speakers AS (
   SELECT c.conv_id::VARCHAR AS meeting_id, s.speaker,
@@ -104,7 +107,8 @@ speakers AS (
   FROM (SELECT DISTINCT conv_id FROM conversations) c,
        (VALUES ('you', 0), ('s1', 1), ('s9', 2)) s(speaker, ord))"""
 
-MEASURED = f"""{TURNS},{SPEAKERS},
+#: What counts in each of any `turns`.
+MEASURES = f"""
 measured AS (
   SELECT meeting_id, speaker, turn_id, end_ms, greatest(0, end_ms - start_ms) AS ms, text,
          len(regexp_extract_all(text, '[{LETTER}''-]+')) AS words,
@@ -112,12 +116,31 @@ measured AS (
          {' + '.join(phrase_hits('text', p) for p in FILLER_PHRASES)} AS fillers
   FROM turns)"""
 
-WINDOWS = """
+MEASURED = f"{TURNS},{SPEAKERS},{MEASURES}"
+
+#: Statistics of any `speakers` and `measured`.
+STATS = f"""
+agg AS (
+  SELECT s.meeting_id, s.speaker, s.ord, coalesce(sum(ms), 0)::BIGINT AS ms, count(m.turn_id) AS turns,
+         coalesce(sum(words), 0)::BIGINT AS words, coalesce(sum(questions), 0)::BIGINT AS questions,
+         coalesce(sum(fillers), 0)::BIGINT AS fillers, coalesce(max(ms), 0) AS longest
+  FROM speakers s LEFT JOIN measured m USING (meeting_id, speaker) GROUP BY 1, 2, 3),
+tot AS (SELECT *, sum(ms) OVER (PARTITION BY meeting_id)::BIGINT AS total, {tenths('ms')} AS t FROM agg),
+stats AS (
+  SELECT meeting_id, speaker, ord::BIGINT AS ord, t / 10 AS seconds, turns, words, questions, fillers,
+         {tenths('longest')} / 10 AS longest_turn_seconds,
+         CASE WHEN total > 0 THEN {div_round('t * 100000', 'total')} / 1000 ELSE 0 END AS share,
+         CASE WHEN t > 30 THEN {div_round('words * 600', 't')} ELSE 0 END::BIGINT AS wpm FROM tot)"""
+
+#: Windows over any `segments`.
+WINDOWS_OF = """
 windows AS (
   SELECT meeting_id, track, seg_id, seg_id * 100000 + i AS win_id, start_ms + i * 1000 AS start_ms,
          least(start_ms + i * 1000 + 2000, end_ms) AS end_ms
   FROM (SELECT *, unnest(range((greatest(end_ms - start_ms - 2000, 0) + 999) // 1000 + 1)) AS i
-        FROM segments WHERE end_ms - start_ms >= 400)),
+        FROM segments WHERE end_ms - start_ms >= 400))"""
+
+WINDOWS = f"""{WINDOWS_OF},
 voices AS (SELECT *, (start_ms // 5000 + meeting_id::BIGINT) % 3 AS label FROM windows)"""
 
 MODES = """

@@ -407,15 +407,69 @@ def labelled_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
         "embedding")
 
 
-def speech_voices(spark: SparkSession, sf_dir: str, windows: DataFrame) -> DataFrame:
-    """Embeddings for speech windows: one of three voices that change every few
-    seconds, with some of a vector drawn from the whole table."""
+def _speech(spark: SparkSession, sf_dir: str, marked: DataFrame) -> DataFrame:
+    """Embeddings for speech windows whose `label` says the voice, with some of a vector
+    drawn from the whole table."""
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     size = vectors.agg(F.count(F.lit(1)).alias("_n"))  # one row
-    marked = voice_labels(windows).join(F.broadcast(size)).withColumn(
+    marked = marked.join(F.broadcast(size)).withColumn(
         "vec_id", F.pmod(F.xxhash64("meeting_id", "win_id"), F.col("_n"))).drop("_n")
     base = vectors.filter("vec_id < 3").select(F.col("vec_id").alias("label"), F.col("embedding").alias("_base"))
     mixed = marked.join(vectors, "vec_id", "left").join(F.broadcast(base), "label")
     vector = F.zip_with("_base", F.coalesce("embedding", "_base"), lambda a, b: a + b * F.lit(0.2).cast("float"))
     return mixed.select("meeting_id", "track", "win_id", "start_ms", "end_ms",
                         F.transform(normalize(vector), lambda x: x.cast("float")).alias("embedding"))
+
+
+def speech_voices(spark: SparkSession, sf_dir: str, windows: DataFrame) -> DataFrame:
+    """One of three voices that change every few seconds."""
+    return _speech(spark, sf_dir, voice_labels(windows))
+
+
+def _two_voices(turn):
+    """Every second turn of a side is another voice."""
+    return ((turn - turn % 2) / 2).cast("bigint") % 2
+
+
+def turn_voices(spark: SparkSession, sf_dir: str, windows: DataFrame) -> DataFrame:
+    """Two voices that change from turn to turn; one on the system track in person."""
+    turn = ((F.col("seg_id") - F.col("seg_id") % 1_000_000) / 1_000_000).cast("bigint")
+    inperson = (F.col("meeting_id").cast("bigint") % 3 == 0) & (F.col("track") == "system")
+    return _speech(spark, sf_dir, windows.withColumn("label", F.when(inperson, 0).otherwise(_two_voices(turn))))
+
+
+LATE_MS = 700
+
+
+def recordings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(recognizer output, meetings, stopped tracks, known tracks) of the conversations. The system
+    track starts late. What the microphone hears is no word of the other side. One microphone in
+    seven recorded too little to be used."""
+    n = F.col("meeting_id").cast("bigint")
+    mic = F.col("track") == "mic"
+    said = segments(spark, sf_dir).withColumn("turn", ((F.col("seg_id") - F.col("seg_id") % 1_000_000) / 1_000_000).cast("bigint"))
+    own = F.transform("tokens", lambda w: F.when(mic, F.concat(F.lit("zq"), w)).otherwise(w))
+    seconds = lambda ms: (ms - F.when(mic, 0).otherwise(LATE_MS)) / 1000
+    words = F.transform("own", lambda w, i: F.struct(
+        F.concat(F.lit(" "), w).alias("w"), seconds(F.col("start_ms") + i * WORD_MS).alias("s"),
+        seconds(F.col("start_ms") + (i + 1) * WORD_MS).alias("e")))
+    piece = F.struct("seg_id", seconds(F.col("start_ms")).alias("start"), seconds(F.col("end_ms")).alias("end"),
+                     F.when(mic, F.array_join("own", " ")).otherwise(F.col("text")).alias("text"), words.alias("words"))
+    # a row holds what was one row of the conversations
+    parts = said.withColumn("own", own).groupBy("meeting_id", "track", F.col("turn").alias("part")).agg(
+        F.transform(F.array_sort(F.collect_list(piece)), lambda p: p.dropFields("seg_id")).alias("segments"))
+    output = parts.select("meeting_id", "track", "part", F.to_json(F.struct(F.lit("en").alias("language"), "segments")).alias("output"))
+    mode = modes(spark, sf_dir)
+    asked = said.join(mode, "meeting_id").filter("(mode = 'online') = (track = 'system')").groupBy("meeting_id").agg(
+        F.count_distinct(_two_voices(F.col("turn"))).alias("expected_speakers"))
+    meetings = mode.join(asked, "meeting_id", "left").select(
+        "meeting_id", "mode", "expected_speakers", F.concat(F.lit("Talk "), "meeting_id").alias("title"),
+        F.lit("processing").alias("status"), F.array_compact(F.array(
+            F.when(n % 2 == 0, "Diarization failed on mic track"), F.when(n % 4 == 1, "mic track stopped early"))).alias("warnings"))
+    tracks = said.select("meeting_id", "track").distinct()
+    stopped = tracks.select(
+        "meeting_id", "track", F.when(mic, 10_000).otherwise(10_000 + LATE_MS).cast("bigint").alias("started_ms"),
+        F.when(mic & (n % 7 == 3), 250).otherwise(600_000 + n % 100 * 10).cast("bigint").alias("recorded_ms"),
+        F.lit("en").alias("language"), F.when(mic, "built-in").alias("device"))
+    known = tracks.filter(n % 2 == 0).withColumn("old_device", F.lit("headset"))
+    return output, meetings, stopped, known
