@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from parley.functions import constants as c
-from parley.functions.matching import SequenceMatcher, char_places, common_length, match_ratio
+from parley.functions.matching import match_ratio
 from parley.functions.text import clean_due, clip, norm_text, strip
-from parley.session import spread
+from parley.operators import repeats
+from parley.session import cut_lineage
 
 # Claim order of the sections, and their caps.
 SECTIONS = ["action_items", "decisions", "key_points", "open_questions", "follow_ups"]
@@ -23,6 +24,7 @@ HEADLINE_CHARS = 90
 TLDR_CHARS = 1500
 SUBJECT_CHARS = 200
 BODY_CHARS = 4000
+# Fixed value: a reply's JSON between code fences.
 FENCED = re.compile(r"```(?:json)?\s*(\{.*?\})\s*```", re.S)
 
 
@@ -112,43 +114,6 @@ def cap_items(items: DataFrame, cap: int = LIST_CAP) -> DataFrame:
     return items.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= cap).drop("_n")
 
 
-class _Kept:
-    """A kept text; its side of the matcher is prepared once."""
-
-    def __init__(self, text):
-        self.text, self._matcher, self._places = text, None, None
-
-    def resembles(self, new):
-        """Whether `new` repeats it; only the new text must be long to count as a part."""
-        old, limit = self.text, c.SIMILAR_RATIO
-        if new == old or (len(new) > c.SIMILAR_CONTAINS_CHARS and (new in old or old in new)):
-            return True
-        if 2 * min(len(new), len(old)) < limit * (len(new) + len(old)):
-            return False
-        if self._matcher is None:
-            self._matcher, self._places = SequenceMatcher(None, "", old), char_places(old)
-        if 2 * common_length(new, self._places, len(old)) < limit * (len(new) + len(old)):
-            return False
-        self._matcher.set_seq1(new)
-        return self._matcher.ratio() >= limit
-
-
-def _keep_first(strict: bool):
-    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_rank", "pos"])
-        pool, tasks, kept = [], [], []
-        for action, key, whole in zip(pdf["section"] == "action_items", pdf["key"], pdf["whole"]):
-            rivals, mine = (tasks, whole) if action else (pool, key)
-            fresh = bool(action or key) and not any(other.resembles(mine) for other in rivals)
-            kept.append(fresh)
-            if fresh and action:
-                tasks.append(_Kept(whole))
-            if fresh and (key or strict):
-                pool.append(_Kept(key))
-        return pdf[kept].drop(columns=["key", "whole", "_rank"])
-    return keep
-
-
 def dedup_items(items: DataFrame, strict: bool = False, cap: int | None = None) -> DataFrame:
     """Greedy removal of repeated thoughts within and across a meeting's sections.
 
@@ -157,12 +122,25 @@ def dedup_items(items: DataFrame, strict: bool = False, cap: int | None = None)
     at; `cap` takes the first ones of each section only. With `strict` a task without
     letters stays in the pool as an empty key and swallows long items after it.
     """
-    rank = F.array_position(F.array(*[F.lit(s) for s in SECTIONS]), F.col("section"))
-    key = norm_text(F.col("item"))
-    whole = norm_text(F.concat_ws(" ", "owner", "item"))
+    rank = F.array_position(F.array(*[F.lit(s) for s in SECTIONS]), F.col("section")).cast("int")
+    names = [F.col(name) for name in items.columns]
     first = items if cap is None else cap_items(items, cap)
-    rows = first.select("*", key.alias("key"), whole.alias("whole"), rank.alias("_rank"))
-    return spread(rows, "meeting_id").groupBy("meeting_id").applyInPandas(_keep_first(strict), items.schema)
+    rows = cut_lineage(first.select(
+        F.struct(*names).alias("row"), "meeting_id", rank.alias("rank"), F.col("pos").cast("long").alias("pos"),
+        (F.col("section") == "action_items").alias("action"), norm_text(F.col("item")).alias("key"),
+        norm_text(F.concat_ws(" ", "owner", "item")).alias("whole")).withColumn("id", F.monotonically_increasing_id()))
+    kept = rows.filter("action OR key <> ''")
+    # a further copy of a text always goes: the first one is kept, or went for one that is
+    place = F.struct("rank", "pos", "id")
+    text = F.when(F.col("action"), F.col("whole")).otherwise(F.col("key"))
+    firsts = cut_lineage(kept.groupBy("meeting_id", "action", text.alias("text")).agg(F.min(place).alias("p")).select(
+        "meeting_id", F.when(F.col("action"), "tasks").otherwise("common").alias("pool"), "p.*",
+        F.lit(False).alias("old_only"), "text"))
+    tasks = firsts.filter("pool = 'tasks'").join(rows.select("id", "key"), "id").select(
+        "meeting_id", F.lit("common").alias("pool"), "rank", "pos", "id", F.lit(True).alias("old_only"), F.col("key").alias("text"))
+    gone = repeats.dropped(repeats.rivals(firsts.unionByName(tasks if strict else tasks.filter("text <> ''"))))
+    stay = firsts.select("id").join(gone, "id", "left_anti")
+    return rows.join(stay, "id", "left_semi").select("row.*")
 
 
 def dedup_exact(rows: DataFrame, key: str, text: str) -> DataFrame:
