@@ -49,11 +49,18 @@ def whole_phrase(*phrases: str) -> str:
     return f"(?<![{LETTER}])({'|'.join(map(re.escape, phrases))})(?![{LETTER}])"
 
 
+def _overlap(p: list[str], q: list[str]) -> bool:
+    """Whether q can begin inside p, so that a match of one hides one of the other."""
+    return any(p[k:k + len(q)] == q[:len(p) - k] for k in range(len(p)))
+
+
 def filler_hits(text: Column, phrases: list[str] = FILLER_PHRASES) -> Column:
-    """Every filler in the text as an array. Where no two phrases share a word, one pass
-    over an alternation counts what one pass per phrase would; else each has its own."""
-    words = [w for p in phrases for w in set(p.split())]
-    groups = [phrases] if len(words) == len(set(words)) else [[p] for p in phrases]
+    """Every filler in the text as an array. Phrases that cannot overlap another one are counted
+    by one pass over their alternation, as one pass per phrase would; the others have their own."""
+    words = {p: p.split() for p in phrases}
+    apart = [p for p in phrases if any(q != p and (_overlap(words[p], words[q]) or _overlap(words[q], words[p])) for q in phrases)]
+    together = [p for p in phrases if p not in apart]
+    groups = ([together] if together else []) + [[p] for p in apart]
     return F.concat(*[F.regexp_extract_all(F.lower(text), F.lit(whole_phrase(*g)), F.lit(1)) for g in groups])
 
 

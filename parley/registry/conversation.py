@@ -208,6 +208,84 @@ tracked AS (
          ELSE 'Remote ' || (seg_id % 3 + 1) END AS name
   FROM segments s JOIN modes m USING (meeting_id))"""
 
+_WINDOW = f"""{S.WORDS},
+mic0 AS (
+  SELECT conv_id::VARCHAR AS meeting_id, turn * 1000000 + pos + CASE WHEN role = 'user' THEN 0 ELSE 500000 END AS seg_id,
+         start_ms + CASE WHEN role = 'user' THEN 0 ELSE 800 END AS start_ms, tokens,
+         list_transform(tokens, lambda w: reverse(w)) AS own,
+         CASE WHEN role = 'user' THEN 0 ELSE (conv_id + turn + pos) % 4 END AS k
+  FROM pieces WHERE role = 'user' OR len(tokens) >= 4),
+mic AS (
+  SELECT meeting_id, seg_id, start_ms, start_ms + len(said) * 400 AS end_ms, said FROM (
+    SELECT *, CASE k WHEN 0 THEN tokens WHEN 1 THEN tokens || own
+      WHEN 2 THEN flatten(list_transform(range(len(tokens)), lambda i: [tokens[i + 1], own[i + 1]])) ELSE own END AS said FROM mic0)),
+sys AS (
+  SELECT meeting_id, seg_id, word_id, s_ms, e_ms, {S.norm('w')} AS token FROM words WHERE track = 'system' AND seg_id % 5 <> 0
+  UNION ALL SELECT meeting_id, seg_id, 0, start_ms, end_ms, {S.norm('text')} FROM segments WHERE track = 'system' AND seg_id % 5 = 0),
+win AS (
+  SELECT m.meeting_id, m.seg_id, coalesce(string_agg(token, ' ' ORDER BY s_ms, s.seg_id, word_id), '') AS "window"
+  FROM mic m LEFT JOIN sys s ON s.meeting_id = m.meeting_id AND s_ms BETWEEN start_ms - 31500 AND end_ms + 1500
+    AND e_ms >= start_ms - 1500 AND token <> '' GROUP BY 1, 2)"""
+
+
+def _matching(name, source):
+    """Matching blocks (r, s, e) of the lists a and b of `source`: the longest run of equal tokens of a
+    rectangle, the first in a and then in b, and again what lies before and behind it."""
+    return f"""
+{name}_runs AS MATERIALIZED (
+  SELECT r, d, min(i) AS s, max(i) + 1 AS e FROM (
+    SELECT r, i, j - i AS d, i - row_number() OVER (PARTITION BY r, j - i ORDER BY i) AS g
+    FROM (SELECT r, unnest(a) AS t, generate_subscripts(a, 1) - 1 AS i FROM {source})
+    JOIN (SELECT r, unnest(b) AS t, generate_subscripts(b, 1) - 1 AS j FROM {source}) USING (r, t)) GROUP BY r, d, g),
+{name}_rect AS (
+  SELECT r, 0::BIGINT AS a0, 1000000000::BIGINT AS a1, 0::BIGINT AS b0, 1000000000::BIGINT AS b1, NULL::BIGINT AS s, NULL::BIGINT AS e
+  FROM (SELECT DISTINCT r FROM {name}_runs)
+  UNION ALL
+  SELECT r, CASE WHEN before THEN a0 ELSE s + n END, CASE WHEN before THEN s ELSE a1 END,
+         CASE WHEN before THEN b0 ELSE s + n + d END, CASE WHEN before THEN s + d ELSE b1 END,
+         CASE WHEN before THEN s END, CASE WHEN before THEN s + n END
+  FROM (
+    SELECT r, a0, a1, b0, b1, best.n AS n, -best.i AS s, -best.d AS d FROM (
+      SELECT r, a0, a1, b0, b1, max({{'n': hi - lo, 'i': -lo, 'd': -d}}) AS best FROM (
+        SELECT q.r, a0, a1, b0, b1, d, greatest(u.s, a0, b0 - d) AS lo, least(u.e, a1, b1 - d) AS hi
+        FROM {name}_rect q JOIN {name}_runs u ON u.r = q.r) WHERE hi > lo GROUP BY r, a0, a1, b0, b1)),
+    (VALUES (true), (false)) v(before)),
+{name} AS (SELECT r, s, e FROM {name}_rect WHERE s IS NOT NULL)"""
+
+
+_RATIO = f"""{_WINDOW},
+heard AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, m.*, {S.split_words(S.norm("array_to_string(said, ' ')"))} AS a,
+         {S.split_words('"window"')} AS b FROM mic m JOIN win USING (meeting_id, seg_id)),
+{_matching("block", "heard")},
+told AS MATERIALIZED (
+  SELECT h.*, len(a) AS n_tokens, CASE WHEN len(a) > 0 THEN coalesce(n, 0) / len(a) ELSE 0 END AS ratio
+  FROM heard h LEFT JOIN (SELECT r, sum(e - s) AS n FROM block GROUP BY r) USING (r))"""
+
+_TRIMMED = f"""{_RATIO},
+usable AS MATERIALIZED (
+  SELECT r, b, list_filter(list_transform(range(len(said)), lambda i: {{'w': {S.strip('said[i + 1]')}, 't': {S.norm('said[i + 1]')},
+           's': start_ms + i * 400, 'e': start_ms + (i + 1) * 400}}), lambda w: w.t <> '') AS u FROM told),
+edge_of AS MATERIALIZED (SELECT r, u, list_transform(u, lambda w: w.t) AS a, b FROM usable WHERE len(u) >= 7 AND len(b) > 0),
+{_matching("echoed", "edge_of")},
+free AS (
+  SELECT r, u, list_filter(range(len(u)), lambda i: NOT list_contains(coalesce(h, []), i)) AS f
+  FROM edge_of LEFT JOIN (SELECT r, flatten(list(range(s, e))) AS h FROM echoed GROUP BY r) USING (r)),
+edges AS (SELECT r, u, CASE WHEN len(f) = 0 THEN len(u) ELSE f[1] END AS lead, CASE WHEN len(f) = 0 THEN 0 ELSE len(u) - 1 - f[-1] END AS tail FROM free),
+trim AS (
+  SELECT t.*, CASE WHEN len(u) - lead - tail >= 3 AND greatest(lead, tail) >= 4 THEN u[lead + 1:len(u) - tail] END AS cut
+  FROM told t LEFT JOIN edges USING (r))"""
+
+_DECIDED = f"""{_TRIMMED},
+ruled AS (
+  SELECT *, CASE WHEN n_tokens >= 4 THEN 0.7 ELSE 0.999 END AS most,
+         {S.strip("array_to_string(list_transform(cut, lambda w: w.w), ' ')")} AS short FROM trim),
+decided AS (
+  SELECT meeting_id, seg_id, CASE WHEN ratio >= most THEN 'drop' WHEN cuts THEN 'trim' ELSE 'keep' END AS action,
+         CASE WHEN cuts THEN cut[1].s ELSE start_ms END AS start_ms, CASE WHEN cuts THEN cut[-1].e ELSE end_ms END AS end_ms,
+         CASE WHEN cuts THEN short ELSE array_to_string(said, ' ') END AS text
+  FROM (SELECT *, coalesce(ratio >= 0.35 AND ratio < most AND cut IS NOT NULL AND short <> '', false) AS cuts FROM ruled))"""
+
 FIXED = "text"
 for _wrong, _right in ALIASES.items():
     FIXED = (f"regexp_replace({FIXED}, '(^|[^{S.LETTER}]){_wrong}($|[^{S.LETTER}])', "
@@ -291,18 +369,18 @@ sets AS (SELECT n.meeting_id, n.s = o.s AS same
          JOIN (SELECT meeting_id, list_sort(list(speaker)) AS s FROM old GROUP BY 1) o USING (meeting_id))
 SELECT n.meeting_id, n.speaker, CASE WHEN same OR n.speaker = 'you' THEN coalesce(o.name, n.name) ELSE n.name END AS name, n.ord
 FROM new n JOIN sets USING (meeting_id) LEFT JOIN old o USING (meeting_id, speaker)""",
-    "echo_window": f"""WITH {S.WORDS},
-mic0 AS (
-  SELECT conv_id::VARCHAR AS meeting_id, turn * 1000000 + pos + CASE WHEN role = 'user' THEN 0 ELSE 500000 END AS seg_id,
-         start_ms + CASE WHEN role = 'user' THEN 0 ELSE 800 END AS start_ms,
-         CASE WHEN role = 'user' OR (conv_id + turn + pos) % 4 = 0 THEN len(tokens)
-              WHEN (conv_id + turn + pos) % 4 IN (1, 2) THEN 2 * len(tokens) ELSE len(tokens) END AS n
-  FROM pieces WHERE role = 'user' OR len(tokens) >= 4),
-mic AS (SELECT *, start_ms + n * 400 AS end_ms FROM mic0),
-sys AS (
-  SELECT meeting_id, seg_id, word_id, s_ms, e_ms, {S.norm('w')} AS token FROM words WHERE track = 'system' AND seg_id % 5 <> 0
-  UNION ALL SELECT meeting_id, seg_id, 0, start_ms, end_ms, {S.norm('text')} FROM segments WHERE track = 'system' AND seg_id % 5 = 0)
-SELECT m.meeting_id, m.seg_id, coalesce(string_agg(token, ' ' ORDER BY s_ms, s.seg_id, word_id), '') AS "window"
-FROM mic m LEFT JOIN sys s ON s.meeting_id = m.meeting_id AND s_ms BETWEEN start_ms - 31500 AND end_ms + 1500
-  AND e_ms >= start_ms - 1500 AND token <> '' GROUP BY 1, 2""",
+    "echo_window": f"""WITH {_WINDOW} SELECT meeting_id, seg_id, "window" FROM win""",
+    "echo_containment": f"""WITH RECURSIVE {_RATIO}
+SELECT meeting_id, seg_id, n_tokens, round(ratio, 6) AS ratio FROM told""",
+    "echo_trim": f"""WITH RECURSIVE {_TRIMMED}
+SELECT meeting_id, seg_id, len(cut) AS kept_words, array_to_string(list_transform(cut, lambda w: w.w), ' ') AS text
+FROM trim WHERE cut IS NOT NULL""",
+    "echo_drop": f"""WITH RECURSIVE {_DECIDED} SELECT meeting_id, seg_id, action, start_ms, end_ms, text FROM decided""",
+    "echo_report": f"""WITH RECURSIVE {_DECIDED},
+n AS (SELECT meeting_id, count(*) AS segments, count(*) FILTER (action = 'drop') AS dropped,
+             count(*) FILTER (action = 'trim') AS trimmed FROM decided GROUP BY 1)
+SELECT *, CASE WHEN dropped + trimmed > 0 THEN 'Mic audio contained speaker echo: ' || concat_ws(' and ',
+    CASE WHEN dropped > 0 THEN 'removed ' || dropped || ' echo segment(s)' END,
+    CASE WHEN trimmed > 0 THEN 'trimmed echoed words from ' || trimmed || ' segment(s)' END)
+  || ' (tip: headphones avoid this entirely).' END AS warning FROM n""",
 }
