@@ -1,5 +1,6 @@
 """Greedy windows and chunks over ordered rows."""
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -110,25 +111,85 @@ def transcript_lines(named: DataFrame, max_chars: int | None = None) -> DataFram
         "cut", F.col("_used") > max_chars).drop("_used")
 
 
+def _ways(limit: int, span: int):
+    """For each text of a block at which a walk may enter: the least sum that lies before it in
+    the block (`under`), and the sum the last chunk it begins there may reach (`out`)."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        before, end = _sums(pdf)
+        jump = _next(before, end, limit)
+        out = np.empty(len(end), np.int64)
+        for i in range(len(end) - 1, -1, -1):
+            out[i] = before[i] + limit if jump[i] == len(end) else out[jump[i]]
+        ways = 1 + int(np.searchsorted(end, pdf["_blk"].iloc[0] * span + limit, side="right"))
+        return pd.DataFrame({"meeting_id": [pdf["meeting_id"].iloc[0]], "_blk": [pdf["_blk"].iloc[0]],
+                             "under": [end[:ways].tolist()], "out": [out[:ways].tolist()]})
+    return run
+
+
+def _sums(pdf):
+    pdf.sort_values(["_before", "_at"], inplace=True)
+    before = pdf["_before"].to_numpy()
+    return before, before + pdf["_n"].to_numpy()
+
+
+def _next(before, end, limit):
+    """Where a chunk that begins at each text ends: the first one that does not fit any more."""
+    return np.maximum(np.searchsorted(end, before + limit, side="right"), np.arange(len(end)) + 1)
+
+
+def _chunks(limit: int):
+    """How many chunks have begun in the block up to each text, given what the one before may reach."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        before, end = _sums(pdf)
+        jump, begins = _next(before, end, limit), np.zeros(len(end), np.int64)
+        at = int(np.searchsorted(end, pdf["_reach"].iloc[0], side="right"))
+        while at < len(end):
+            begins[at] = 1
+            at = int(jump[at])
+        return pdf[["meeting_id", "_blk", "_at"]].assign(_no=np.cumsum(begins))
+    return run
+
+
 def budget_groups(rows: DataFrame, order: str, text: str, limit: int = c.CHUNK_CHARS,
-                  extra: int = 1) -> DataFrame:
+                  extra: int = 1, blocks: int = 64) -> DataFrame:
     """Adds `chunk`: a new one begins when the next text would pass the limit; each
-    text costs its length plus `extra`.
-
-    Only (position, length) pairs of a meeting meet in one row; the texts stay where
-    they are.
+    text costs its length plus `extra`. `order` is a whole number, unique in a meeting.
+
+    Where a chunk begins depends on the one before. With running sums a text begins the next
+    chunk if the sum up to its end passes what the chunk may reach: the sum before its first
+    text plus the limit. A meeting is cut into blocks of `blocks` limits. Only texts in the first
+    limit of a block can be the first to begin a chunk there, so a block says for each of these
+    what its last chunk may reach. One such row per block, a small part of the meeting, is folded to
+    what really comes in, and the blocks then walk independently. Texts stay where they are.
     """
-    sizes = F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), F.length(text).alias("n"))))
-    fold = F.aggregate(
-        sizes, F.struct(F.lit(0).cast("bigint").alias("size"), F.array().cast("array<bigint>").alias("starts")),
-        lambda s, x: F.when(
-            (F.size(s["starts"]) == 0) | (s["size"] + x["n"] > limit),
-            F.struct((x["n"] + F.lit(extra)).cast("bigint").alias("size"),
-                     F.concat(s["starts"], F.array(x["at"].cast("bigint"))).alias("starts"))).otherwise(
-            F.struct((s["size"] + x["n"] + extra).alias("size"), s["starts"].alias("starts"))))
-    starts = rows.groupBy("meeting_id").agg(fold["starts"].alias("_starts"))
-    number = F.size(F.filter("_starts", lambda s: s <= F.col(order))) - 1
-    return rows.join(starts, "meeting_id").withColumn("chunk", number.cast("bigint")).drop("_starts")
+    span = limit * blocks
+    cost = F.coalesce(F.length(text), F.lit(0)).cast("bigint")
+    thin = rows.select("meeting_id", F.col(order).cast("bigint").alias("_at"), cost.alias("_n"))
+    sums = running(thin, ["meeting_id"], ["_at"], F.floor(F.col("_at") / BLOCK_TURNS).cast("bigint"),
+                   {"_before": ("sum", F.col("_n") + extra)})
+    sums = cut_lineage(sums.withColumn("_blk", F.floor(F.col("_before") / span).cast("bigint")))
+    ways = spread(sums, "meeting_id", "_blk").groupBy("meeting_id", "_blk").applyInPandas(
+        _ways(limit, span), "meeting_id string, _blk bigint, under array<bigint>, out array<bigint>")
+    steps = F.array_sort(F.collect_list(F.struct("_blk", "under", "out")))
+
+    def enter(state, block):
+        way = F.size(F.filter(block["under"], lambda u: u <= state["reach"]))
+        return F.struct(F.coalesce(F.get(block["out"], way), state["reach"]).alias("reach"),
+                        F.concat(state["seen"], F.array(F.struct(block["_blk"].alias("_blk"), state["reach"].alias("_reach")))).alias("seen"))
+    start = F.struct(F.lit(-1).cast("bigint").alias("reach"),
+                     F.array().cast("array<struct<_blk:bigint,_reach:bigint>>").alias("seen"))
+    reach = ways.groupBy("meeting_id").agg(F.aggregate(steps, start, enter)["seen"].alias("seen")).select(
+        "meeting_id", F.inline("seen")).select("meeting_id", "_blk", F.col("_reach"))
+    placed = cut_lineage(spread(sums.join(reach, ["meeting_id", "_blk"]), "meeting_id", "_blk")
+                         .groupBy("meeting_id", "_blk").applyInPandas(
+        _chunks(limit), "meeting_id string, _blk bigint, _at bigint, _no bigint"))
+    earlier = Window.partitionBy("meeting_id").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    begun = placed.groupBy("meeting_id", "_blk").agg(F.max("_no").alias("_all")).select(
+        "meeting_id", "_blk", F.coalesce(F.sum("_all").over(earlier), F.lit(0)).alias("_base"))
+    numbers = placed.join(begun, ["meeting_id", "_blk"]).select(
+        F.col("meeting_id").alias("_meeting"), "_at", (F.col("_base") + F.col("_no") - 1).cast("bigint").alias("chunk"))
+    return rows.join(numbers, (F.col("meeting_id") == F.col("_meeting")) & (F.col(order) == F.col("_at"))).drop(
+        "_meeting", "_at")
 
 
 def join_groups(rows: DataFrame, order: str, text: str, separator: str = "\n") -> DataFrame:
