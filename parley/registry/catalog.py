@@ -300,6 +300,18 @@ r AS (SELECT *, row_number() OVER (PARTITION BY user_id, meeting_id ORDER BY ver
 SELECT user_id, meeting_id, title, version,
   CASE WHEN fresh THEN '2024-07-01 00:00:00' ELSE '2024-06-01 00:00:00' END AS updated_at, fresh AND old AS replaced
 FROM r WHERE rn = 1""",
+    "sync_push": f"""WITH {MEETINGS},
+t AS (
+  SELECT *, list_filter(string_split(text, chr(10)), lambda x: {S.strip('x')} <> '') AS lines FROM meetings
+  WHERE status = 'done' AND n_turns > 0),
+b AS (
+  SELECT user_id, meeting_id, strlen(to_json({{
+    'user_id': user_id, 'meeting_id': meeting_id, 'title': coalesce(title, ''), 'created': strftime(created, '%Y-%m-%dT%H:%M:%S'),
+    'duration': duration_ms / 1000, 'mode': mode,
+    'speakers': list_transform(names, lambda n, i: {{'speaker': (['you', 's1', 's2'])[i], 'name': n}}),
+    'turns': list_transform(lines, lambda x, i: {{'speaker': CASE WHEN i % 2 = 1 THEN 'you' ELSE 's1' END,
+      'start': (i - 1) * 5, 'end': (i - 1) * 5 + 4, 'text': {S.strip('x')}}}), 'summary': NULL, 'stats': NULL}})::VARCHAR) AS bytes FROM t)
+SELECT user_id, meeting_id, bytes, bytes <= 40000 AS accepted FROM b""",
     "sync_delete": f"""WITH {EDITS} SELECT user_id, meeting_id FROM meetings WHERE sync_enabled
 AND meeting_id NOT IN (SELECT meeting_id FROM edits WHERE version > 1) AND doc_id % 50 <> 13""",
     "delete_meetings": f"""WITH {EDITS} SELECT meeting_id, status FROM meetings

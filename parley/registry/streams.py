@@ -91,15 +91,42 @@ def sync_push_live(spark, sf):
         refused = F.pmod(F.substring("meeting_id", -2, 2).cast("int"), F.lit(9)) == 0
         rows.filter(~refused).select("meeting_id").write.mode("overwrite").parquet(f"{path}/target/batch={batch_id}")
         return rows.filter(refused)
-    pushing.push_changes(changes, push, f"{path}/queue", f"{path}/checkpoint").awaitTermination()
-    queued = spark.read.parquet(f"{path}/queue").select("meeting_id").distinct()
+    current = lambda: spark.read.parquet(f"{path}/changes")
+    pushing.push_changes(changes, push, f"{path}/queue", f"{path}/checkpoint", current).awaitTermination()
+    queued = pushing.read_queue(spark, f"{path}/queue")
     return spark.read.parquet(f"{path}/target").select("meeting_id", F.lit("pushed").alias("state")).unionByName(
         queued.withColumn("state", F.lit("queued")))
 
 
+def sync_retry(spark, sf):
+    """Every synced meeting, fed in three batches and two ticks; a push fails by turns. Says in which
+    batch each was pushed, null while it waits."""
+    folder = run_dir(spark, "sync")
+    rows = D.synced_meetings(spark, sf)
+    for k in range(5):  # one file after the other, so that the stream sees them in this order
+        part = rows.filter(F.col("doc_id") % 3 == k) if k < 3 else spark.range(1).select(
+            *[F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema])
+        part.coalesce(1).write.mode("append").parquet(f"{folder}/feed")
+    saved = spark.read.schema(rows.schema).parquet(f"{folder}/feed").filter("meeting_id IS NOT NULL")
+    ids = saved.select("meeting_id", "doc_id")
+
+    def push(sent, batch_id):
+        told = sent.select("meeting_id").join(ids, "meeting_id").withColumn(
+            "failed", (F.col("doc_id") + batch_id) % 4 < 3)
+        told.write.mode("overwrite").parquet(f"{folder}/pushed/batch={batch_id}")
+        return spark.read.parquet(f"{folder}/pushed/batch={batch_id}").filter("failed")
+    feed = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/feed")
+    pushing.push_changes(feed, push, f"{folder}/queue", f"{folder}/checkpoint", lambda: saved).awaitTermination()
+    done = spark.read.parquet(f"{folder}/pushed").filter("NOT failed").groupBy("meeting_id").agg(
+        F.min("batch").cast("bigint").alias("batch"))
+    waits = pushing.read_queue(spark, f"{folder}/queue").withColumn("waits", F.lit(True))
+    return saved.filter("sync_enabled").select("meeting_id").join(done, "meeting_id", "left").join(
+        waits, "meeting_id", "left").select("meeting_id", "batch", F.coalesce("waits", F.lit(False)).alias("waits"))
+
+
 QUERIES = {f.__name__: f for f in (
     captions_live, captions_live_partial, job_transitions_live, nudge_call, nudge_actions, announce_once_live,
-    tumbling_activity_live, sync_push_live)}
+    tumbling_activity_live, sync_push_live, sync_retry)}
 
 _SAMPLES = f"""{E.CALENDAR},
 entry AS (SELECT e.event_id, c.title, c.start_s,
@@ -163,4 +190,7 @@ SELECT user_id, ts_ms, event, nudge_id, kind FROM second WHERE event IS NOT NULL
     "sync_push_live": f"""WITH {MEETINGS}
 SELECT meeting_id, CASE WHEN substring(meeting_id, -2, 2)::INT % 9 = 0 THEN 'queued' ELSE 'pushed' END AS state
 FROM meetings WHERE status = 'done' AND n_turns > 0 AND sync_enabled""",
+    "sync_retry": f"""WITH {MEETINGS}, t AS (
+  SELECT meeting_id, doc_id % 3 + (7 - (doc_id + doc_id % 3) % 4) % 4 AS b FROM meetings WHERE sync_enabled)
+SELECT meeting_id, CASE WHEN b < 5 THEN b END::BIGINT AS batch, b >= 5 AS waits FROM t""",
 }
