@@ -11,11 +11,13 @@ same document are added. So a document may run over any number of blocks.
 Defined results: null and empty texts have 0 tokens; ids after the last separator are a
 document of their own; an empty file holds no document; equal rows have a row each; a
 file with an odd number of bytes is refused. Separator texts in a document are ordinary
-text. Spark hands a file over as one row, so a file must stay below 2 GB (a larger one is
+text. Runs of white space of any length are encoded as the pattern would cut them, though its
+matcher would overflow on a very long one. Spark hands a file over as one row, so a file must stay below 2 GB (a larger one is
 refused by Spark); `write_flat` writes a file per input partition.
 """
 
 import base64
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +33,8 @@ ROWS = 256
 #: The separator's id and the pattern that cuts a text before the merges.
 SEPARATOR = 50_256
 PATTERN = (r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+#: White space of the pattern, in runs that its matcher is not given whole.
+LONG_BLANKS = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{10000,}")
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 CONCURRENT = "spark.sql.maxConcurrentOutputFileWriters"
 
@@ -47,6 +51,18 @@ def tokenizer(ranks: bytes):
     return _tokenizers[key]
 
 
+def encode(encoding, text: str) -> list[int]:
+    """Token ids of a text. A run of white space is one piece, but for its last character where
+    something follows; no piece goes over the run's beginning. So long runs are merged directly."""
+    ids, at = [], 0
+    for run in LONG_BLANKS.finditer(text):
+        end = run.end() - (run.end() < len(text))
+        ids += encoding.encode_ordinary(text[at:run.start()])
+        ids += encoding._encode_single_piece(text[run.start():end])  # merges without the pattern
+        at = end
+    return ids + encoding.encode_ordinary(text[at:])
+
+
 def write_flat(docs: DataFrame, path: str, ranks: str = RANKS) -> None:
     """Writes `docs` (doc_id, text) below `path`: part=tokens holds the flat files and part=ids,
     file by file, the ids of their documents (8 bytes each, null as the least number).
@@ -60,11 +76,11 @@ def write_flat(docs: DataFrame, path: str, ranks: str = RANKS) -> None:
     least = -(1 << 63)
 
     def run(batches):
-        encode = tokenizer(shared.value).encode_ordinary
+        encoding = tokenizer(shared.value)
         for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
             parts, values = [], []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = np.array(encode(text), ">u2").tobytes() if text else b""
+                ids = np.array(encode(encoding, text), ">u2").tobytes() if text else b""
                 # The last byte of every value is written as the text writer's line end.
                 parts += ["tokens", "ids"]
                 values += [ids + end[:1], b"%020d" % ((least if key is None else key) - least)]

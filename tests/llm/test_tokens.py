@@ -22,6 +22,25 @@ def test_counts(spark):
     assert sorted((tuple(r) for r in got), key=repr) == sorted(((k, len(encode(t))) for k, t in rows), key=repr)
 
 
+def test_long_blanks_have_the_same_ids(monkeypatch):
+    import re
+    with open(tokens.RANKS, "rb") as file:
+        encoding = tokens.tokenizer(file.read())
+    short = re.compile(tokens.LONG_BLANKS.pattern.replace("10000", "3"))
+    monkeypatch.setattr(tokens, "LONG_BLANKS", short)
+    r = np.random.default_rng(3)
+    for _ in range(300):
+        text = "".join(r.choice([" ", "\n", "\t", "\u00a0", "\u3000", "a", "B7", ".", "'s", "é", "\x1c"], r.integers(0, 30)).repeat(r.integers(1, 5)))
+        assert tokens.encode(encoding, text) == encoding.encode_ordinary(text), repr(text)
+
+
+def test_two_million_of_one_character(spark):
+    many = 2_000_000
+    rows = [(1, " " * many), (2, "\n" * many + "x"), (3, "a" * many), (4, "b" + " \n" * many + "  c d")]
+    got = {r["doc_id"]: r["n_tokens"] for r in tokens.count_tokens(docs(spark, rows).repartition(4)).collect()}
+    assert got == {1: many, 2: many // 2 + 2, 3: many // 4, 4: 1 + 2 * many + 1 + 2}
+
+
 def test_round_trip(spark, tmp_path):
     rows = [(i, prose(i, i)) for i in range(30)] + [(99, None)]
     path = str(tmp_path / "flat")
