@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from parley.functions import constants as c
 from parley.functions.matching import SequenceMatcher, char_places, common_length
-from parley.session import cut_lineage, discard, spread
+from parley.session import cut_lineage, spread
 
 #: Texts of one block, and the columns of the product computed at once.
 BLOCK = 1_024
@@ -104,32 +104,38 @@ def candidates(texts):
 
 
 def _pairs(table: pa.Table) -> pa.Table:
-    """(new, old) ids of one group: a pair of blocks, or one block with itself."""
+    """(new, old) ids of one group: a pair of blocks, or one block with itself. Equal texts are in the same
+    block; copies of an earlier text take no part, and a block with itself returns them without an old one."""
     rank, pos, ids, block, old_only = (table.column(n).to_numpy() for n in ("rank", "pos", "id", "mine", "old_only"))
-    texts = table.column("text").to_pylist()
-    place = np.empty(len(ids), np.int64)
-    place[np.lexsort((ids, pos, rank))] = np.arange(len(ids))
-    mask = candidates(texts) & (place[:, None] > place[None, :]) & ~old_only[:, None]
-    if table.column("left")[0] != table.column("right")[0]:
+    texts, own = table.column("text").to_pylist(), table.column("left")[0] == table.column("right")[0]
+    order, first = np.lexsort((ids, pos, rank)), {}
+    copy = np.zeros(len(ids), bool)
+    for i in order:
+        if not old_only[i]:
+            copy[i] = first.setdefault(texts[i], i) != i
+    new, old = (ids[copy].tolist(), [None] * int(copy.sum())) if own else ([], [])
+    order = order[~copy[order]]  # earlier ones first
+    texts, ids, block, old_only = [texts[i] for i in order], ids[order], block[order], old_only[order]
+    mask = np.tril(candidates(texts), -1) & ~old_only[:, None]
+    if not own:
         mask &= block[:, None] != block[None, :]
-    new, old = [], []
     for o in np.flatnonzero(mask.any(axis=0)):
         kept = Kept(texts[o])
-        hit = [i for i in np.flatnonzero(mask[:, o]) if kept.resembles(texts[i])]
+        hit = [int(ids[i]) for i in np.flatnonzero(mask[:, o]) if kept.resembles(texts[i])]
         new += hit
-        old += [o] * len(hit)
-    return pa.table({"new": ids[np.array(new, int)], "old": ids[np.array(old, int)]},
-                    schema=pa.schema([("new", pa.int64()), ("old", pa.int64())]))
+        old += [int(ids[o])] * len(hit)
+    return pa.table({"new": pa.array(new, pa.int64()), "old": pa.array(old, pa.int64())})
 
 
 def rivals(entries: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(new, old): each text and the earlier texts of its pool that it resembles. `entries` has meeting_id,
-    pool, rank, pos, id (the order), text and old_only (a text that others are compared with only)."""
+    """(new, old): each text and the earlier texts of its pool that it resembles; old is null for a copy of an
+    earlier text. `entries` has meeting_id, pool, rank, pos, id (the order), text and old_only (a text that
+    others are compared with only, which has no copies)."""
     key = ["meeting_id", "pool"]
     n = entries.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
     blocks = F.ceil(F.col("_n") / F.lit(block)).cast("int")
     placed = (entries.join(n, key).withColumn("blocks", blocks)
-              .withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+              .withColumn("mine", F.pmod(F.xxhash64("text"), F.col("blocks")).cast("int"))
               .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))))
     cell = [*key, "left", "right"]
     rows = placed.select(*key, F.least("mine", "other").alias("left"), F.greatest("mine", "other").alias("right"),
@@ -156,17 +162,17 @@ def rivals(entries: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def dropped(pairs: DataFrame) -> DataFrame:
-    """Ids that go, given all (new, old) pairs: those with a rival that stays."""
-    left, gone = cut_lineage(pairs), []
+    """Ids that go, given all (new, old) pairs: copies, and those with a rival that stays. A copy always goes: the
+    first of its kind stays, or went for one that does and that resembles the copy as well."""
+    whole = cut_lineage(pairs)
+    left, gone = whole.filter("old IS NOT NULL"), []
     while not left.isEmpty():
         news = left.select(F.col("new").alias("old")).distinct()
         stay = left.select("old").distinct().join(news, "old", "left_anti")
         out = cut_lineage(left.join(stay, "old", "left_semi").select("new").distinct())
-        rest = cut_lineage(left.join(out, "new", "left_anti").join(out.select(F.col("new").alias("old")), "old", "left_anti"))
-        discard(left)
+        left = cut_lineage(left.join(out, "new", "left_anti").join(out.select(F.col("new").alias("old")), "old", "left_anti"))
         gone.append(out)
-        left = rest
-    found = left.select(F.col("new").alias("id"))
+    found = whole.filter("old IS NULL").select(F.col("new").alias("id"))
     for out in gone:
         found = found.union(out)
     return found

@@ -122,25 +122,21 @@ def dedup_items(items: DataFrame, strict: bool = False, cap: int | None = None)
     at; `cap` takes the first ones of each section only. With `strict` a task without
     letters stays in the pool as an empty key and swallows long items after it.
     """
-    rank = F.array_position(F.array(*[F.lit(s) for s in SECTIONS]), F.col("section")).cast("int")
-    names = [F.col(name) for name in items.columns]
     first = items if cap is None else cap_items(items, cap)
-    rows = cut_lineage(first.select(
-        F.struct(*names).alias("row"), "meeting_id", rank.alias("rank"), F.col("pos").cast("long").alias("pos"),
-        (F.col("section") == "action_items").alias("action"), norm_text(F.col("item")).alias("key"),
-        norm_text(F.concat_ws(" ", "owner", "item")).alias("whole")).withColumn("id", F.monotonically_increasing_id()))
-    kept = rows.filter("action OR key <> ''")
-    # a further copy of a text always goes: the first one is kept, or went for one that is
-    place = F.struct("rank", "pos", "id")
-    text = F.when(F.col("action"), F.col("whole")).otherwise(F.col("key"))
-    firsts = cut_lineage(kept.groupBy("meeting_id", "action", text.alias("text")).agg(F.min(place).alias("p")).select(
-        "meeting_id", F.when(F.col("action"), "tasks").otherwise("common").alias("pool"), "p.*",
-        F.lit(False).alias("old_only"), "text"))
-    tasks = firsts.filter("pool = 'tasks'").join(rows.select("id", "key"), "id").select(
-        "meeting_id", F.lit("common").alias("pool"), "rank", "pos", "id", F.lit(True).alias("old_only"), F.col("key").alias("text"))
-    gone = repeats.dropped(repeats.rivals(firsts.unionByName(tasks if strict else tasks.filter("text <> ''"))))
-    stay = firsts.select("id").join(gone, "id", "left_anti")
-    return rows.join(stay, "id", "left_semi").select("row.*")
+    rows = cut_lineage(first.withColumn("_id", F.monotonically_increasing_id()))
+    rank = F.array_position(F.array(*[F.lit(s) for s in SECTIONS]), F.col("section")).cast("int")
+    key, whole = norm_text(F.col("item")), norm_text(F.concat_ws(" ", "owner", "item"))
+    action = F.col("section") == "action_items"
+    # an action is compared with actions, and its task stands for it among the others
+    own = F.struct(F.when(action, "tasks").otherwise("common").alias("pool"), F.lit(False).alias("old_only"),
+                   F.when(action, whole).otherwise(key).alias("text"))
+    task = F.struct(F.lit("common").alias("pool"), F.lit(True).alias("old_only"), key.alias("text"))
+    roles = F.array_compact(F.array(F.when(action | (key != ""), own), F.when(action & (F.lit(strict) | (key != "")), task)))
+    entries = rows.select("meeting_id", rank.alias("rank"), F.col("pos").cast("long").alias("pos"), F.col("_id").alias("id"),
+                          F.inline(roles))
+    empty = rows.filter(~action & (F.coalesce(key, F.lit("")) == "")).select(F.col("_id").alias("id"))
+    gone = repeats.dropped(repeats.rivals(entries)).unionByName(empty)
+    return rows.join(gone.withColumnRenamed("id", "_id"), "_id", "left_anti").select(*items.columns)
 
 
 def dedup_exact(rows: DataFrame, key: str, text: str) -> DataFrame:

@@ -51,16 +51,13 @@ def process(spark: SparkSession, path: str, name: str, output: DataFrame, meetin
     ids = meetings.select("meeting_id")
     tracks = run.stage("tracks", lambda: audio.align_tracks(known, stopped))
 
-    def checked():
-        heard = audio.shift_segments(recognizer.ingest_segments(output), tracks)
-        return transcript.clean_segments(heard.drop("no_speech_prob"), meetings)
-    decided = run.stage("decided", checked)
+    heard = run.stage("heard", lambda: audio.shift_segments(recognizer.ingest_segments(output), tracks).drop("no_speech_prob"))
+    decided = run.stage("decided", lambda: transcript.clean_segments(heard, meetings))
     kept = run.stage("segments", lambda: decided.filter("action <> 'drop'").drop("action"))
 
-    def clustered():
-        windows = embed(speakers.speech_windows(transcript.shared_tracks(kept, meetings)))
-        return transcript.voices(windows, meetings, **options)
-    voices = run.stage("voice_windows", clustered)
+    # the model sees each window once, however often the clustering reads it
+    windows = run.stage("windows", lambda: embed(speakers.speech_windows(transcript.shared_tracks(kept, meetings))))
+    voices = run.stage("voice_windows", lambda: transcript.voices(windows, meetings, **options))
     labelled = run.stage("labelled", lambda: speakers.label_tracks(transcript.label_segments(kept, voices), meetings))
     said = run.stage("turns", lambda: turns.build_turns(labelled))
 

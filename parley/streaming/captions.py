@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import DoubleType, LongType, StringType, StructType
 
+from parley.functions.constants import CAPTION_RING
 from parley.operators.captions import who
 from parley.schemas import CAPTION
 
@@ -16,6 +17,8 @@ LINE = (StructType().add("meeting_id", StringType()).add("kind", StringType()).a
         .add("track", StringType()).add("start", DoubleType()).add("end", DoubleType()).add("text", StringType())
         .add("arrival_ms", LongType()).add("event_id", LongType()))
 
+RING = "seq bigint, track string, start double, end double, text string"
+
 
 def parse_lines(lines: DataFrame, column: str = "value") -> DataFrame:
     """NDJSON caption lines; what is no event is skipped."""
@@ -28,14 +31,16 @@ class CaptionState(StatefulProcessor):
 
     Emits every final, and after each batch the partial of each track the batch
     touched; a cleared one has no text. Rows carry the arrival and number of their
-    event, so partials of several batches can be ordered.
+    event, so partials of several batches can be ordered. The newest `ring` finals stay in
+    the state, trimmed with each batch.
     """
 
-    def __init__(self, keep_ms: int | None = None):
-        self.keep_ms = keep_ms
+    def __init__(self, keep_ms: int | None = None, ring: int = CAPTION_RING):
+        self.keep_ms, self.ring = keep_ms, ring
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._seq = handle.getValueState("seq", "seq bigint", self.keep_ms)
+        self._ring = handle.getListState("ring", RING, self.keep_ms)
         self._open = handle.getMapState("open", "track string", "start double, end double, text string", self.keep_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
@@ -50,6 +55,10 @@ class CaptionState(StatefulProcessor):
                 finals.append((key[0], "final", seq, track, start, end, text, *event))
             touched[track] = ((start, end, text) if t == "partial" else None, event)
         self._seq.update((seq,))
+        if finals:
+            newest = [(*f[2:7],) for f in finals[-self.ring:]]
+            held = list(self._ring.get()) if len(newest) < self.ring and self._ring.exists() else []
+            self._ring.put([tuple(h) for h in held[len(held) + len(newest) - self.ring if len(held) + len(newest) > self.ring else 0:]] + newest)
         for track, (value, _) in touched.items():
             if value is not None:
                 self._open.updateValue((track,), value)
@@ -63,13 +72,20 @@ class CaptionState(StatefulProcessor):
         pass
 
 
-def caption_lines(events: DataFrame, keep_ms: int | None = None) -> DataFrame:
+def caption_lines(events: DataFrame, keep_ms: int | None = None, ring: int = CAPTION_RING) -> DataFrame:
     """Stream of lines and partials from events (meeting_id, track, t, start, end, text,
     arrival, arrival_ms, event_id). A live stream names `keep_ms`, after which a silent
     meeting's state goes; Spark then looks for state to clear for ever, so a run over
     what is there now (available-now trigger) leaves it out."""
     rows = events.withWatermark("arrival", WATERMARK)
     out = rows.groupBy("meeting_id").transformWithStateInPandas(
-        statefulProcessor=CaptionState(keep_ms), outputStructType=LINE, outputMode="Append",
+        statefulProcessor=CaptionState(keep_ms, ring), outputStructType=LINE, outputMode="Append",
         timeMode="None" if keep_ms is None else "ProcessingTime")
     return out.withColumn("who", who(F.col("track")))
+
+
+def ring_of(spark, checkpoint: str) -> DataFrame:
+    """The newest lines of every meeting as the state of a stream has them now."""
+    rows = (spark.read.format("statestore").option("stateVarName", "ring").option("flattenCollectionTypes", "true")
+            .load(checkpoint))
+    return rows.select(F.col("key.meeting_id").alias("meeting_id"), "list_element.*").withColumn("who", who(F.col("track")))
