@@ -6,6 +6,7 @@ from parley.operators import activity, calendar
 from parley.registry import events as E
 from parley.registry.catalog import MEETINGS
 from parley.session import cut_lineage, run_dir
+from parley.sources import captions as files
 from parley.sources import derived as D
 from parley.streaming import captions, jobs, nudges, run
 from parley.streaming import sync as pushing
@@ -32,6 +33,29 @@ def captions_live_partial(spark, sf):
     return last.filter("e.text IS NOT NULL").select("meeting_id", "track", "e.who", "e.start", "e.end", "e.text")
 
 
+def captions_ndjson(spark, sf):
+    """Every event as a line of its track's file, and a line that is no event beside every fiftieth; read as a
+    stream from the files."""
+    root = run_dir(spark, "ndjson")
+    rows = D.captions(D.events(spark, sf))
+    line = F.to_json(F.struct("t", "start", "end", "text", F.col("arrival_ms").alias("at"), F.col("event_id").alias("n")))
+    broken = F.when(F.col("event_id") % 50 == 0, F.concat(F.lit("{"), "text"))
+    rows.select("meeting_id", "track", F.explode(F.array_compact(F.array(line, broken))).alias("value")).write.partitionBy(
+        "meeting_id", "track").text(root)
+    stream = files.events(files.caption_stream(spark, root, ended=True))
+    lines = run.to_table(captions.caption_lines(stream), "ndjson-lines")
+    return lines.filter("kind = 'final'").drop("kind", "arrival_ms", "event_id")
+
+
+def captions_ring_live(spark, sf):
+    """The newest lines of every meeting, as the stream's state has them in the end."""
+    run.use_state_store(spark)
+    checkpoint = run_dir(spark, "ring")
+    lines = captions.caption_lines(D.captions(_events(spark, sf)), ring=10)
+    lines.writeStream.format("noop").option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return captions.ring_of(spark, checkpoint).select("meeting_id", "seq", "track", "who", "start", "end", "text")
+
+
 def job_transitions_live(spark, sf):
     return run.to_table(jobs.finished_jobs(D.jobs(_events(spark, sf))), "jobs")
 
@@ -126,7 +150,8 @@ def sync_retry(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     captions_live, captions_live_partial, job_transitions_live, nudge_call, nudge_actions, announce_once_live,
-    tumbling_activity_live, sync_push_live, sync_retry)}
+    tumbling_activity_live, sync_push_live, sync_retry, captions_ndjson,
+    captions_ring_live)}
 
 _SAMPLES = f"""{E.CALENDAR},
 entry AS (SELECT e.event_id, c.title, c.start_s,
@@ -182,6 +207,8 @@ answers AS (SELECT user_id, ts_ms + 60000 AS ts_ms, -1 AS event_id, 'action' AS
 {_walked('second', 'SELECT * FROM samples UNION ALL SELECT * FROM answers')}
 SELECT user_id, ts_ms, event, nudge_id, kind FROM second WHERE event IS NOT NULL""",
     "captions_live": E.ORACLE["captions_final"],
+    "captions_ndjson": E.ORACLE["captions_final"],
+    "captions_ring_live": E.ORACLE["captions_ring"],
     "captions_live_partial": E.ORACLE["captions_partial"],
     "job_transitions_live": E.ORACLE["job_transitions"],
     "announce_once_live": "SELECT DISTINCT 'n-' || sha1(props) AS nudge_id FROM events",
