@@ -33,7 +33,7 @@ def op6_toxicity(spark, sf_dir):
 
 
 def op7_url_filter(spark, sf_dir):
-    return urls.judge(_table(spark, sf_dir, "pages"), majority=False, rounds=None)
+    return urls.judge(_table(spark, sf_dir, "pages"), rounds=None)
 
 
 def op8_token_counts(spark, sf_dir):

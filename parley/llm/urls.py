@@ -1,14 +1,18 @@
 """URL filter: rules by host and path, and trust spread over the links between hosts.
 
-Every host with pages that a rule allows is a trusted seed, every host with pages that a rule
-blocks a distrusted one, in proportion to their number; `majority` keeps the hosts of which
-most pages are allowed, or blocked. Personalised PageRank runs from the trusted seeds along
-the links; distrust runs from the blocked seeds against them, to the hosts that link there,
-until a round moves less than `tolerance` or for `rounds`. A page that no rule fits has its
-host's verdict: block where distrust makes up more than `limit` of the host's trust and
-distrust, else allow. What a host has from its own seed speaks for other pages of that host
-only if the seed stands for most of its pages. The graph has a row per host and per pair of
-linked hosts, so rounds move those rows only.
+A host's share of pages that a rule allows is its seed of trust, its share of pages that a rule
+blocks its seed of distrust. Personalised PageRank runs from the trusted seeds along the links;
+distrust runs from the blocked seeds against them, to the hosts that link there. Both are
+compared with the rank that the host would have if every host were a whole seed: what a host
+hears is the part of its rank that is trust (of those that link to it) or distrust (of those it
+links to). A host with one blocked page in a hundred so passes on a hundredth, and unknown
+hosts count as neither. Ruled pages pass on their own seed only, not what their host hears, so
+links from a blocked host to good ones do not wash it. A page that no rule fits has its host's verdict: the ruled pages stand
+for their share of the host, what it hears for the rest; block where distrust is above `limit`
+and above that part of trust and distrust together, else allow. Rounds go on until one moves
+less than `tolerance` a host or for `rounds`. The graph has a row per host and per pair of
+linked hosts and direction, so a round moves those rows only, for all four ranks at once, and
+deletes the table of the round before.
 
 Defined results: a null url, or one without "://", has an empty host and path; such a host
 takes no part in the graph and is allowed, as is every host that no seed reaches. A null
@@ -20,7 +24,7 @@ from itertools import count
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.session import cut_lineage
+from parley.session import cut_lineage, discard
 
 #: The rules of the query, as (host, path, verdict).
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
@@ -60,60 +64,57 @@ def links(pages: DataFrame) -> DataFrame:
 
 
 def spread(seeds: DataFrame, edges: DataFrame, rounds: int | None, tolerance: float) -> DataFrame:
-    """Personalised PageRank: host, score, own (what of it the seed gives). `seeds`: host, seed (adding up to 1 unless none);
-    `edges`: src, dst, n. What hosts without links hold goes back to the seeds. `rounds`: None goes on
-    until a round moves less than `tolerance`; a round moves at most DAMPING of what the last one did."""
-    out = edges.groupBy("src").agg(F.sum("n").alias("total"))
-    edges = cut_lineage(edges.join(out, "src").select("src", "dst", (F.col("n") / F.col("total")).alias("part")))
-    hosts = cut_lineage(seeds.select("host", "seed", F.col("seed").alias("score"), F.col("seed").alias("own"))
-                        .join(out.select(F.col("src").alias("host"), F.lit(True).alias("linked")), "host", "left"))
+    """host, good, bad, rest, heard_trust, heard_distrust. `seeds`: host, good, bad (shares of its pages); `edges`: src, dst, n.
+    Ranks along the links (ahead: trust, and all as seeds) and against them (back: distrust, and all as seeds).
+    `rounds`: None goes on until a round moves less than `tolerance` a host; a round moves at most DAMPING of the last."""
+    seed = {"trust": F.col("good"), "ahead": F.lit(1.0), "distrust": F.col("bad"), "back": F.lit(1.0)}
+    rest = F.greatest(1 - F.col("good") - F.col("bad"), F.lit(0.0))
+    hosts = cut_lineage(seeds.select("host", "good", "bad", rest.alias("rest"), *(v.alias(k) for k, v in seed.items()),
+                                     *(F.lit(0.0).alias("in_" + k) for k in seed)))
+    heard = [F.when(F.col("in_" + whole) > 0, F.col("in_" + part) / F.col("in_" + whole)).otherwise(0.0).alias("heard_" + part)
+             for part, whole in (("trust", "ahead"), ("distrust", "back"))]
     if edges.isEmpty():
-        return hosts.select("host", "score", "own")
+        return hosts.select("host", "good", "bad", "rest", *heard)
+    ways = edges.select(F.col("src").alias("giver"), F.col("dst").alias("host"), F.lit(True).alias("along"), "n").union(
+        edges.select(F.col("dst"), F.col("src"), F.lit(False), "n"))
+    total = ways.groupBy("giver", "along").agg(F.sum("n").alias("total"))
+    ways = cut_lineage(ways.join(total, ["giver", "along"]).select("giver", "host", "along", (F.col("n") / F.col("total")).alias("part")))
+    n = hosts.count()
     for _ in count() if rounds is None else range(rounds):
-        stuck = hosts.filter("linked IS NULL").agg(F.coalesce(F.sum("score"), F.lit(0.0))).first()[0]
-        into = (edges.join(hosts.select(F.col("host").alias("src"), "score"), "src")
-                .groupBy(F.col("dst").alias("host")).agg(F.sum(F.col("part") * F.col("score")).alias("into")))
-        new = (1 - DAMPING) * F.col("seed") + DAMPING * (F.coalesce("into", F.lit(0.0)) + stuck * F.col("seed"))
-        own = (1 - DAMPING + DAMPING * stuck) * F.col("seed")
-        hosts = cut_lineage(hosts.join(into, "host", "left").select(
-            "host", "seed", new.alias("score"), own.alias("own"), F.abs(new - F.col("score")).alias("moved"), "linked"))
-        if (hosts.agg(F.sum("moved")).first()[0] or 0.0) < tolerance:
+        given = ways.join(hosts.select(F.col("host").alias("giver"), *seed), "giver").groupBy("host").agg(
+            *(F.sum(F.when(F.col("along") == (k in ("trust", "ahead")), F.col("part") * F.col(k))).alias("in_" + k) for k in seed))
+        new = {k: (1 - DAMPING) * v + DAMPING * F.col("rest") * F.coalesce("in_" + k, F.lit(0.0)) for k, v in seed.items()}
+        moved = sum((F.abs(v - F.col(k)) for k, v in new.items()), F.lit(0.0))
+        old, hosts = hosts, cut_lineage(hosts.drop(*("in_" + k for k in seed)).join(given, "host", "left").select(
+            "host", "good", "bad", "rest", *(v.alias(k) for k, v in new.items()),
+            *(F.coalesce("in_" + k, F.lit(0.0)).alias("in_" + k) for k in seed), moved.alias("moved")))
+        discard(old)
+        if (hosts.agg(F.sum("moved")).first()[0] or 0.0) < tolerance * n:
             break
-    return hosts.select("host", "score", "own")
+    discard(ways)
+    return hosts.select("host", "good", "bad", "rest", *heard)
 
 
-def host_scores(pages: DataFrame, rounds: int | None = 20, tolerance: float = 1e-6, majority: bool = True) -> DataFrame:
-    """host, trust, distrust, and heard_trust, heard_distrust: the part that counts for pages without a
-    rule. `pages`: host, html, verdict of the rules or null."""
+def host_scores(pages: DataFrame, rounds: int | None = 20, tolerance: float = 1e-6) -> DataFrame:
+    """host, trust, distrust, each from 0 to 1. `pages`: host, html, verdict of the rules or null."""
     edges = cut_lineage(links(pages))
-    counts = pages.filter("host <> ''").groupBy("host").agg(
-        F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("verdict") == "allow", 1)).alias("good"),
-        F.count(F.when(F.col("verdict") == "block", 1)).alias("bad"))
+    shares = pages.filter("host <> ''").groupBy("host").agg(
+        F.avg(F.when(F.col("verdict") == "allow", 1.0).otherwise(0.0)).alias("good"),
+        F.avg(F.when(F.col("verdict") == "block", 1.0).otherwise(0.0)).alias("bad"))
     ends = edges.select(F.explode(F.array("src", "dst")).alias("host")).distinct()
-    counts = cut_lineage(counts.join(ends, "host", "full").fillna(0))
-    most = {c: F.col(c) * 2 > F.col("n") for c in ("good", "bad")}
-    kept = {c: F.col(c) if not majority else F.when(most[c], F.col(c)).otherwise(0) for c in most}
-    sums = counts.agg(F.sum(kept["good"]), F.sum(kept["bad"])).first()
-    scores = counts.select("host", "n", "good", "bad")
-    flipped = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n")
-    for name, column, total, graph in (("trust", "good", sums[0], edges), ("distrust", "bad", sums[1], flipped)):
-        own = kept[column] / F.lit(float(total or 1))
-        found = spread(counts.select("host", own.alias("seed")), graph, rounds, tolerance)
-        scores = scores.join(found, "host").withColumn(
-            "heard_" + name, F.when(most[column], F.col("score")).otherwise(F.greatest(F.col("score") - F.col("own"), F.lit(0.0)))
-        ).withColumnRenamed("score", name).drop("own")
-    return scores.drop("n", "good", "bad")
-
-
-def judge(pages: DataFrame, rules=tuple(RULES), limit: float = 0.5, majority: bool = True,
-          rounds: int | None = 20) -> DataFrame:
+    found = spread(shares.join(ends, "host", "full").fillna(0.0), edges, rounds, tolerance)
+    return found.select("host", (F.col("good") + F.col("rest") * F.col("heard_trust")).alias("trust"),
+                        (F.col("bad") + F.col("rest") * F.col("heard_distrust")).alias("distrust"))
+
+
+def judge(pages: DataFrame, rules=tuple(RULES), limit: float = 0.5, rounds: int | None = 20) -> DataFrame:
     """page_id, host, path, rule, verdict, trust and distrust of every row of `pages` (page_id, url, html)."""
     host, path = split_url(F.col("url").cast("string"))
     split = pages.select("page_id", host.alias("host"), path.alias("path"), F.col("html").cast("string").alias("html"))
     found = split.withColumn("found", rule_of(F.col("host"), F.col("path"), rules))
     scores = host_scores(found.select("host", "html", F.col("found.verdict").alias("verdict")),
-                         rounds, majority=majority)
-    bad = F.col("heard_distrust") > limit * (F.col("heard_trust") + F.col("heard_distrust"))
+                         rounds)
+    bad = F.col("distrust") > limit * F.greatest(F.lit(1.0), F.col("trust") + F.col("distrust"))
     return (found.drop("html").join(scores, "host", "left")
             .select("page_id", "host", "path", F.col("found.rule").alias("rule"),
                     F.coalesce("found.verdict", F.when(bad, "block").otherwise("allow")).alias("verdict"),
