@@ -257,8 +257,8 @@ def links(docs: DataFrame, own: DataFrame, threshold: float, rows: int, size: in
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, rows: int = ROWS, size: int = SHINGLE,
                     block: int = BLOCK) -> DataFrame:
-    """doc_id, text_code, class_id and n_links (other distinct texts linked to it) of every row of
-    `docs` (doc_id, text)."""
+    """doc_id, text_code, class_root (a set's code, equal in a class; null for null texts), class_id and n_links
+    (other distinct texts linked to it) of every row of `docs` (doc_id, text)."""
     signed = cut_lineage(sign(docs, threshold, rows, size))
     own = cut_lineage(sets(signed))
     found = links(docs, own, threshold, rows, size, block)
@@ -272,7 +272,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, rows: int = R
     member = cut_lineage(member)
     ids = member.filter("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("class_id"))
     return member.join(ids, "root", "left").select(
-        "doc_id", "text_code", F.coalesce("class_id", F.when(F.col("root").isNull(), F.col("doc_id"))).alias("class_id"),
+        "doc_id", "text_code", F.col("root").alias("class_root"), F.coalesce("class_id", F.when(F.col("root").isNull(), F.col("doc_id"))).alias("class_id"),
         F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
@@ -281,8 +281,21 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` of which the id is their class's id, with all columns; rows without an
-    id stay where their class has none, and null texts stay."""
-    found = near_duplicates(docs).filter("NOT doc_id <=> class_id")
-    gone = found.select(F.col("doc_id").alias("__id"), F.col("text_code").alias("__code")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (text_code() == F.col("__code")), "left_anti")
+    """One row of each class of `docs`, with all columns: the one with the least id, of these the one with the
+    least hash of its text, of equal rows any. Rows without an id come last in their class; every null text
+    stays, as it is a class of its own."""
+    key = ["__id", "__code"]
+    found = cut_lineage(near_duplicates(docs).filter("class_root IS NOT NULL")
+                        .groupBy(F.col("doc_id").alias("__id"), F.col("text_code").alias("__code"), "class_root")
+                        .agg(F.count(F.lit(1)).alias("__times")))
+    least = F.min(F.struct(F.col("__id").isNull().alias("none"), *key)).alias("least")
+    first = cut_lineage(found.groupBy("class_root").agg(least).select("least.__id", "least.__code"))
+
+    def same(a, b):
+        return a["__id"].eqNullSafe(b["__id"]) & (a["__code"] == b["__code"])
+    twice = found.filter("__times > 1").join(first, same(found, first), "left_semi").select(*key)
+    gone = found.join(first, same(found, first), "left_anti").select(*key).union(twice)
+    named = docs.withColumn("__own", F.col("doc_id").cast("long")).withColumn("__text", text_code())
+    mine = F.col("__own").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__code"))
+    again = named.join(twice, mine, "left_semi").dropDuplicates(["__own", "__text"])
+    return named.join(gone, mine, "left_anti").union(again).drop("__own", "__text")

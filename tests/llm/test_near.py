@@ -80,6 +80,19 @@ def test_one_stays(spark):
         [(2, prose(1, 60)[:5]), (5, prose(2, 60)[:5]), (None, ""), (7, ""), (2, "anoth")], key=repr)
 
 
+def test_one_row_of_each_class_stays(spark):
+    """Also where rows repeat, rows of a class share the least id, or have none."""
+    one, two, three, four = (prose(i, 60) for i in (11, 12, 13, 14))
+    rows = [(4, one), (4, one + " x"), (4, "y " + one), (9, two), (9, two), (9, two), (None, three), (None, three),
+            (None, four), (6, four + " z"), (None, None), (None, None), (8, None), (1, ""), (1, ""), (2, "")]
+    left = near.keep_one(docs(spark, rows, CLASHES)).collect()
+    texts = sorted((r["doc_id"], r["text"]) for r in left if r["doc_id"] is not None and r["text"] is not None)
+    assert [k for k, _ in texts] == [1, 4, 6, 9] and texts[1][1] in (one, one + " x", "y " + one)
+    assert [texts[0][1], texts[2][1], texts[3][1]] == ["", four + " z", two]
+    assert sorted(str(r["text"]) for r in left if r["doc_id"] is None) == sorted([three, "None", "None"])
+    assert len(left) == 8
+
+
 def test_bands():
     n = near.bands_for()
     assert 1 - (1 - 0.8 ** near.ROWS) ** n >= near.RECALL > 1 - (1 - 0.8 ** near.ROWS) ** (n - 1)
