@@ -10,7 +10,9 @@ of the region's text and do not break it where they stand inside an article.
 
 Defined results: null, empty and tag-free pages: the whole text of a tag-free page, else
 an empty one; with an empty table or without labelled pages the default weights hold; equal
-scores go to the region that begins first; repeated rows give one row each.
+scores go to the region that begins first; of articles that stand apart the region with the
+highest sum; repeated rows give one row each. Time is linear in the page, also for very deep or
+broken markup; a '<' that no '>' follows is text.
 """
 
 import html as entities
@@ -26,9 +28,11 @@ SAMPLE_PAGES = 2_000
 MAX_WEIGHTS = 5_000
 CLIP = 4.0
 
-_TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|"""
-    r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*|[^>]*)>|[^<]+|<""", re.S)
+#: No pattern backtracks: a tag ends at the first '>' outside quoted values; _LOOSE knows no quotes.
+_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+)>""")
+_LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
+_UNSEEN = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)", re.S)
+_DECLARED = re.compile(r"<[!?][^>]*+>")
 _ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _MARKED = re.compile(r"<(?:article|main)[\s>]", re.I)
 
@@ -45,11 +49,17 @@ CHROME_WORDS = set(
     "cookie cookies disclaimer disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice "
     "notices notification pager pagination popup promo promotion recommended related replies reply search share "
     "sharing sidebar signup skip social sponsor sponsored subscribe toolbar topbar widget".split())
+#: Of these, words for texts of others; a part named so is never the article's, whatever stands in it.
+OTHER_WORDS = set(
+    "ad ads adsbygoogle adsense advert adverts advertisement advertisements advertising comment commentlist comments disqus "
+    "outbrain pingbacks recommended related replies responses sponsor sponsored sponsors taboola trackbacks".split())
 CHROME_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "form", "menu"}
 #: Words that a class or id may have besides; "comments-open" or "no-sidebar" tell a state of the page.
 PART_WORDS = set("area bar bars block body bottom box btn button buttons container form global group icon icons inner item "
                  "items left link links list module panel post posts primary right secondary section site slot text "
                  "title top unit wrap wrapper".split())
+#: Words that may stand beside OTHER_WORDS besides.
+OTHER_PARTS = set("articles author content google meta posts stories thread threads".split())
 HEADER_WORDS = {"header", "main", "page", "entry", "article"}
 #: Elements whose class and id tell nothing about being left out; article counts unless it stands in another one.
 WHOLE = {"html", "body", "main"}
@@ -57,9 +67,9 @@ CONTAINER_WORDS = {"article", "content", "entry", "main", "post", "story"}
 
 
 def _named(names, words, more=frozenset()):
-    """Whether a class or id is one of the words, or made of them and of PART_WORDS and `more` alone."""
+    """Whether a class or id is one of the words, or made of them and of PART_WORDS, numbers and `more` alone."""
     for name in names:
-        parts = set(filter(None, re.split(r"[^a-z0-9]+", name)))
+        parts = set(filter(None, re.split(r"[^a-z]+", name)))
         if parts & words and parts <= words | PART_WORDS | more:
             return True
     return False
@@ -78,7 +88,8 @@ def _kind(tag, attributes, marked, named):
         return "chrome"
     role = found.get("role", "")
     whole = f"{found.get('class', '')} {found.get('id', '')}".split()
-    if role in CHROME_ROLES:
+    if role in CHROME_ROLES or tag not in WHOLE and (
+            _named(whole, OTHER_WORDS, OTHER_PARTS) or found.get("itemprop") == "comment"):
         return "chrome"
     if named and _named(whole, CHROME_WORDS):
         return "named"
@@ -91,59 +102,90 @@ def _kind(tag, attributes, marked, named):
     return "named header" if named and _named(whole, {"header"}, HEADER_WORDS | CHROME_WORDS) else ""
 
 
+def tokens(page):
+    """(text, tag match or None, end) of the texts and tags of a page in page order, in linear time. The reader may
+    send a place to go on from. Where a tag's quotes leave it without an end, quotes mean nothing from there on."""
+    at, last, strict = 0, page.rfind(">"), True
+    while at < len(page):
+        end, m = at, None
+        if page[at] == "<":
+            if m := _UNSEEN.match(page, at):
+                at = m.end()
+                continue
+            if at > last:
+                end = len(page)
+            elif m := _DECLARED.match(page, at):
+                at = m.end()
+                continue
+            else:
+                name = page[at + 1:at + 3].lstrip("/")[:1]
+                if name.isascii() and name.isalpha():
+                    m = strict and _TAG.match(page, at)
+                    if not m:
+                        strict, m = False, _LOOSE.match(page, at)
+                end = m.end() if m else at + 1
+        else:
+            end = page.find("<", at)
+            end = len(page) if end < 0 else end
+        at = (yield page[at:end], m, end) or end
+
+
 def pieces(page, opened=None):
     """(kind, name, n_words, text) per piece: 'word' with its context, 'skip' for words left
     out, 'tag' with its name; a tag that ends a block has the text None, others ''.
 
     `opened`: place of an element within which classes and ids do not count outside articles.
-    One that would leave out more article words than the rest of the page has is opened."""
-    out, stack, marked, at = [], [], bool(_MARKED.search(page)), 0
+    Where no article has words outside the parts left out by class or id, the first of these parts
+    that holds an article is opened; parts with texts of others (OTHER_WORDS) never are."""
+    out, stack, blocks, held, marked = [], [], [], {}, bool(_MARKED.search(page))
     chrome = named = inside = kept = 0
-    lost, outer, depth = {}, None, None
+    hides, outer, depth = None, None, None
 
-    def pop(i):
+    def pop():
         nonlocal chrome, named, inside
-        while len(stack) > i:
-            kind = stack.pop()[1]
-            chrome -= kind == "chrome"
-            named -= kind == "named"
-            inside -= kind == "article"
-    while m := _TOKEN.match(page, at):
-        at = m.end()
-        text = m[0]
-        if text[0] != "<" or text == "<":
+        tag, kind = stack.pop()
+        held[tag] -= 1
+        if tag not in INLINE:
+            blocks.pop()
+        chrome -= kind == "chrome"
+        named -= kind == "named"
+        inside -= kind == "article"
+    reader, back = tokens(page), None
+    while True:
+        try:
+            text, m, at = reader.send(back)
+        except StopIteration:
+            break
+        back = None
+        if m is None:
             n = len(text.split())
-            blocks = [t for t, _ in stack if t not in INLINE][-2:]
-            context = ("in>" if inside else "out>" if marked else "any>") + ">".join(blocks)
+            context = ("in>" if inside else "out>" if marked else "any>") + ">".join(blocks[-2:])
             out.append(("skip" if chrome or named else "word", context, n, text, inside))
             if inside and not chrome:
-                if named:
-                    lost[outer] = lost.get(outer, 0) + n
-                else:
+                if not named:
                     kept += n
-            continue
-        if m[2] is None:
+                elif n and hides is None:
+                    hides = outer
             continue
         tag, block = m[2].lower(), m[2].lower() not in INLINE
         out.append(("tag", tag, 0, None if block else "", inside))
         if m[1]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    pop(i)
-                    break
+            if held.get(tag):
+                while stack[-1][0] != tag:
+                    pop()
+                pop()
             continue
         if tag in VOID or m[3].endswith("/"):
             continue
         if tag in RAW:
-            end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
+            end = re.compile(rf"</{tag}\s*+>", re.I).search(page, at)
+            back = end.end() if end else len(page)
             continue
         if block:
-            while stack and (stack[-1][0] == "p" or stack[-1][0] in INLINE and
-                             any(t == "p" for t, _ in stack)) or \
+            while stack and (stack[-1][0] == "p" or stack[-1][0] in INLINE and held.get("p")) or \
                     stack and stack[-1][0] == tag and tag in ("li", "dt", "dd", "option", "tr", "td", "th"):
-                pop(len(stack) - 1)
-        whole = tag in WHOLE or tag == "article" and not any(t == "article" for t, _ in stack)
+                pop()
+        whole = tag in WHOLE or tag == "article" and not held.get("article")
         if m.start() == opened:
             depth = len(stack)
         elif depth is not None and len(stack) <= depth:
@@ -154,11 +196,13 @@ def pieces(page, opened=None):
         if kind == "named" and not named:
             kind, outer = ("chrome", outer) if inside else (kind, m.start())
         stack.append((tag, kind))
+        held[tag] = held.get(tag, 0) + 1
+        if block:
+            blocks.append(tag)
         chrome += kind == "chrome"
         named += kind == "named"
         inside += kind == "article"
-    most = max(lost, key=lost.get, default=None)
-    return pieces(page, most) if opened is None and lost.get(most, 0) > kept else out
+    return pieces(page, hides) if opened is None and not kept and hides is not None else out
 
 
 def score(piece, weights):

@@ -47,6 +47,14 @@ ARTICLES = ["<article class='post comments-open'><p>Kept</p><p>text</p></article
             "<article><p>Kept</p><p>text</p><article class='comment'>Nice</article></article>"]
 
 
+#: Texts of others, longer than the article they stand beside or in.
+OTHERS = ["<div id='comments'><article class='comment'>{}</article></div>", "<ol class='comment-list'><li><article>{}</article></li></ol>",
+          "<div class='related-posts'><article>{}</article></div>", "<div class='comments-section-2'><p>{}</p></div>",
+          "<div class='ad-slot-1'><p>{}</p></div>", "<div class='google_ads'>{}</div>", "<section class='responses'><p>{}</p></section>",
+          "<article id='comment-17' class='comment even depth-1'><p>{}</p></article>", "<div itemprop='comment'>{}</div>",
+          "<div class='modal'><div class='comments'><article>{}</article></div></div>"]
+
+
 @pytest.fixture(scope="module")
 def weights(spark, sf_dir):
     return html.learn_weights(spark.read.parquet(f"{sf_dir}/pages.parquet"))
@@ -66,6 +74,36 @@ def test_classes_that_tell_a_state(weights, state, article):
     assert html.extract(source, weights) == "Kept\ntext"
 
 
+@pytest.mark.parametrize("other", OTHERS)
+@pytest.mark.parametrize("inner", [False, True])
+def test_texts_of_others(weights, other, inner):
+    """Comments, related pages and adverts stay out however long they are, after an article and inside it."""
+    other = other.format(prose(7, 300))
+    own = "<p>Kept</p><p>text</p>"
+    body = f"<article>{own}{other}</article>" if inner else f"<article>{own}</article>{other}"
+    assert html.extract(f"<html><body>{body}</body></html>", weights) == "Kept\ntext"
+
+
+BROKEN = [("<div>" * 100_000 + "x", "x"), ("<div>" * 50_000 + "x" + "</p>" * 50_000, "x"), ("<a b " * 200_000, None),
+          ('<a "' * 250_000, None), ("<!" * 500_000, None), ('<a b="' * 170_000, None), ("<a b=\"'" * 100_000 + ">", None),
+          ("<a b='" * 99_999 + ">", None), ("<ul><li>" * 50_000 + "x", "x"), ("<p>" + "<b>" * 100_000 + "x", "x"),
+          ("<article>" * 50_000 + "x", "x"), ("<p>1 < 2 " * 50_000, None), ("</div>" * 150_000 + "x", "x"), ("<!-->a<!--->b", "ab")]
+
+
+@pytest.mark.parametrize("case", range(len(BROKEN)))
+def test_broken_pages_take_linear_time(case):
+    import time
+    source, text = BROKEN[case]
+    began = time.process_time()
+    found = html.extract(source, {})
+    assert time.process_time() - began < 20
+    assert text is None or found == text
+
+
+def test_tags_end_outside_quoted_values():
+    assert html.extract("<article><p title='a > b' data-x=\"c>d\">it's <b class=x'y>so</b></p></article>", {}) == "it's so"
+
+
 def test_region_is_the_best_of_all():
     import random
     r = random.Random(1)
