@@ -13,7 +13,8 @@ DataFrame functions only.
 
 Defined results: null and empty texts have no tokens, the prior as posterior and a rate
 like any other; rows with equal id and text share one rate; without labels there is one
-domain "all" and all rates are 1; an empty table gives an empty one.
+domain "all" and all rates are 1; documents without a column lang are of no known language;
+an empty table gives an empty one.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -47,7 +48,8 @@ def train(docs: DataFrame, labels: DataFrame, domain: str = DOMAIN, sample: int
     """Domains with their log priors, and the table word, s0..sK-1 of log likelihoods against
     those of an unknown word. At most `sample` labelled rows and `vocabulary` words."""
     chosen = labels.orderBy(F.xxhash64("doc_id"), *labels.columns).limit(sample)
-    rows = docs.select("doc_id", "text", *[c for c in ("lang", "source") if c in docs.columns])
+    rows = docs.select("doc_id", "text", *[c if c in docs.columns else F.lit(None).cast("string").alias(c)
+                                           for c in ("lang", "source")])
     named = rows.join(F.broadcast(chosen.dropDuplicates(["doc_id"])), "doc_id").select(
         F.expr(domain).alias("domain"), F.col("text").cast("string").alias("text"))
     words = named.select("domain", F.explode(_words(F.col("text"))).alias("word")).filter("word <> ''")
@@ -138,4 +140,4 @@ def mix(docs: DataFrame, labels: DataFrame, goals=None, domain: str = DOMAIN) ->
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, n_tokens, domain, rate of every row."""
-    return mix(docs.select("doc_id", "text", "lang"), labels).select("doc_id", "n_tokens", "domain", "rate")
+    return mix(docs.select("doc_id", "text", *[c for c in ("lang",) if c in docs.columns]), labels).select("doc_id", "n_tokens", "domain", "rate")

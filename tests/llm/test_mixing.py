@@ -75,6 +75,15 @@ def test_no_labels_and_no_documents(spark):
     assert mixing.mix(docs(spark, []), labels(spark, [(1, 1, 0)])).collect() == []
 
 
+def test_documents_without_a_language(spark):
+    table = docs(spark, [(i, f"a b c d{i}") for i in range(6)]).drop("lang")
+    marks = labels(spark, [(i, i % 2, 0) for i in range(4)])
+    found = mixing.mix(table, marks).collect()
+    assert sorted(r["doc_id"] for r in found) == list(range(6))
+    assert {r["domain"] for r in found} <= {"und/good", "und/poor"} and "lang" not in found[0].asDict()
+    assert len(mixing.report(table, marks).collect()) == 6
+
+
 def test_no_python_in_the_plan(spark, sf_dir):
     from parley.llm import lines
     table = spark.read.parquet(f"{sf_dir}/documents.parquet")
