@@ -23,6 +23,14 @@ def session_stream(events: DataFrame, keys: list[str], gap: str) -> DataFrame:
         F.count(F.lit(1)).alias("n")))
 
 
+def session_totals(events: DataFrame, keys: list[str], gap: str, size: str) -> DataFrame:
+    """Sessions and their events per window they end in, from a stream: two stateful steps behind one
+    watermark, the second of which only gets closed sessions. Both count before the shuffle."""
+    closed = events.groupBy(F.session_window("ts", gap), *keys).agg(F.count(F.lit(1)).alias("n"))
+    return _bounds(closed.groupBy(F.window(F.window_time("session_window"), size)).agg(
+        F.count(F.lit(1)).alias("sessions"), F.sum("n").alias("n")))
+
+
 def sessions(events: DataFrame, keys: list[str], gap_ms: int, block_ms: int = DAY_MS) -> DataFrame:
     """The same for a table (ts_ms, event_id). A session window would sort all events of
     a key in one task; islands over blocks spread a busy key."""

@@ -8,7 +8,7 @@ from parley.registry.catalog import MEETINGS
 from parley.session import cut_lineage, run_dir
 from parley.sources import captions as files
 from parley.sources import derived as D
-from parley.streaming import captions, jobs, nudges, run
+from parley.streaming import captions, folders, jobs, nudges, run
 from parley.streaming import sync as pushing
 
 HOUR_MS = 3_600_000
@@ -105,6 +105,37 @@ def tumbling_activity_live(spark, sf):
     return run.to_table(activity.windowed(rows, ["event_type"], "1 hour"), "activity")
 
 
+def sliding_activity_live(spark, sf):
+    rows = _events(spark, sf).withWatermark("ts", "0 seconds")
+    return run.to_table(activity.windowed(rows, ["event_type"], "6 hours", "2 hours"), "sliding")
+
+
+def _users(spark, sf):
+    return _events(spark, sf).withColumn("user_id", F.col("user_id").cast("string")).withWatermark("ts", "0 seconds")
+
+
+def session_activity_live(spark, sf):
+    return run.to_table(activity.session_stream(_users(spark, sf), ["user_id"], "4 hours"), "sessions")
+
+
+def session_days_live(spark, sf):
+    return run.to_table(activity.session_totals(_users(spark, sf), ["user_id"], "4 hours", "1 day"), "session-days")
+
+
+def scan_live(spark, sf):
+    """Every document as a folder of three scans, some folders known before; each scan leaves a fifth of them
+    out and finds a third of them changed."""
+    path = run_dir(spark, "scans")
+    docs = D.table(spark, sf, "documents").select("doc_id", F.col("doc_id").cast("string").alias("folder")).filter(
+        "doc_id IS NOT NULL").distinct()
+    at = lambda k: F.timestamp_seconds(F.floor((F.col("doc_id") + k) / 3))
+    known = docs.filter("doc_id % 2 = 0").select("folder", F.lit(0).alias("scan"), at(0).alias("modified"))
+    for k in (1, 2, 3):
+        folders.record_scan(docs.filter((F.col("doc_id") + k) % 5 != 0).select("folder", at(k).alias("modified")), path, k)
+    found = run.to_table(folders.folder_changes(folders.scans(spark, path), known), "folders")
+    return found.select("folder", "scan", "state", F.unix_seconds("modified").alias("modified_s"))
+
+
 def sync_push_live(spark, sf):
     """A change feed pushed in batches; one target in nine refuses and is queued."""
     path = run_dir(spark, "push")
@@ -150,8 +181,8 @@ def sync_retry(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     captions_live, captions_live_partial, job_transitions_live, nudge_call, nudge_actions, announce_once_live,
-    tumbling_activity_live, sync_push_live, sync_retry, captions_ndjson,
-    captions_ring_live)}
+    tumbling_activity_live, sliding_activity_live, session_activity_live, session_days_live, scan_live, sync_push_live,
+    sync_retry, captions_ndjson, captions_ring_live)}
 
 _SAMPLES = f"""{E.CALENDAR},
 entry AS (SELECT e.event_id, c.title, c.start_s,
@@ -195,6 +226,14 @@ def _walked(name, rows):
                     FROM {name} s JOIN {name}_rows q ON q.user_id = s.user_id AND q.rn = s.rn + 1))))"""
 
 
+#: Sessions whose end the newest event has reached; later ones are still open.
+_CLOSED = f"""WITH {E.EVENTS},
+f AS (SELECT *, CASE WHEN ts_ms - lag(ts_ms) OVER (PARTITION BY user_id ORDER BY ts_ms) <= 14400000 THEN 0 ELSE 1 END AS f FROM ev),
+g AS (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY ts_ms) AS g FROM f),
+s AS (SELECT min(ts_ms) // 1000 AS start_s, max(ts_ms) + 14400000 AS end_ms, user_id::VARCHAR AS user_id, count(*) AS n
+      FROM g GROUP BY g.user_id, g)
+SELECT *, end_ms // 1000 AS end_s FROM s WHERE end_ms <= (SELECT max(ts_ms) FROM ev)"""
+
 _OFFERS = f"WITH RECURSIVE {_SAMPLES},{_walked('first', 'SELECT * FROM samples')}"
 
 ORACLE = {
@@ -214,6 +253,19 @@ SELECT user_id, ts_ms, event, nudge_id, kind FROM second WHERE event IS NOT NULL
     "announce_once_live": "SELECT DISTINCT 'n-' || sha1(props) AS nudge_id FROM events",
     "tumbling_activity_live": E.ORACLE["tumbling_activity"].replace(
         "FROM ev GROUP", "FROM ev WHERE sec // 3600 < (SELECT max(sec) // 3600 FROM ev) GROUP"),
+    "sliding_activity_live": f"""SELECT * FROM ({E.ORACLE["sliding_activity"]})
+WHERE end_s * 1000 <= (SELECT max(epoch_us(ts) // 1000) FROM events)""",
+    "session_activity_live": f"SELECT start_s, end_s, user_id, n FROM ({_CLOSED})",
+    "session_days_live": f"""SELECT (end_ms - 1) // 86400000 * 86400 AS start_s, (end_ms - 1) // 86400000 * 86400 + 86400 AS end_s,
+count(*) AS sessions, sum(n)::BIGINT AS n FROM ({_CLOSED})
+GROUP BY (end_ms - 1) // 86400000 HAVING ((end_ms - 1) // 86400000 + 1) * 86400000 <= (SELECT max(epoch_us(ts) // 1000) FROM events)""",
+    "scan_live": """WITH l AS (
+  SELECT DISTINCT doc_id, k, (doc_id + k) // 3 AS v FROM documents, range(4) AS r(k)
+  WHERE CASE WHEN k = 0 THEN doc_id % 2 = 0 ELSE (doc_id + k) % 5 <> 0 END),
+p AS (SELECT *, lag(k) OVER f AS k0, lag(v) OVER f AS v0, lead(k) OVER f AS k1 FROM l WINDOW f AS (PARTITION BY doc_id ORDER BY k))
+SELECT doc_id::VARCHAR AS folder, k AS scan, CASE WHEN k0 = k - 1 THEN 'changed' ELSE 'new' END AS state, v AS modified_s
+FROM p WHERE k > 0 AND (k0 IS NULL OR k0 < k - 1 OR v <> v0)
+UNION ALL SELECT doc_id::VARCHAR, k + 1, 'gone', v FROM p WHERE k < 3 AND (k1 IS NULL OR k1 > k + 1)""",
     "sync_push_live": f"""WITH {MEETINGS}
 SELECT meeting_id, CASE WHEN substring(meeting_id, -2, 2)::INT % 9 = 0 THEN 'queued' ELSE 'pushed' END AS state
 FROM meetings WHERE status = 'done' AND n_turns > 0 AND sync_enabled""",

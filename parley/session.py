@@ -12,7 +12,7 @@ def shared_dir(spark: SparkSession) -> str:
     """The shared folder of the cluster; a local one only where none is named."""
     named = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getConf().get(CHECKPOINT_DIR)
     if not named:
-        if not spark.sparkContext.master.startswith("local"):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder every executor can reach")
         named = tempfile.mkdtemp(prefix="parley-")
         spark.conf.set(CHECKPOINT_DIR, named)
