@@ -108,6 +108,22 @@ def summary_items(summaries: DataFrame) -> DataFrame:
     return summaries.select("meeting_id", F.inline(F.concat(*[entries(n) for n in SECTIONS])))
 
 
+def with_items(summaries: DataFrame, items: DataFrame) -> DataFrame:
+    """The summaries with `items` (as of `summary_items`) in place of their own."""
+    def entries(name):
+        own = F.struct("pos", *(("owner", F.col("item").alias("task"), "due") if name == "action_items" else ("item",)))
+        return F.array_sort(F.collect_list(F.when(F.col("section") == name, own))).alias(f"_{name}")
+    found = items.groupBy("meeting_id").agg(*[entries(name) for name in SECTIONS])
+
+    def contents(name):
+        if name == "action_items":
+            return F.transform(f"_{name}", lambda a: F.struct(*[a[x].alias(x) for x in ("owner", "task", "due")]))
+        return F.transform(f"_{name}", lambda a: a["item"])
+    kinds = dict(summaries.dtypes)
+    return summaries.join(found, "meeting_id", "left").select(*[
+        F.coalesce(contents(x), F.array().cast(kinds[x])).alias(x) if x in SECTIONS else x for x in summaries.columns])
+
+
 def cap_items(items: DataFrame, cap: int = LIST_CAP) -> DataFrame:
     """The first items of each section. The rank limit is pushed before the shuffle."""
     first = Window.partitionBy("meeting_id", "section").orderBy("pos")

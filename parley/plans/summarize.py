@@ -1,6 +1,8 @@
 """Map-reduce over transcript chunks with a model given by the caller."""
 
-from functools import reduce
+from collections.abc import Callable, Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -9,10 +11,13 @@ from pyspark.sql.types import StringType, StructType
 from parley.functions import constants as c
 from parley.functions.text import excerpt
 from parley.operators.windows import budget_groups, chunk_lines, join_groups
-from parley.session import cut_lineage
+from parley.session import cut_lineage, spread
 
 MAX_SPLITS = 2
 SLACK_CHARS = 200
+#: Calls a task has out at once, and how often a call is made again that got no answer.
+IN_FLIGHT = 3
+RETRIES = 2
 
 
 class Overflow(Exception):
@@ -23,26 +28,44 @@ class Refused(Exception):
     """The model declined the portion."""
 
 
+class Busy(Exception):
+    """No answer this time; asked again at once, and if need be by the task's next attempt."""
+
+
 def no_model(text: str, title: str) -> str:
     """Stands in for a model: every portion is kept as an excerpt."""
     raise Refused
 
 
+def _answer(note: Callable, retries: int, call: tuple) -> tuple:
+    """(answer, None), or (None, why there is none)."""
+    for left in range(retries, -1, -1):
+        try:
+            return note(*call), None
+        except Overflow:
+            return None, "long"
+        except Refused:
+            return None, "refused"
+        except Busy:
+            if not left:
+                raise
+
+
+def answers(note: Callable, calls: Iterable[tuple], in_flight: int = IN_FLIGHT, retries: int = RETRIES) -> Iterator[tuple]:
+    """Answers to the calls in their order, at most `in_flight` of them out at once."""
+    with ThreadPoolExecutor(in_flight) as pool:
+        yield from pool.map(partial(_answer, note, retries), calls)
+
+
 def _asked(rows: DataFrame, text: str, note) -> DataFrame:
-    """Adds `note`, the model's answer, and `why` where there is none: long or refused."""
+    """Adds `note`, the model's answer, and `why` where there is none: long or refused. The rows
+    are spread over tasks, for a call takes longer than to move its text."""
     def ask(batches):
         for pdf in batches:
-            notes, whys = [], []
-            for body, title in zip(pdf[text], pdf["title"]):
-                try:
-                    notes.append(note(body, title))
-                    whys.append(None)
-                except (Overflow, Refused) as error:
-                    notes.append(None)
-                    whys.append("long" if isinstance(error, Overflow) else "refused")
-            yield pdf.assign(note=notes, why=whys)
+            found = list(answers(note, zip(pdf[text], pdf["title"])))
+            yield pdf.assign(note=[a for a, _ in found], why=[why for _, why in found])
     kind = StructType(list(rows.schema.fields)).add("note", StringType()).add("why", StringType())
-    return cut_lineage(rows.mapInPandas(ask, kind))
+    return cut_lineage(spread(rows, "meeting_id", text).mapInPandas(ask, kind))
 
 
 def map_chunks(chunks: DataFrame, note=no_model) -> DataFrame:
@@ -131,3 +154,22 @@ def sources(lines: DataFrame, titles: DataFrame, note=no_model, limit: int = c.C
     people = F.when(F.col("participants") != "", F.concat(
         F.lit("Participants: "), "participants", F.lit("."))).otherwise("")
     return rows.select("meeting_id", "chunks", F.concat(head, people, F.lit("\n\n"), "notes").alias("source"), "cut")
+
+
+def summarize_meetings(lines: DataFrame, titles: DataFrame, model, note=no_model, limit: int = c.CHUNK_CHARS) -> DataFrame:
+    """The summary of each meeting with lines, as its fields (see `coerce_summary`) without repeated thoughts, the
+    number of `chunks`, the characters of notes `cut`, and `state`: done, long or refused (the last call was not
+    taken), unread (the reply holds no whole object). Only done ones have contents.
+
+    `model(source, title)` returns the reply to the last call, `note(text, title)` the notes of a portion. Both may
+    raise Overflow, Refused or Busy, and are called from several threads of a task.
+    """
+    # Not at the top: a model that names this module takes it along to the workers, and a used UDF cannot travel.
+    from parley.operators import summaries
+
+    given = sources(lines, titles, note, limit).join(titles.select("meeting_id", "title"), "meeting_id")
+    asked = _asked(given, "source", model)
+    read = summaries.extract_json(asked.select("meeting_id", "chunks", "cut", "why", F.col("note").alias("reply")))
+    state = F.coalesce("why", F.when(F.col("json").isNull(), "unread").otherwise("done"))
+    full = cut_lineage(summaries.coerce_summary(read.withColumn("state", state).drop("reply", "why")))
+    return summaries.with_items(full, summaries.dedup_items(summaries.summary_items(full)))

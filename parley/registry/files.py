@@ -1,6 +1,7 @@
 """Queries that read files Spark wrote from the given tables, and whole jobs."""
 
 import io
+import json
 import wave
 
 import numpy as np
@@ -12,6 +13,7 @@ from parley.functions import text as X
 from parley.functions.constants import CHUNK_CHARS
 from parley.operators import speakers, turns, windows
 from parley.plans import summarize
+from parley.plans.summarize import Overflow, Refused
 from parley.registry import sql as S
 from parley.registry.catalog import MEETINGS
 from parley.registry.conversation import build_turns
@@ -124,8 +126,42 @@ def summarize_chunks(spark, sf):
     return summarize.sources(lines, _titles(spark, sf), limit=CHUNK_CHARS // 5)
 
 
+def _note(text, title):
+    """Stands in for a model: the beginnings of a portion's lines. Long portions overflow, some are refused."""
+    if len(text) > CHUNK_CHARS // 6:
+        raise Overflow
+    if len(text) % 7 == 0:
+        raise Refused
+    return "\n".join("- " + line[:80] for line in text.split("\n"))
+
+
+def _reply(source, title):
+    """Stands in for a model: the lines of the source by turns as points, decisions and actions, in an object that
+    stands alone, in a fence, or is cut off."""
+    head, _, notes = source.partition("\n\n")
+    if len(notes) % 11 == 0:
+        raise Refused
+    lines = notes.split("\n")
+    body = json.dumps({"headline": title, "tldr": head, "key_points": lines, "decisions": lines[::2],
+                       "action_items": [{"owner": title[-1:], "task": x, "due": "TBD"} for x in lines[1::3]]})
+    return (body, f"```json\n{body}\n```", body[:-1] if len(notes) % 5 == 0 else body)[len(notes) % 3]
+
+
+def summarize_meetings(spark, sf):
+    """From named turns to stored summaries: chunks, notes, condensed notes, the last call, its reply's fields, and
+    no thought twice."""
+    named = turns.named_turns(build_turns(spark, sf), D.speakers(spark, sf))
+    lines = cut_lineage(windows.transcript_lines(named))
+    found = summarize.summarize_meetings(lines, _titles(spark, sf), _reply, _note, limit=CHUNK_CHARS // 5)
+    joined = lambda name: F.array_join(name, "|").alias(name)
+    return found.select("meeting_id", "chunks", "cut", "state", "headline", joined("key_points"), joined("decisions"),
+                        F.array_join(F.transform("action_items", lambda a: F.concat_ws("/", a["owner"], a["task"], a["due"])),
+                                     "|").alias("action_items"))
+
+
 QUERIES = {f.__name__: f for f in (
-    scan_meetings, scan_changed, ingest_segments, load_analysis, audio_chunks, summarize_chunks)}
+    scan_meetings, scan_changed, ingest_segments, load_analysis, audio_chunks, summarize_chunks,
+    summarize_meetings)}
 
 ORACLE = {
     "scan_meetings": f"""WITH {MEETINGS} SELECT meeting_id, title, len(names) AS speakers, status FROM meetings
