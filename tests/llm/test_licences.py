@@ -1,5 +1,7 @@
 """Licence scan: held-out accuracy on notices in running text, and the awkward rows."""
 
+import random
+
 from fixtures import CLASHES, awkward, docs, prose
 
 from parley.llm import licences
@@ -104,3 +106,60 @@ def test_awkward(spark):
     assert len(got) == len(rows)
     assert {r["doc_id"] for r in got if r["n_notices"]} == {50}
     assert licences.report(docs(spark, [])).collect() == []
+
+
+def test_windows_against_every_stretch():
+    """For each last pair the stretch of at most twice a template's words that begins as late as it can without
+    losing a pair; of those with enough pairs the best that do not overlap, per family."""
+    rng = random.Random(11)
+    spoken = [licences.words(t) for ts in licences.TEMPLATES.values() for t in ts]
+    for _ in range(60):
+        tokens = []
+        for _ in range(rng.randrange(1, 7)):
+            own = rng.choice(spoken)
+            tokens += [w for w in own[rng.randrange(3):] if rng.random() < 0.95] + rng.choice([[], ["x"] * 9, own[-4:]])
+        found = licences.cues(tokens)
+        want = []
+        for family in licences.FAMILIES:
+            options = []
+            for template in licences.TEMPLATES[family]:
+                own = licences.words(template)
+                pairs = {f"{a} {b}" for a, b in zip(own, own[1:])}
+                others = {f"{a} {b}" for f, ts in licences.TEMPLATES.items() if f != family for t in ts
+                          for a, b in zip(licences.words(t), licences.words(t)[1:])}
+                places = [(i, q) for i, q in found if q in pairs]
+                for i, _ in places:
+                    near = [(j, q) for j, q in places if j <= i and i + 2 - j <= 2 * len(own)]
+                    held = {q for _, q in near}
+                    begin = max(j for j, _ in near if {q for k, q in near if k >= j} == held)
+                    if len(held) >= licences.CONFIRM * len(pairs) and held & ((pairs - others) or pairs):
+                        options.append((-len(held) / len(pairs), i + 2 - begin, begin))
+            taken = []
+            for share, size, begin in sorted(options):
+                if all(begin + size <= b or e <= begin for b, e in taken):
+                    taken.append((begin, begin + size))
+                    want.append((begin, begin + size, family, -share))
+        assert sorted(w[:4] for w in licences.windows(found)) == sorted(want)
+
+
+def test_classifier_decides_and_templates_confirm(spark):
+    """Families that share most of a notice, other spellings, licences of no known family, everyday words."""
+    lgpl = ("This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser "
+            "General Public License as published by the Free Software Foundation; either version 2.1 of the License.")
+    cases = [("lgpl", lgpl), ("gpl", lgpl.replace("Lesser ", "").replace("library", "program")),
+             ("agpl", lgpl.replace("Lesser", "Affero").replace("library", "program")),
+             ("agpl", "Licensed under the GNU Affero General Public License v3."),
+             ("mit", "Distributed under the terms of the MIT licence."),
+             ("apache", "This software is released under the Apache License 2.0"),
+             ("isc", "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby "
+                     "granted, provided that"), ("boost", "Distributed under the Boost Software License, Version 1.0. (See file)"),
+             ("unlicense", "This is free and unencumbered software released into the public domain.")]
+    rows = [(i, prose(20 + i, 30) + "\n" + t) for i, (_, t) in enumerate(cases)]
+    other = ["Licensed under the Foo Public License 7.", "This font is licensed under the Bar License, version 2."]
+    plain = ["the top of the hill was cold", "the law of the land in the free world under the sun", "released under the bridge"]
+    rows += [(100 + i, t) for i, t in enumerate(other)] + [(200 + i, t) for i, t in enumerate(plain)]
+    rows += [(300 + i, prose(60 + i, 400)) for i in range(20)]
+    got = {r["doc_id"]: (r["families"], r["n_notices"], r["n_unknown"]) for r in licences.report(docs(spark, rows)).collect()}
+    assert [got[i] for i in range(len(cases))] == [(f, 1, 0) for f, _ in cases]
+    assert [got[100 + i] for i in range(len(other))] == [("", 0, 1)] * len(other)
+    assert all(got[i] == ("", 0, 0) for i in got if i >= 200)
