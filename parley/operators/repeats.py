@@ -165,14 +165,18 @@ def dropped(pairs: DataFrame) -> DataFrame:
     """Ids that go, given all (new, old) pairs: copies, and those with a rival that stays. A copy always goes: the
     first of its kind stays, or went for one that does and that resembles the copy as well."""
     whole = cut_lineage(pairs)
-    left, gone = whole.filter("old IS NOT NULL"), []
+    copies = cut_lineage(whole.filter("old IS NULL").select("new").distinct())
+    # a copy goes whatever it resembles, so what it stands for in another pool is no rival there
+    left = whole.filter("old IS NOT NULL").join(copies, "new", "left_anti").join(
+        copies.select(F.col("new").alias("old")), "old", "left_anti").select("new", "old")
+    gone = []
     while not left.isEmpty():
         news = left.select(F.col("new").alias("old")).distinct()
         stay = left.select("old").distinct().join(news, "old", "left_anti")
         out = cut_lineage(left.join(stay, "old", "left_semi").select("new").distinct())
         left = cut_lineage(left.join(out, "new", "left_anti").join(out.select(F.col("new").alias("old")), "old", "left_anti"))
         gone.append(out)
-    found = whole.filter("old IS NULL").select(F.col("new").alias("id"))
+    found = copies.select(F.col("new").alias("id"))
     for out in gone:
         found = found.union(out)
     return found
