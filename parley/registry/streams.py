@@ -60,29 +60,30 @@ def job_transitions_live(spark, sf):
     return run.to_table(jobs.finished_jobs(D.jobs(_events(spark, sf))), "jobs")
 
 
-def _samples(spark, sf, rows):
-    """Samples with the calendar entry of the user's team at that moment. The entries
-    are a table, so the stream meets them in a stream-static join."""
+def _entries(spark, sf):
+    """The calendar entry of the user's team at the moment of each event, as a table: the stream meets it in a
+    stream-static join."""
     batch = D.events(spark, sf)
     moments = batch.select((F.col("user_id") % 15).cast("string").alias("team"), F.col("event_id").alias("probe_id"),
                            F.floor(F.col("ts_ms") / 1000).cast("bigint").alias("now_s"))
-    found = cut_lineage(calendar.current_event(moments, D.calendar(batch), ["team"], lead_min=1).select(
+    return cut_lineage(calendar.current_event(moments, D.calendar(batch), ["team"], lead_min=1).select(
         F.col("probe_id").alias("event_id"), F.col("title").alias("cal_title"), F.col("start_s").alias("cal_start_s")))
-    return D.mic_samples(rows).join(found, "event_id", "left")
 
 
-def _offers(spark, sf, actions=None):
-    rows = nudges.inputs(_samples(spark, sf, _events(spark, sf)), actions)
+def _offers(spark, sf, entries, actions=None):
+    samples = D.mic_samples(_events(spark, sf)).join(entries, "event_id", "left")
+    rows = nudges.inputs(samples, actions)
     return run.to_table(nudges.nudges(rows, persist_ms=6 * HOUR_MS, cooldown_ms=48 * HOUR_MS, ttl_ms=3 * HOUR_MS), "nudges")
 
 
 def nudge_call(spark, sf):
-    return _offers(spark, sf).select("user_id", "ts_ms", "nudge_id", "kind", "title", "meeting_title")
+    return _offers(spark, sf, _entries(spark, sf)).select("user_id", "ts_ms", "nudge_id", "kind", "title", "meeting_title")
 
 
 def nudge_actions(spark, sf):
     """Every other first offer is answered a minute later."""
-    offers = _offers(spark, sf)
+    entries = _entries(spark, sf)
+    offers = _offers(spark, sf, entries)
     later = F.col("ts_ms") + 60_000
     answers = offers.filter(F.col("ts_ms") % 2 == 0).select(
         "user_id", F.timestamp_millis(later).alias("ts"), later.alias("ts_ms"), F.lit(-1).cast("bigint").alias("event_id"),
@@ -90,7 +91,7 @@ def nudge_actions(spark, sf):
     path = run_dir(spark, "answers")
     answers.write.parquet(f"{path}/answers.parquet")
     stream = run.file_stream(spark, f"{path}/answers.parquet", "*.parquet")
-    return _offers(spark, sf, stream).select("user_id", "ts_ms", "event", "nudge_id", "kind")
+    return _offers(spark, sf, entries, stream).select("user_id", "ts_ms", "event", "nudge_id", "kind")
 
 
 def announce_once_live(spark, sf):
