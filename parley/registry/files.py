@@ -19,7 +19,7 @@ from parley.registry.catalog import MEETINGS
 from parley.registry.conversation import build_turns
 from parley.registry.events import AUDIO
 from parley.session import cut_lineage, run_dir
-from parley.sources import analysis, meetings, recognizer, wav
+from parley.sources import analysis, folders, meetings, recognizer, wav
 from parley.sources import derived as D
 
 
@@ -39,7 +39,7 @@ def _documents(spark, sf):
 def scan_meetings(spark, sf):
     """Documents of one folder per meeting, written as text and scanned as JSON."""
     root = run_dir(spark, "documents")
-    _documents(spark, sf).select("folder", "value").write.partitionBy("folder").text(root)
+    folders.write_text(_documents(spark, sf), root, "folder")
     rows = meetings.scan_meetings(spark, root, document="*.txt")
     return rows.select("meeting_id", "title", F.size("speakers").cast("bigint").alias("speakers"), "status")
 
@@ -49,7 +49,7 @@ def scan_changed(spark, sf):
     seen in an older state."""
     root = run_dir(spark, "documents")
     rows = _documents(spark, sf)
-    rows.filter("doc_id % 5 <> 0").select("folder", "value").write.partitionBy("folder").text(root)
+    folders.write_text(rows.filter("doc_id % 5 <> 0"), root, "folder")
     seen = meetings.scan_meetings(spark, root, document="*.txt").select("folder", "modified", "meeting_id")
     ids = D.meetings(spark, sf).select("meeting_id", "doc_id")
     older = F.when(F.col("doc_id") % 3 == 0, F.col("modified") - F.expr("INTERVAL 1 HOUR")).otherwise(F.col("modified"))
