@@ -8,6 +8,7 @@ from parley.registry.catalog import MEETINGS
 from parley.session import cut_lineage, run_dir
 from parley.sources import captions as files
 from parley.sources import derived as D
+from parley.sources import folders as text
 from parley.streaming import captions, folders, jobs, nudges, run
 from parley.streaming import sync as pushing
 
@@ -40,8 +41,9 @@ def captions_ndjson(spark, sf):
     rows = D.captions(D.events(spark, sf))
     line = F.to_json(F.struct("t", "start", "end", "text", F.col("arrival_ms").alias("at"), F.col("event_id").alias("n")))
     broken = F.when(F.col("event_id") % 50 == 0, F.concat(F.lit("{"), "text"))
-    rows.select("meeting_id", "track", F.explode(F.array_compact(F.array(line, broken))).alias("value")).write.partitionBy(
-        "meeting_id", "track").text(root)
+    place = F.concat(F.lit("meeting_id="), "meeting_id", F.lit("/track="), "track").alias("place")
+    text.write_text(rows.select(place, F.explode(F.array_compact(F.array(line, broken))).alias("value")).repartition("place"),
+                    root, "place")
     stream = files.events(files.caption_stream(spark, root, ended=True))
     lines = run.to_table(captions.caption_lines(stream), "ndjson-lines")
     return lines.filter("kind = 'final'").drop("kind", "arrival_ms", "event_id")

@@ -24,6 +24,7 @@ from parley.sources.store import _place
 FORMAT = "caption_files"
 RANGE = 32 << 20
 TAIL = 1 << 16
+FILE_COST = 1 << 16  # opening a file costs as much as reading these bytes
 END = "_END"
 SCHEMA = ("meeting_id string, track string, t string, start double, end double, text string, arrival_ms long, "
           "event_id long, arrival timestamp")
@@ -37,6 +38,13 @@ class Range(InputPartition):
         self.name, self.start, self.end, self.done = name, start, end, done
 
 
+class Ranges(InputPartition):
+    """What one task reads: a range of a long file, or many short files."""
+
+    def __init__(self, ranges):
+        self.ranges = ranges
+
+
 def _keys(name):
     parts = dict(p.split("=", 1) for p in name.split("/") if "=" in p)
     return parts.get("meeting_id"), parts.get("track")
@@ -82,16 +90,25 @@ class CaptionReader(DataSourceStreamReader):
         return 0
 
     def partitions(self, start, end):
-        out = []
+        """Ranges of files, together as long as one range; a file counts at least FILE_COST."""
+        out, cost = [], self.range
         for name, stop in sorted(end.items()):
             at = start.get(name, 0)
             while at < stop:
                 to = min(at + self.range, stop)
-                out.append(Range(name, at, to, at > 0))
+                cost += max(to - at, FILE_COST)
+                if cost > self.range:
+                    out.append([])
+                    cost = max(to - at, FILE_COST)
+                out[-1].append(Range(name, at, to, at > 0))
                 at = to
-        return out
+        return [Ranges(ranges) for ranges in out]
 
     def read(self, partition):
+        for one in partition.ranges:
+            yield from self._range(one)
+
+    def _range(self, partition):
         import datetime
         system, root = _place(self.path)
         meeting, track = _keys(partition.name)
