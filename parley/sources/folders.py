@@ -14,7 +14,7 @@ from parley.sources.store import _place
 
 def write_text(rows: DataFrame, root: str, folder: str, value: str = "value") -> None:
     """Writes `value` as lines below root/<folder>: a file for each folder and task,
-    named by the task's number, so that a task that is repeated writes the same file again."""
+    named by the task's number, so that a task that is repeated writes the same file again. Null is an empty line."""
     def write(part):
         system, place = _place(root)
         name = f"part-{TaskContext.get().partitionId():05d}.txt"
@@ -23,5 +23,5 @@ def write_text(rows: DataFrame, root: str, folder: str, value: str = "value") ->
             system.create_dir(f"{place}/{at}", recursive=True)
             with system.open_output_stream(f"{place}/{at}/{name}") as f:
                 for _, line in lines:
-                    f.write(line.encode() + b"\n")
+                    f.write((line or "").encode() + b"\n")
     rows.select(folder, value).sortWithinPartitions(folder).foreachPartition(write)
