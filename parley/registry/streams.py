@@ -161,24 +161,23 @@ def sync_retry(spark, sf):
     batch each was pushed, null while it waits."""
     folder = run_dir(spark, "sync")
     rows = D.synced_meetings(spark, sf)
-    for k in range(5):  # one file after the other, so that the stream sees them in this order
-        part = rows.filter(F.col("doc_id") % 3 == k) if k < 3 else spark.range(1).select(
-            *[F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema])
-        part.coalesce(1).write.mode("append").parquet(f"{folder}/feed")
-    saved = spark.read.schema(rows.schema).parquet(f"{folder}/feed").filter("meeting_id IS NOT NULL")
-    ids = saved.select("meeting_id", "doc_id")
+    saved = lambda: spark.read.schema(rows.schema).parquet(f"{folder}/feed").filter("meeting_id IS NOT NULL")
 
     def push(sent, batch_id):
-        told = sent.select("meeting_id").join(ids, "meeting_id").withColumn(
+        told = sent.select("meeting_id").join(saved().select("meeting_id", "doc_id"), "meeting_id").withColumn(
             "failed", (F.col("doc_id") + batch_id) % 4 < 3)
         told.write.mode("overwrite").parquet(f"{folder}/pushed/batch={batch_id}")
         return spark.read.parquet(f"{folder}/pushed/batch={batch_id}").filter("failed")
-    feed = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/feed")
-    pushing.push_changes(feed, push, f"{folder}/queue", f"{folder}/checkpoint", lambda: saved).awaitTermination()
+    for k in range(5):  # the stream goes on with whatever has come since as one batch, in as many files as it takes
+        part = rows.filter(F.col("doc_id") % 3 == k) if k < 3 else spark.range(1).select(
+            *[F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema])
+        part.write.mode("append").parquet(f"{folder}/feed")
+        feed = spark.readStream.schema(rows.schema).parquet(f"{folder}/feed")
+        pushing.push_changes(feed, push, f"{folder}/queue", f"{folder}/checkpoint", saved).awaitTermination()
     done = spark.read.parquet(f"{folder}/pushed").filter("NOT failed").groupBy("meeting_id").agg(
         F.min("batch").cast("bigint").alias("batch"))
     waits = pushing.read_queue(spark, f"{folder}/queue").withColumn("waits", F.lit(True))
-    return saved.filter("sync_enabled").select("meeting_id").join(done, "meeting_id", "left").join(
+    return saved().filter("sync_enabled").select("meeting_id").join(done, "meeting_id", "left").join(
         waits, "meeting_id", "left").select("meeting_id", "batch", F.coalesce("waits", F.lit(False)).alias("waits"))
 
 

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from parley.operators import sync
+from parley.registry import streams
 from parley.streaming import sync as pushing
 
 FIELDS = "user_id string, meeting_id string, title string, created string, duration double, mode string, speakers string, " \
@@ -71,3 +72,11 @@ def test_stream_with_ticks(spark, tmp_path):
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(feed)
     pushing.push_changes(stream, push, str(tmp_path / "queue"), str(tmp_path / "cp"), lambda: rows).awaitTermination()
     assert [r[:2] for r in push.got()] == [(0, "c"), (1, "a"), (2, "b")] and waiting(spark, str(tmp_path / "queue")) == []
+
+
+def test_the_retry_query_feeds_a_batch_by_many_tasks(spark, sf_dir, tmp_path, monkeypatch):
+    spark.read.parquet(f"{sf_dir}/documents.parquet").repartition(4).write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(streams, "run_dir", lambda _, name: str(tmp_path / name))
+    got = streams.sync_retry(spark, str(tmp_path))
+    assert len(list((tmp_path / "sync/feed").glob("*.parquet"))) >= 3 * 4 + 2  # 5 if a batch is one file
+    assert sorted(r["batch"] for r in got.select("batch").distinct().collect() if r["batch"] is not None) == [1, 2, 3]
