@@ -7,8 +7,7 @@ scan did not hold is found gone by a timer, without a join against the scan befo
 
 from typing import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StringType, StructType
@@ -45,36 +44,38 @@ class FolderState(StatefulProcessor):
         self._handle = handle
         self._last = handle.getValueState("last", "scan bigint, modified bigint")
 
-    def _keep(self, scan: int, modified: int) -> None:
-        for timer in list(self._handle.listTimers()):
-            self._handle.deleteTimer(timer)
+    def _keep(self, last: tuple | None, scan: int, modified: int) -> None:
+        """A folder has one timer, for the scan behind its last one; only a new scan moves it."""
         self._last.update((scan, modified))
-        self._handle.registerTimer((scan + 1) * SCAN_MS + END_MS)
+        if last is None or last[0] != scan:
+            if last is not None:
+                self._handle.deleteTimer((last[0] + 1) * SCAN_MS + END_MS)
+            self._handle.registerTimer((scan + 1) * SCAN_MS + END_MS)
 
-    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+    def handleInitialState(self, key, initialState: Row, timerValues) -> None:
+        """Called for each row of a key."""
         if key[0] is not None:
-            newest = initialState.sort_values(["scan", "modified"]).iloc[-1]
-            self._keep(int(newest["scan"]), int(newest["modified"]))
+            last, found = self._last.get(), (initialState["scan"], initialState["modified"])
+            if last is None or tuple(last) < found:
+                self._keep(last, *found)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         if key[0] is None:  # ticks
             return
-        batch = pd.concat(list(rows)).sort_values(["scan", "modified"])
-        last, out = self._last.get() if self._last.exists() else None, []
-        for scan, modified in zip(batch["scan"].tolist(), batch["modified"].tolist()):
+        kept = last = self._last.get()
+        for scan, modified in sorted((r["scan"], r["modified"]) for r in rows):
             if last is not None and scan > last[0] + 1:
-                out.append((key[0], last[0] + 1, "gone", last[1]))
+                yield Row(folder=key[0], scan=last[0] + 1, state="gone", modified=last[1])
                 last = None
             if last is None or modified != last[1]:
-                out.append((key[0], scan, "new" if last is None else "changed", modified))
+                yield Row(folder=key[0], scan=scan, state="new" if last is None else "changed", modified=modified)
             last = (scan, modified)
-        self._keep(int(last[0]), int(last[1]))
-        yield pd.DataFrame(out, columns=CHANGE.names)
+        self._keep(kept, *last)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         scan, modified = self._last.get()
         self._last.clear()
-        yield pd.DataFrame([(key[0], scan + 1, "gone", modified)], columns=CHANGE.names)
+        yield Row(folder=key[0], scan=scan + 1, state="gone", modified=modified)
 
     def close(self) -> None:
         pass
@@ -89,7 +90,7 @@ def folder_changes(listings: DataFrame, known: DataFrame | None = None) -> DataF
     rows = listings.filter(whole).withColumn("clock", clock).withWatermark("clock", LATE)
     first = None if known is None else known.select(
         "folder", F.col("scan").cast("long").alias("scan"), F.unix_micros("modified").alias("modified")).groupBy("folder")
-    found = rows.groupBy("folder").transformWithStateInPandas(
+    found = rows.groupBy("folder").transformWithState(
         statefulProcessor=FolderState(), outputStructType=CHANGE, outputMode="Append", timeMode="EventTime",
         initialState=first)
     return found.withColumn("modified", F.timestamp_micros("modified"))

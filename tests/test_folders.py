@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from parley.operators import activity
@@ -83,3 +84,41 @@ def test_session_totals(spark, tmp_path):
         if (hour + 3600) * 1000 <= last:
             want[hour] = tuple(map(sum, zip(want.get(hour, (0, 0)), (1, n))))
     assert {r["start_s"]: (r["sessions"], r["n"]) for r in got} == want and len(want) > 3
+
+
+class Calls:
+    """A handle with one value and timers that counts what is asked of it."""
+
+    def __init__(self):
+        self.value, self.timers, self.calls = None, set(), 0
+
+    def getValueState(self, name, schema):
+        return self
+
+    def __getattr__(self, name):
+        def called(*given):
+            self.calls += 1
+            if name == "update":
+                self.value = given[0]
+            elif name == "clear":
+                self.value = None
+            elif name == "registerTimer":
+                self.timers.add(given[0])
+            elif name == "deleteTimer":
+                self.timers.discard(given[0])
+            return {"get": self.value, "exists": self.value is not None, "listTimers": iter(set(self.timers))}.get(name)
+        return called
+
+
+def test_a_folder_takes_few_calls_and_has_one_timer():
+    handle, state, out = Calls(), folders.FolderState(), []
+    state.init(handle)
+    state.handleInitialState(("a",), Row(folder="a", scan=0, modified=5), None)
+    assert handle.calls <= 3
+    for batch, calls in (([(2, 6), (1, 5)], 4), ([(2, 6)], 2), ([(4, 6), (4, 7)], 4)):
+        before = handle.calls
+        out += [tuple(r) for r in state.handleInputRows(("a",), iter([Row(folder="a", scan=s, modified=m) for s, m in batch]), None)]
+        assert handle.calls - before <= calls and len(handle.timers) == 1
+    out += [tuple(r) for r in state.handleExpiredTimer(("a",), None, None)]
+    assert out == [("a", 2, "changed", 6), ("a", 3, "gone", 6), ("a", 4, "new", 6), ("a", 4, "changed", 7), ("a", 5, "gone", 7)]
+    assert handle.value is None
