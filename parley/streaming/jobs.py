@@ -2,8 +2,7 @@
 
 from typing import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import BooleanType, LongType, StringType, StructType
 
@@ -21,15 +20,17 @@ class LeftProcessing(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._last = handle.getValueState("last", "state string", self.keep_ms)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(["ts_ms", "event_id"])
-        before = batch["state"].shift(1)
-        if self._last.exists():
-            before.iloc[0] = self._last.get()[0]
-        self._last.update((batch["state"].iloc[-1],))
-        left = batch[(before == "processing") & (batch["state"] != "processing")]
-        yield pd.DataFrame({"meeting_id": key[0], "kind": key[1], "event_id": left["event_id"],
-                            "ts_ms": left["ts_ms"], "state": left["state"], "ok": left["state"] == "done"})
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        def place(row):  # what has no time or number comes last
+            return [x for name in ("ts_ms", "event_id") for x in (row[name] is None, row[name] or 0)]
+        kept = self._last.get()
+        last = kept[0] if kept is not None else None
+        for row in sorted(rows, key=place):
+            state = row["state"]
+            if last == "processing" and state != "processing":
+                yield Row(meeting_id=key[0], kind=key[1], event_id=row["event_id"], ts_ms=row["ts_ms"], state=state, ok=state == "done")
+            last = state
+        self._last.update((last,))
 
     def close(self) -> None:
         pass
@@ -38,6 +39,6 @@ class LeftProcessing(StatefulProcessor):
 def finished_jobs(jobs: DataFrame, keep_ms: int | None = None) -> DataFrame:
     """A live stream names `keep_ms`, after which a silent job's state goes; a run over what
     is there now leaves it out."""
-    return jobs.withWatermark("ts", WATERMARK).groupBy("meeting_id", "kind").transformWithStateInPandas(
+    return jobs.withWatermark("ts", WATERMARK).groupBy("meeting_id", "kind").transformWithState(
         statefulProcessor=LeftProcessing(keep_ms), outputStructType=DONE, outputMode="Append",
         timeMode="None" if keep_ms is None else "ProcessingTime")

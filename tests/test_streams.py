@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from parley.streaming import captions, jobs, nudges, run
@@ -138,3 +139,16 @@ def test_sessions_of_table_and_stream(spark, tmp_path):
     closed = run.to_table(activity.session_stream(stream.withWatermark("ts", "1 second"), ["user_id"], "1 minute"), "sessions")
     columns = ["user_id", "start_s", "end_s", "n"]
     assert sorted(map(tuple, table.select(*columns).collect())) == sorted(map(tuple, closed.select(*columns).collect()))
+
+
+def test_a_job_takes_two_state_calls_and_no_frames():
+    from test_folders import Calls  # which imports this module
+    handle, state, out = Calls(), jobs.LeftProcessing(), []
+    state._last = handle
+    row = lambda n, ts, s: Row(event_id=n, ts_ms=ts, state=s)
+    for batch in ([row(1, 20, "done"), row(0, 10, "processing")], [row(3, 30, "processing"), row(2, 30, "error")],
+                  [row(4, 40, "error"), row(5, None, "processing")]):
+        before = handle.calls
+        out += [(r["event_id"], r["state"], r["ok"]) for r in state.handleInputRows(("m", "k"), iter(batch), None)]
+        assert handle.calls - before == 2
+    assert out == [(1, "done", True), (4, "error", False)] and handle.value == ("processing",)
