@@ -15,6 +15,11 @@ subsequence, hold m >= r(a+b)/2 characters. Each of the a-m characters that are
 of the a-q+1 runs of q characters, and each of the at most b-m gaps where b has more spoils q-1. So at least
 a-q+1-q(a-m)-(q-1)(b-m) = (2q-1)m-(q-1)(a+b)-q+1 runs are common, counted as often as they occur. A text
 inside another has all its runs in common.
+
+Long earlier texts have a closer bound, for there the matcher leaves out characters that are popular in them. A
+block then holds a character that is not, or is what both texts begin with: any other one would begin where a block
+ended, and blocks end where the texts differ. So k such characters in common, counted as often as they occur, make
+at most k+1 blocks, and blocks with m characters hold at least m-(k+1)(q-1) common runs of q characters.
 """
 
 from collections.abc import Iterator
@@ -31,13 +36,15 @@ from parley.session import cut_lineage, spread
 #: Texts of one block, and the columns of the product computed at once.
 BLOCK = 1_024
 SLICE = 1 << 22
+#: From this length on the matcher leaves out popular characters; the runs that are then counted.
+LONG, RUN = 200, 4
 
 
 class Kept:
     """An earlier text; its side of the matcher is prepared once."""
 
     def __init__(self, text):
-        self.text, self._matcher, self._places = text, None, None
+        self.text, self._places, self._matcher = text, None, None
 
     def resembles(self, new):
         """Whether `new` repeats it; only the new text must be long to count as a part."""
@@ -46,27 +53,41 @@ class Kept:
             return True
         if 2 * min(len(new), len(old)) < limit * (len(new) + len(old)):
             return False
-        if self._matcher is None:
-            self._matcher, self._places = SequenceMatcher(None, "", old), char_places(old)
+        if self._places is None:
+            self._places = char_places(old)
         if 2 * common_length(new, self._places, len(old)) < limit * (len(new) + len(old)):
             return False
+        if self._matcher is None:
+            self._matcher = SequenceMatcher(None, "", old)
         self._matcher.set_seq1(new)
         return self._matcher.ratio() >= limit
 
 
+def letters(texts):
+    """(member, number) of every character; the numbers have no gaps."""
+    size = np.array([len(t) for t in texts], np.int64)
+    flat = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+    seen = np.zeros(int(flat.max(initial=0)) + 1, np.int64)
+    seen[flat] = 1
+    return np.repeat(np.arange(len(texts)), size), (np.cumsum(seen) - 1)[flat]
+
+
 def grams(texts, q):
     """(member, token) of every q neighbouring characters; a gram's further occurrences in the same
     text are tokens of their own, so common tokens count grams as often as both texts have them."""
-    codes = [np.frombuffer(t.encode("utf-32-le"), np.uint32).astype(np.uint64) for t in texts]
-    member = np.repeat(np.arange(len(texts)), [max(0, len(x) - q + 1) for x in codes])
-    flat = [sum(x[i:len(x) - q + 1 + i] << np.uint64(21 * i) for i in range(q)) for x in codes if len(x) >= q]
-    gram = np.unique(np.concatenate(flat), return_inverse=True)[1] if flat else np.zeros(0, np.int64)
-    order = np.lexsort((gram, member))
-    gram, member = gram[order], member[order]
-    new = np.r_[True, (gram[1:] != gram[:-1]) | (member[1:] != member[:-1])] if len(gram) else np.zeros(0, bool)
-    at = np.arange(len(gram))
+    member, code = letters(texts)
+    width, n = int(code.max(initial=0)) + 1, max(0, len(code) - q + 1)
+    gram = sum((code[i:n + i] * width ** i for i in range(q)), np.zeros(n, np.int64))
+    within = member[:n] == member[len(member) - n:]
+    member, gram, many = member[:n][within], gram[within], width ** q
+    if many >= 1 << 31:
+        gram, many = np.unique(gram, return_inverse=True)[1].astype(np.int64), 1 << 31
+    both = np.sort(member * many + gram)
+    member, gram = both // many, both % many
+    new = np.r_[True, both[1:] != both[:-1]] if len(both) else np.zeros(0, bool)
+    at = np.arange(len(both))
     nth = at - np.maximum.accumulate(np.where(new, at, 0))
-    return member, (gram.astype(np.int64) << 31) | nth
+    return member, (gram << 31) | nth
 
 
 def common_grams(texts, q):
@@ -103,6 +124,36 @@ def candidates(texts):
     return alike | inside
 
 
+def narrowed(texts, mask):
+    """The mask of candidates without pairs with a long earlier text that have too few runs in common."""
+    size = np.array([len(t) for t in texts], np.int64)
+    near = mask & (size >= LONG)[None, :]
+    at = np.flatnonzero(near.any(axis=0) | near.any(axis=1))
+    if not len(at):
+        return mask
+    texts, size, mask = [texts[i] for i in at], size[at], mask.copy()
+    member, code = letters(texts)
+    width = int(code.max()) + 1
+    count = np.bincount(member * width + code, minlength=len(at) * width).reshape(len(at), width)
+    q = min(RUN, int(62 / np.log2(max(width, 2))))  # such that a run is one number
+    member, token = grams(texts, q)
+    token = np.unique(token, return_inverse=True)[1]
+    edge, held = np.searchsorted(member, np.arange(len(at) + 1)), np.zeros(len(token) + 1, bool)
+    for o in np.flatnonzero(near.any(axis=0)[at]):
+        new = np.flatnonzero(near[at, at[o]])
+        seldom = count[o] <= size[o] // 100 + 1
+        blocks = 1 + np.minimum(count[new][:, seldom], count[o, seldom]).sum(axis=1)
+        own = token[edge[o]:edge[o + 1]]
+        held[own] = True
+        common = np.array([np.count_nonzero(held[token[edge[i]:edge[i + 1]]]) for i in new])
+        held[own] = False
+        alike = common + blocks * (q - 1) >= c.SIMILAR_RATIO * (size[new] + size[o]) / 2 - 1e-6
+        # a text inside the other has all its runs in common
+        inside = (size[new] > c.SIMILAR_CONTAINS_CHARS) & (common >= np.minimum(size[new], size[o]) - q + 1)
+        mask[at[new], at[o]] = alike | inside
+    return mask
+
+
 def _pairs(table: pa.Table) -> pa.Table:
     """(new, old) ids of one group: a pair of blocks, or one block with itself. Equal texts are in the same
     block; copies of an earlier text take no part, and a block with itself returns them without an old one."""
@@ -119,6 +170,7 @@ def _pairs(table: pa.Table) -> pa.Table:
     mask = np.tril(candidates(texts), -1) & ~old_only[:, None]
     if not own:
         mask &= block[:, None] != block[None, :]
+    mask = narrowed(texts, mask)
     for o in np.flatnonzero(mask.any(axis=0)):
         kept = Kept(texts[o])
         hit = [int(ids[i]) for i in np.flatnonzero(mask[:, o]) if kept.resembles(texts[i])]
@@ -132,9 +184,11 @@ def rivals(entries: DataFrame, block: int = BLOCK) -> DataFrame:
     earlier text. `entries` has meeting_id, pool, rank, pos, id (the order), text and old_only (a text that
     others are compared with only, which has no copies)."""
     key = ["meeting_id", "pool"]
-    n = entries.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
-    blocks = F.ceil(F.col("_n") / F.lit(block)).cast("int")
-    placed = (entries.join(n, key).withColumn("blocks", blocks)
+    entries = entries.filter("meeting_id IS NOT NULL")  # what is in no meeting repeats nothing
+    # only pools above a block are joined, a small table of its own, so that the texts move once
+    large = cut_lineage(entries.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > block))
+    blocks = F.coalesce(F.ceil(F.col("_n") / F.lit(block)), F.lit(1)).cast("int")
+    placed = (entries.join(large, key, "left").withColumn("blocks", blocks)
               .withColumn("mine", F.pmod(F.xxhash64("text"), F.col("blocks")).cast("int"))
               .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))))
     cell = [*key, "left", "right"]

@@ -10,7 +10,7 @@ from pyspark.sql.types import StringType
 
 from parley.functions import constants as c
 from parley.functions.matching import match_ratio
-from parley.functions.text import clean_due, clip, norm_text, strip
+from parley.functions.text import clean_due, clip, deleted_text, norm_text, strip
 from parley.operators import repeats
 from parley.session import cut_lineage
 
@@ -139,9 +139,11 @@ def dedup_items(items: DataFrame, strict: bool = False, cap: int | None = None)
     letters stays in the pool as an empty key and swallows long items after it.
     """
     first = items if cap is None else cap_items(items, cap)
-    rows = cut_lineage(first.withColumn("_id", F.monotonically_increasing_id()))
+    owner, item = (deleted_text(F.col(x)).alias(f"_{x}") for x in ("owner", "item"))
+    # forms are worked out once; only these and no texts are read again until the end
+    rows = cut_lineage(first.withColumn("_id", F.monotonically_increasing_id()).select("*", owner, item))
     rank = F.array_position(F.array(*[F.lit(s) for s in SECTIONS]), F.col("section")).cast("int")
-    key, whole = norm_text(F.col("item")), norm_text(F.concat_ws(" ", "owner", "item"))
+    key, whole = F.trim("_item"), F.trim(F.concat_ws(" ", "_owner", "_item"))
     action = F.col("section") == "action_items"
     # an action is compared with actions, and its task stands for it among the others
     own = F.struct(F.when(action, "tasks").otherwise("common").alias("pool"), F.lit(False).alias("old_only"),
@@ -151,7 +153,7 @@ def dedup_items(items: DataFrame, strict: bool = False, cap: int | None = None)
     entries = rows.select("meeting_id", rank.alias("rank"), F.col("pos").cast("long").alias("pos"), F.col("_id").alias("id"),
                           F.inline(roles))
     empty = rows.filter(~action & (F.coalesce(key, F.lit("")) == "")).select(F.col("_id").alias("id"))
-    gone = repeats.dropped(repeats.rivals(entries)).unionByName(empty)
+    gone = cut_lineage(repeats.dropped(repeats.rivals(entries)).unionByName(empty))
     return rows.join(gone.withColumnRenamed("id", "_id"), "_id", "left_anti").select(*items.columns)
 
 

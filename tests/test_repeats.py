@@ -99,3 +99,39 @@ def test_same_as_the_fold(spark, strict):
     got = summaries.dedup_items(frame, strict=strict)
     assert got.columns == frame.columns
     assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
+
+
+def test_long_texts_keep_every_pair_and_few_others():
+    """Long texts of few letters have most pairs of letters in common, also those that are not alike."""
+    rng, many = random.Random(5), []
+    syllables = "the an ing tion er re th and of en".split()
+    for i in range(60):
+        n = rng.randrange(40, 160)
+        t = " ".join("".join(rng.choice(syllables) for _ in range(rng.randrange(1, 4))) + (rng.choice("jqxzvk79é") if rng.random() < 0.1 else "") for _ in range(n))
+        if many and i % 2 == 0:
+            t = list(rng.choice(many))
+            for _ in range(rng.randrange(0, 40)):
+                t[rng.randrange(len(t))] = rng.choice("aeq7 ")
+            t = "".join(t)[:rng.choice([None, -9])]
+        many.append(t)
+    many += [many[0][:300], many[0][50:350], "the " * 50, "the " * 60, "\U00010348" * 220]
+    loose = repeats.candidates(many)
+    mask, true = repeats.narrowed(many, loose), set()
+    for i, a in enumerate(many):
+        for j, b in enumerate(many):
+            if i != j and alike(a, b):
+                assert mask[i, j], (a, b)
+                true.add((i, j))
+    left = [(i, j) for i, j in zip(*mask.nonzero()) if i != j]
+    assert len(true) > 7 and loose.sum() > 10 * len(left)
+
+
+def test_forms_are_worked_out_once(spark):
+    """What the pairs and the counts read are stored forms, and items in no meeting repeat nothing."""
+    frame = spark.createDataFrame([("m", "decisions", 0, None, "Ship it, now!", None), ("m", "key_points", 1, None, "ship IT now", None),
+                                   (None, "decisions", 2, None, "Ship it, now!", None), (None, "key_points", 3, None, "ship it now", None)],
+                                  "meeting_id string, section string, pos long, owner string, item string, due string")
+    got = summaries.dedup_items(frame)
+    assert sorted(r["pos"] for r in got.collect()) == [0, 2, 3] and got.columns == frame.columns
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp" not in plan
