@@ -14,7 +14,7 @@ from parley.sources import derived as D
 def _stored(spark, sf):
     """Edits work on a stored transcript: turns and the operations proposed for them."""
     before = cut_lineage(build_turns(spark, sf))
-    return before, tidy.merge_window_ops(D.tidy_ops(before))
+    return before, cut_lineage(tidy.merge_window_ops(D.tidy_ops(before)))
 
 
 def tidy_merge_ops(spark, sf):
