@@ -1,5 +1,7 @@
-"""Live captions: one state per meeting, shared by its tracks."""
+"""Live captions: one state per meeting, shared by its tracks; meetings are handled in groups."""
 
+from itertools import groupby
+from operator import itemgetter
 from typing import Iterator
 
 import pandas as pd
@@ -17,7 +19,12 @@ LINE = (StructType().add("meeting_id", StringType()).add("kind", StringType()).a
         .add("track", StringType()).add("start", DoubleType()).add("end", DoubleType()).add("text", StringType())
         .add("arrival_ms", LongType()).add("event_id", LongType()))
 
-RING = "seq bigint, track string, start double, end double, text string"
+PARTIAL = "track: string, start: double, end: double, text: string"
+KEPT = f"seq bigint, ring array<struct<seq: bigint, {PARTIAL}>>, open array<struct<{PARTIAL}>>"
+EVENT = ["meeting_id", "t", "track", "start", "end", "text", "arrival_ms", "event_id"]
+#: Groups of meetings. A group costs several milliseconds a batch in Python and a meeting in it much less, so there are
+#: far fewer groups than meetings, and more than tasks. A checkpoint is bound to the number.
+GROUPS = 2048
 
 
 def parse_lines(lines: DataFrame, column: str = "value") -> DataFrame:
@@ -39,34 +46,32 @@ class CaptionState(StatefulProcessor):
         self.keep_ms, self.ring = keep_ms, ring
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._seq = handle.getValueState("seq", "seq bigint", self.keep_ms)
-        self._ring = handle.getListState("ring", RING, self.keep_ms)
-        self._open = handle.getMapState("open", "track string", "start double, end double, text string", self.keep_ms)
+        self._kept = handle.getMapState("meetings", "meeting_id string", KEPT, self.keep_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        # one key's share of one batch; the source's rate bounds it
-        batch = pd.concat(list(rows)).sort_values(["arrival_ms", "event_id"])
-        seq = self._seq.get()[0] if self._seq.exists() else 0
+        # one group's share of one batch; the source's rate bounds it
+        batch = pd.concat(list(rows)).sort_values(["meeting_id", "arrival_ms", "event_id"])
+        lines = []
+        for meeting, events in groupby(zip(*(batch[c] for c in EVENT)), key=itemgetter(0)):
+            lines += self._meeting(meeting, events)
+        yield pd.DataFrame(lines, columns=LINE.names)
+
+    def _meeting(self, meeting, events):
+        """Lines of a meeting's events, which come in order; reads and writes its state once."""
+        seq, ring, held = self._kept.getValue((meeting,)) or (0, [], [])
         finals, touched = [], {}
-        columns = ("t", "track", "start", "end", "text", "arrival_ms", "event_id")
-        for t, track, start, end, text, *event in zip(*(batch[c] for c in columns)):
+        for _, t, track, start, end, text, *event in events:
             if t == "final":
                 seq += 1
-                finals.append((key[0], "final", seq, track, start, end, text, *event))
+                finals.append((meeting, "final", seq, track, start, end, text, *event))
             touched[track] = ((start, end, text) if t == "partial" else None, event)
-        self._seq.update((seq,))
-        if finals:
-            newest = [(*f[2:7],) for f in finals[-self.ring:]]
-            held = list(self._ring.get()) if len(newest) < self.ring and self._ring.exists() else []
-            self._ring.put([tuple(h) for h in held[len(held) + len(newest) - self.ring if len(held) + len(newest) > self.ring else 0:]] + newest)
-        for track, (value, _) in touched.items():
-            if value is not None:
-                self._open.updateValue((track,), value)
-            elif self._open.containsKey((track,)):
-                self._open.removeKey((track,))
-        partials = [(key[0], "partial", seq, track, *(v or (None, None, None)), *event)
-                    for track, (v, event) in touched.items()]
-        yield pd.DataFrame(finals + partials, columns=LINE.names)
+        newest = [f[2:7] for f in finals[-self.ring:]]
+        older = [tuple(r) for r in ring[max(0, len(ring) + len(newest) - self.ring):]]
+        still = [tuple(p) for p in held if p[0] not in touched]
+        still += [(track, *value) for track, (value, _) in touched.items() if value is not None]
+        self._kept.updateValue((meeting,), (seq, older + newest, still))
+        return finals + [(meeting, "partial", seq, track, *(v or (None, None, None)), *event)
+                         for track, (v, event) in touched.items()]
 
     def close(self) -> None:
         pass
@@ -77,8 +82,9 @@ def caption_lines(events: DataFrame, keep_ms: int | None = None, ring: int = CAP
     arrival, arrival_ms, event_id). A live stream names `keep_ms`, after which a silent
     meeting's state goes; Spark then looks for state to clear for ever, so a run over
     what is there now (available-now trigger) leaves it out."""
-    rows = events.withWatermark("arrival", WATERMARK)
-    out = rows.groupBy("meeting_id").transformWithStateInPandas(
+    rows = events.withWatermark("arrival", WATERMARK).select(
+        F.pmod(F.xxhash64("meeting_id"), F.lit(GROUPS)).alias("group"), *EVENT, "arrival")
+    out = rows.groupBy("group").transformWithStateInPandas(
         statefulProcessor=CaptionState(keep_ms, ring), outputStructType=LINE, outputMode="Append",
         timeMode="None" if keep_ms is None else "ProcessingTime")
     return out.withColumn("who", who(F.col("track")))
@@ -86,6 +92,10 @@ def caption_lines(events: DataFrame, keep_ms: int | None = None, ring: int = CAP
 
 def ring_of(spark, checkpoint: str) -> DataFrame:
     """The newest lines of every meeting as the state of a stream has them now."""
-    rows = (spark.read.format("statestore").option("stateVarName", "ring").option("flattenCollectionTypes", "true")
+    rows = (spark.read.format("statestore").option("stateVarName", "meetings").option("flattenCollectionTypes", "true")
             .load(checkpoint))
-    return rows.select(F.col("key.meeting_id").alias("meeting_id"), "list_element.*").withColumn("who", who(F.col("track")))
+    kept = "user_map_value"
+    if "value" in rows.schema[kept].dataType.names:  # beside its time to live, where the stream names `keep_ms`
+        kept += ".value"
+    lines = rows.select(F.col("user_map_key.meeting_id").alias("meeting_id"), F.inline(f"{kept}.ring"))
+    return lines.withColumn("who", who(F.col("track")))

@@ -2,6 +2,7 @@
 
 import json
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from parley.operators import captions as batch
@@ -67,3 +68,65 @@ def test_ring_after_several_batches(spark, tmp_path):
     got = sorted(tuple(r) for r in captions.ring_of(spark, checkpoint).select("meeting_id", "seq", "track", "text").collect())
     want = batch.ring(batch.finals(frame), 10).select("meeting_id", "seq", "track", "text")
     assert got == sorted(tuple(r) for r in want.collect()) and len(got) == 13
+
+
+class Kept:
+    """A map state that counts its calls."""
+
+    def __init__(self):
+        self.held, self.calls = {}, 0
+
+    def getMapState(self, *args):
+        return self
+
+    def getValue(self, key):
+        self.calls += 1
+        return self.held.get(key)
+
+    def updateValue(self, key, value):
+        self.calls += 1
+        self.held[key] = value
+
+
+def test_a_group_takes_one_frame_and_two_calls_a_meeting():
+    kept, state = Kept(), captions.CaptionState(ring=3)
+    state.init(kept)
+    event = lambda m, t, track, at: (m, t, track, 0.0, 1.0, f"{m}{at}", at, at)
+    frame = lambda *rows: pd.DataFrame(rows, columns=captions.EVENT)
+    first = [frame(event("b", "partial", "mic", 2), event("a", "final", "mic", 3)),
+             frame(event("a", "final", "system", 1), event("a", "partial", "system", 4), event("b", "final", "mic", 5))]
+    out = list(state.handleInputRows((0,), iter(first), None))
+    assert len(out) == 1 and kept.calls == 4
+    assert [tuple(r) for r in out[0][["meeting_id", "kind", "seq", "track", "text"]].itertuples(index=False)] == [
+        ("a", "final", 1, "system", "a1"), ("a", "final", 2, "mic", "a3"), ("a", "partial", 2, "system", "a4"),
+        ("a", "partial", 2, "mic", None), ("b", "final", 1, "mic", "b5"), ("b", "partial", 1, "mic", None)]
+    second = frame(*[event("a", "final", "mic", n) for n in (8, 7)], event("c", "done", "mic", 9))
+    list(state.handleInputRows((0,), iter([second]), None))
+    assert kept.calls == 8 and [(r[0], r[4]) for r in kept.held["a",][1]] == [(2, "a3"), (3, "a7"), (4, "a8")]
+    assert kept.held["a",][2] == [("system", 0.0, 1.0, "a4")] and kept.held["c",] == (0, [], [])
+
+
+def test_meetings_of_one_group_stay_apart(spark, tmp_path, monkeypatch):
+    """All meetings in one group, one without a name; several batches give what the table gives."""
+    monkeypatch.setattr(captions, "GROUPS", 1)
+    rows = [(("a", "b", None)[i * 7 % 3], "mic" if i % 2 else "system", ("final", "partial", "done")[(i * i + i // 7) % 3], float(i), f"t{i}",
+             i * 1000, i) for i in range(120)]
+    frame = spark.createDataFrame(rows, "meeting_id string, track string, t string, start double, text string, arrival_ms long, event_id long")
+    frame = frame.withColumn("end", F.col("start")).withColumn("arrival", F.timestamp_millis("arrival_ms"))
+    for k in range(4):
+        frame.filter(f"event_id >= {30 * k} AND event_id < {30 * k + 30}").coalesce(1).write.mode("append").parquet(str(tmp_path / "feed"))
+    feed = spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "feed"))
+    run.use_state_store(spark)
+    place, checkpoint = str(tmp_path / "out"), str(tmp_path / "cp")
+    captions.caption_lines(feed, ring=5).writeStream.format("parquet").option("checkpointLocation", checkpoint).option(
+        "path", place).trigger(availableNow=True).start().awaitTermination()
+    said = lambda df: sorted(map(str, df.select("meeting_id", "seq", "track", "who", "start", "end", "text").fillna("?").collect()))
+    lines = spark.read.parquet(place).fillna("?", ["meeting_id"])
+    frame = frame.fillna("?", ["meeting_id"])  # the table's way leaves out a meeting without a name
+    want = batch.finals(frame)
+    assert said(lines.filter("kind = 'final'")) == said(want) and want.count() > 30
+    assert said(captions.ring_of(spark, checkpoint)) == said(batch.ring(want, 5))
+    last = lines.filter("kind = 'partial'").groupBy("meeting_id", "track").agg(
+        F.max_by("text", F.struct("arrival_ms", "event_id")).alias("text")).filter("text IS NOT NULL")
+    found = sorted(map(str, last.select("meeting_id", "track", "text").collect()))
+    assert found == sorted(map(str, batch.partials(frame).select("meeting_id", "track", "text").collect()))
