@@ -81,3 +81,16 @@ def test_odd_file_is_refused(spark):
 
 def test_empty(spark):
     assert tokens.count_tokens(docs(spark, [])).collect() == []
+
+
+def test_a_task_writes_files_of_bounded_size(spark, tmp_path, monkeypatch):
+    """However large a task is, no file holds more than a few portions: Spark reads a file as one row."""
+    monkeypatch.setattr(tokens, "PORTION", 2_000)
+    rows = [(i - 300, prose(i, 60) if i % 5 else None) for i in range(600)] + [(None, "x y"), (-(1 << 63) + 1, "z"), ((1 << 63) - 1, "")]
+    path = str(tmp_path / "flat")
+    tokens.write_flat(docs(spark, rows).coalesce(1), path)
+    longest = max(2 * (len(encode(t)) + 1) for _, t in rows)
+    sizes = [len(r["content"]) for r in tokens.flat_files(spark, path).collect()]
+    assert len(sizes) > 8 and max(sizes) <= tokens.FILES * (2_000 + longest)
+    got = tokens.count_tokens(docs(spark, rows).coalesce(1)).collect()
+    assert sorted((tuple(r) for r in got), key=repr) == sorted(((k, len(encode(t))) for k, t in rows), key=repr)
