@@ -2,9 +2,10 @@
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructType
 
 from parley.schemas import CALENDAR_EVENT, MEETING
-from parley.sources import store
+from parley.sources import folders, store
 
 # Meeting id, and a folder that ends in one.
 ID = r"^\d{8}-\d{6}$"
@@ -18,6 +19,11 @@ def folder_id(folder):
 
 
 def _read(spark: SparkSession, root: str, safe: bool, document: str) -> DataFrame:
+    """Rows of all documents, with folder and modified. Spark's reader is for places that Python tasks cannot
+    read, and says so where there is no document."""
+    place = folders.place_of(spark, root, document)
+    if place is not None and folders.has_documents(place, document):
+        return _parse(folders.read_text(spark, place, document), safe).withColumn("folder", _key(F.col("folder")))
     reader = spark.read.schema(MEETING).option("multiLine", True).option(
         "mode", "DROPMALFORMED" if safe else "FAILFAST")
     rows = reader.json(f"{root}/*/{document}")
@@ -25,16 +31,39 @@ def _read(spark: SparkSession, root: str, safe: bool, document: str) -> DataFram
                        F.col("_metadata.file_modification_time").alias("modified"))
 
 
+def _parse(files: DataFrame, safe: bool) -> DataFrame:
+    """Texts as Spark's reader of whole files has them: an object is a row, an array one for each of its objects;
+    of a text that is malformed anywhere no row stays, or it ends the read."""
+    mode = {"mode": "PERMISSIVE" if safe else "FAILFAST", "columnNameOfCorruptRecord": "_bad"}
+    schema = StructType([*MEETING.fields]).add("_bad", StringType()) if safe else MEETING
+    objects = F.when(F.ltrim("text").startswith("["), F.from_json("text", "array<string>", mode)).otherwise(F.array("text"))
+    parsed = F.transform(objects, lambda x: F.from_json(x, schema, mode))
+    # behind the generator the parsed rows are a column, which filters do not parse again
+    rows = files.select("folder", "modified", F.explode(F.array(parsed)).alias("_rows"))
+    good = F.forall("_rows", lambda x: x.isNotNull() & x["_bad"].isNull() if safe else x.isNotNull())
+    return rows.filter(good).select(F.explode("_rows").alias("_row"), "folder", "modified").select(
+        *[F.col(f"_row.{f.name}").alias(f.name) for f in MEETING.fields], "folder", "modified")
+
+
+def _key(folder):
+    """Folders that Spark wrote begin with their column's name."""
+    return F.regexp_replace(folder, "^folder=", "")
+
+
 def _folder(path):
-    """The path comes escaped; folders that Spark wrote begin with their column's name."""
+    """The path comes escaped."""
     plain = F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
-    return F.regexp_replace(F.element_at(F.split(plain, "/"), -2), "^folder=", "")
+    return _key(F.element_at(F.split(plain, "/"), -2))
 
 
 def _folders(spark: SparkSession, root: str, document: str) -> DataFrame:
     """Meeting folders that hold a document, by their names alone: one that cannot be read is not gone."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", document)
-    names = files.load(root).select(_folder(F.col("path")).alias("folder")).distinct()
+    place = folders.place_of(spark, root, document)
+    if place is not None:
+        names = folders.holders(spark, place, document).select(_key(F.col("folder")).alias("folder")).distinct()
+    else:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", document)
+        names = files.load(root).select(_folder(F.col("path")).alias("folder")).distinct()
     return names.filter(folder_id(F.col("folder")).isNotNull())
 
 
